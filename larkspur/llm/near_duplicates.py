@@ -1,8 +1,10 @@
 """Near-duplicate records by banded min-hash candidates and sequential Bayesian verification.
 
-1. Each text's word set gets ``bands * rows`` min-hashes. Each band's key is shuffled together with
-   the set's class (a hash of the set: equal sets are one class, so copies collapse before the
-   shuffle) and a 128-bit signature, the low bits of the first 128 min-hashes.
+1. Each text's word set gets ``bands * rows`` weighted min-hashes: a word that stands in more than
+   ``COMMON`` of all texts is a quarter as likely to be picked, so texts that share only their
+   sentence frames seldom meet. Each band's key is shuffled together with the set's class (a hash of
+   the set: equal sets are one class, so copies collapse before the shuffle) and a 128-bit
+   signature, the low bits of 128 plain min-hashes.
 2. In a bucket, pairs are compared batch by batch of 32 signature bits, whole arrays at a time.
    After each batch a pair is pruned if the posterior probability that its similarity reaches the
    threshold, given the bits that agree so far, is under the chosen miss probability.
@@ -16,6 +18,7 @@ a surviving pair, so that only their texts are shuffled for step 3.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
@@ -27,17 +30,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import cut
+from larkspur.session import cut, release
 
-#: Default bands and rows: at similarity 0.7 a pair shares a band with probability 0.991.
-BANDS, ROWS = 26, 5
+#: Default bands and rows: at (weighted) similarity s a pair shares a band with probability
+#: 1 - (1 - s**ROWS)**BANDS, 0.983 at 0.7 and 0.9998 at 0.8.
+BANDS, ROWS = 22, 5
+#: Share of all texts from which on a word is common, its weight in the choice of min-hashes, and the
+#: most words of that kind (the sum of the shares is a text's mean number of words).
+COMMON, WEIGHT, MOST_COMMON = 0.05, 0.25, 2000
 SIGNATURE, BATCH = 128, 32
 #: Most classes of a bucket that are compared in one task, and members listed pair by pair.
 HOT, EXPAND = 16_384, 10_000
 #: Bits of the bitmap of classes in surviving pairs (2 MiB at any size of input).
 BITMAP = 24
 #: Most words or classes a worker remembers before it starts over.
-REMEMBERED = 100_000
+REMEMBERED = 40_000
 
 WORD = re.compile(r"[^\W_]+")
 M64 = (1 << 64) - 1
@@ -83,28 +90,35 @@ def least_matches(threshold: float, miss: float) -> list[int]:
 class Sketcher:
     """Word-set classes, min-hash bands and signatures of texts; remembers the words it has seen."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, shingle: int = 1, minhash: bool = True):
-        self.bands, self.rows, self.shingle = bands, rows, shingle
-        self.n = max(bands * rows, SIGNATURE) if minhash else 0
-        self.seeds = _mix(np.arange(1, self.n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def __init__(self, bands: int = BANDS, rows: int = ROWS, shingle: int = 1, common: frozenset[str] | None = None):
+        self.bands, self.rows, self.shingle, self.common = bands, rows, shingle, common
+        n = bands * rows + SIGNATURE if common is not None else 0
+        self.seeds = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self._forget()
+
+    def _forget(self) -> None:
         self.at: dict[str, int] = {}
         self.base = np.zeros(0, np.uint64)
-        self.hashes = np.zeros((0, self.n), np.uint32)
+        self.plain = np.zeros((0, SIGNATURE), np.uint32)
+        self.weighted = np.zeros((0, self.bands * self.rows), np.float32)
 
     def _places(self, sets: list[set[str]]) -> np.ndarray:
+        if len(self.at) > REMEMBERED:
+            self._forget()
         at = self.at
-        if len(at) > REMEMBERED:
-            at.clear()
-            self.base, self.hashes = np.zeros(0, np.uint64), np.zeros((0, self.n), np.uint32)
         new = {w for s in sets for w in s if w not in at}
         if new:
             base = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
             for k, w in enumerate(new, len(at)):
                 at[w] = k
             self.base = np.concatenate([self.base, base])
-            if self.n:
-                fresh = np.concatenate([(_mix(base[a : a + 4096, None] ^ self.seeds) >> np.uint64(32)).astype(np.uint32) for a in range(0, len(base), 4096)])
-                self.hashes = np.concatenate([self.hashes, fresh])
+            if self.common is not None:
+                u = np.concatenate([(_mix(base[a : a + 4096, None] ^ self.seeds) >> np.uint64(32)).astype(np.uint32) for a in range(0, len(base), 4096)])
+                # an exponential race: the word with the least waiting time is picked in proportion to its weight
+                wait = -np.log((u[:, SIGNATURE:].astype(np.float32) + 1) * np.float32(2.0**-32))
+                wait *= np.array([1 / WEIGHT if w in self.common else 1 for w in new], np.float32)[:, None]
+                self.plain = np.concatenate([self.plain, u[:, :SIGNATURE]])
+                self.weighted = np.concatenate([self.weighted, wait])
         return np.fromiter((at[w] for s in sets for w in s), np.int64, sum(map(len, sets)))
 
     def classes(self, sets: list[set[str]], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,9 +132,10 @@ class Sketcher:
 
     def sketches(self, places: np.ndarray, starts: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Band keys (sets x bands) and signatures (sets x 2)."""
-        low = np.minimum.reduceat(self.hashes[places], starts, axis=0)
-        bits = np.packbits((low[:, :SIGNATURE] & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
-        grid = low[:, : self.bands * self.rows].reshape(len(starts), self.bands, self.rows).astype(np.uint64)
+        low = np.minimum.reduceat(self.plain[places], starts, axis=0)
+        bits = np.packbits((low & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        first = np.minimum.reduceat(self.weighted[places], starts, axis=0)
+        grid = first.view(np.uint32).reshape(len(starts), self.bands, self.rows).astype(np.uint64)
         key = np.zeros((len(starts), self.bands), np.uint64)
         for r in range(self.rows):
             key = _mix(key + grid[:, :, r] + np.uint64(0x9E3779B97F4A7C15))
@@ -154,7 +169,7 @@ def class_rows(shingle: int):
     """(tbl, id, text) -> (tbl, id, c, d)."""
 
     def run(batches):
-        sketch = Sketcher(shingle=shingle, minhash=False)
+        sketch = Sketcher(shingle=shingle)
         for part, _, c, d, _, _ in _chunks(batches, shingle, sketch):
             yield pa.RecordBatch.from_arrays([part.column("tbl"), part.column("id"), _signed(c), _signed(d)], names=["tbl", "id", "c", "d"])
 
@@ -178,15 +193,46 @@ class _First:
         return np.array(keep, np.int64)
 
 
-def band_rows(bands: int, rows: int, shingle: int):
+def term_counts(shingle: int):
+    """(tbl, id, text) -> (term, n): texts per term, added up in the task; the empty term counts the texts."""
+
+    def run(batches):
+        n: Counter[str] = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                if t:
+                    n.update(terms_of(t, shingle))
+                    n[""] += 1
+            if len(n) > 5 * REMEMBERED:
+                yield out()
+                n.clear()
+        if n:
+            yield out()
+
+    return run
+
+
+def common_terms(docs: DataFrame, shingle: int) -> frozenset[str]:
+    """The terms of at least COMMON of all texts, at most MOST_COMMON of them, counted over all texts."""
+    counts = docs.select("text").mapInArrow(term_counts(shingle), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "term").limit(MOST_COMMON + 1).collect()
+    texts = next((r.n for r in top if r.term == ""), 0)
+    return frozenset(r.term for r in top if r.term and r.n >= COMMON * texts)
+
+
+def band_rows(bands: int, rows: int, shingle: int, common: frozenset[str]):
     """(tbl, id, text) -> (key, c, s0, s1), one row per band of each class new to the task."""
 
     def run(batches):
-        sketch, first = Sketcher(bands, rows, shingle), _First()
+        sketch, first = Sketcher(bands, rows, shingle, common), _First()
         for _, salt, c, _, places, starts in _chunks(batches, shingle, sketch):
-            keys, bits = sketch.sketches(places, starts, salt)
             k = first(c)
             if len(k):
+                keys, bits = sketch.sketches(places, starts, salt)
                 cols = [keys[k].ravel(), np.repeat(c[k], bands), np.repeat(bits[k, 0], bands), np.repeat(bits[k, 1], bands)]
                 yield pa.RecordBatch.from_arrays([_signed(x) for x in cols], names=["key", "c", "s0", "s1"])
 
@@ -197,7 +243,7 @@ def text_rows(shingle: int, bitmap: bytes):
     """(tbl, id, text) -> (c, text) of classes in the bitmap, each about once per task."""
 
     def run(batches):
-        sketch, first = Sketcher(shingle=shingle, minhash=False), _First()
+        sketch, first = Sketcher(shingle=shingle), _First()
         words = np.frombuffer(bitmap, np.int64)
         for part, _, c, _, _, _ in _chunks(batches, shingle, sketch):
             at = (c >> np.uint64(64 - BITMAP)).astype(np.int64)
@@ -350,9 +396,12 @@ def block_pairs(least: list[int], hot: int):
 def candidate_pairs(docs: DataFrame, threshold: float, miss: float, bands: int, rows: int, shingle: int, hot: int) -> DataFrame:
     """``a, b``: pairs of classes whose signatures pass every posterior bound, each once."""
     least = least_matches(threshold, miss)
-    keyed = docs.mapInArrow(band_rows(bands, rows, shingle), "key bigint, c bigint, s0 bigint, s1 bigint")
+    common = common_terms(docs, shingle)
+    keyed = docs.mapInArrow(band_rows(bands, rows, shingle, common), "key bigint, c bigint, s0 bigint, s1 bigint")
     sorted_ = keyed.repartition("key").sortWithinPartitions("key", "c")
-    out = cut(sorted_.mapInArrow(bucket_pairs(least, hot), "a bigint, b bigint, key bigint, s0 bigint, s1 bigint"))
+    out = cut(sorted_.mapInArrow(bucket_pairs(least, hot), "a bigint, b bigint, key bigint, s0 bigint, s1 bigint").distinct())
+    del keyed, sorted_
+    release(docs.sparkSession)
     pairs = out.where("s0 is null").select("a", "b")
     spilled = out.where("s0 is not null").select("key", F.col("b").alias("block"), F.col("a").alias("c"), "s0", "s1")
     if not spilled.isEmpty():
@@ -438,7 +487,7 @@ def near_duplicates(
 
     ``docs`` has tbl, id and text. Null texts and texts without a letter or digit belong to no pair;
     rows with a null id are left out; repeated rows count once. A pair at the threshold is missed
-    with a probability of about (1 - threshold**rows)**bands plus ``miss`` per batch; no pair under
+    with a probability of about (1 - s**rows)**bands (s: its similarity with common words weighted down) plus ``miss`` per batch; no pair under
     the threshold is returned. See :func:`expand` for groups of copies.
     """
     docs = docs.select("tbl", F.col("id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
