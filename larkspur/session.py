@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans nothing refers to any more.
+
+    They go when the driver's JVM collects its garbage, which a driver with memory to spare may not
+    do for a long time. Worth a call after :func:`cut` has ended a plan with a large shuffle.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
