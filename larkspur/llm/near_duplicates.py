@@ -11,8 +11,8 @@
 3. Survivors are verified exactly on their words.
 
 A bucket of more than ``hot`` classes is cut into blocks, and its pairs of blocks become tasks of
-their own. The only driver-side data is a bitmap of fixed size that says which classes take part in
-a surviving pair, so that only their texts are shuffled for step 3.
+their own. The only driver-side data are the list of common words and a bitmap, both of bounded size; the
+bitmap says which records' texts step 3 needs, so that only these are shuffled.
 """
 
 from __future__ import annotations
@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from larkspur.session import cut, release
 
 #: Default bands and rows: at (weighted) similarity s a pair shares a band with probability
-#: 1 - (1 - s**ROWS)**BANDS, 0.983 at 0.7 and 0.9998 at 0.8.
-BANDS, ROWS = 22, 5
+#: 1 - (1 - s**ROWS)**BANDS, 0.975 at 0.7 and 0.9996 at 0.8.
+BANDS, ROWS = 20, 5
 #: Share of all texts from which on a word is common, its weight in the choice of min-hashes, and the
 #: most words of that kind (the sum of the shares is a text's mean number of words).
 COMMON, WEIGHT, MOST_COMMON = 0.05, 0.25, 2000
 SIGNATURE, BATCH = 128, 32
 #: Most classes of a bucket that are compared in one task, and members listed pair by pair.
 HOT, EXPAND = 16_384, 10_000
-#: Bits of the bitmap of classes in surviving pairs (2 MiB at any size of input).
+#: Bits of the bitmap of records whose texts are needed (2 MiB at any size of input).
 BITMAP = 24
 #: Most words or classes a worker remembers before it starts over.
 REMEMBERED = 40_000
@@ -99,7 +99,7 @@ class Sketcher:
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
         self.base = np.zeros(0, np.uint64)
-        self.plain = np.zeros((0, SIGNATURE), np.uint32)
+        self.plain = np.zeros((0, SIGNATURE), np.uint16)
         self.weighted = np.zeros((0, self.bands * self.rows), np.float32)
 
     def _places(self, sets: list[set[str]]) -> np.ndarray:
@@ -117,7 +117,7 @@ class Sketcher:
                 # an exponential race: the word with the least waiting time is picked in proportion to its weight
                 wait = -np.log((u[:, SIGNATURE:].astype(np.float32) + 1) * np.float32(2.0**-32))
                 wait *= np.array([1 / WEIGHT if w in self.common else 1 for w in new], np.float32)[:, None]
-                self.plain = np.concatenate([self.plain, u[:, :SIGNATURE]])
+                self.plain = np.concatenate([self.plain, u[:, :SIGNATURE].astype(np.uint16)])
                 self.weighted = np.concatenate([self.weighted, wait])
         return np.fromiter((at[w] for s in sets for w in s), np.int64, sum(map(len, sets)))
 
@@ -239,18 +239,16 @@ def band_rows(bands: int, rows: int, shingle: int, common: frozenset[str]):
     return run
 
 
-def text_rows(shingle: int, bitmap: bytes):
-    """(tbl, id, text) -> (c, text) of classes in the bitmap, each about once per task."""
+def text_rows(bitmap: bytes):
+    """(h, text) -> the same rows, of records whose hash h is in the bitmap."""
 
     def run(batches):
-        sketch, first = Sketcher(shingle=shingle), _First()
         words = np.frombuffer(bitmap, np.int64)
-        for part, _, c, _, _, _ in _chunks(batches, shingle, sketch):
-            at = (c >> np.uint64(64 - BITMAP)).astype(np.int64)
+        for b in batches:
+            at = (b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP)).astype(np.int64)
             hit = np.flatnonzero((words[at >> 6] >> (at & 63)) & 1)
             if len(hit):
-                hit = hit[first(c[hit])]
-                yield pa.RecordBatch.from_arrays([_signed(c[hit]), part.column("text").take(pa.array(hit))], names=["c", "text"])
+                yield b.take(pa.array(hit))
 
     return run
 
@@ -410,26 +408,23 @@ def candidate_pairs(docs: DataFrame, threshold: float, miss: float, bands: int,
         x, y = F.least("block", "o"), F.greatest("block", "o")
         tasks = each.select("key", x.alias("x"), y.alias("y"), (F.col("block") > F.col("o")).cast("bigint").alias("side"), "c", "s0", "s1")
         apart = tasks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(block_pairs(least, hot), "a bigint, b bigint")
-        pairs = pairs.unionByName(apart.where("a <> b"))
-    return pairs.distinct()
-
-
-def class_bitmap(pairs: DataFrame) -> bytes:
-    """The classes of ``pairs`` in a bitmap of 2**BITMAP bits; other classes may seem to be in it."""
-    at = F.shiftrightunsigned(F.col("c"), 64 - BITMAP)
-    words = (
-        pairs.select(F.explode(F.array("a", "b")).alias("c"))
-        .groupBy(F.shiftright(at, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(c, {64 - BITMAP}) & 63 as int))")).alias("bits"))
-    )
+        pairs = cut(pairs.unionByName(apart.where("a <> b")).distinct())
+    return pairs
+
+
+def bitmap_of(hashes: DataFrame) -> bytes:
+    """The column h of ``hashes`` in a bitmap of 2**BITMAP bits; other hashes may seem to be in it."""
+    top = f"shiftrightunsigned(h, {64 - BITMAP})"
+    words = hashes.groupBy(F.expr(f"shiftright({top}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({top} & 63 as int))")).alias("bits"))
     got = words.toPandas()  # at most 2**(BITMAP - 6) rows
     out = np.zeros(1 << (BITMAP - 6), np.int64)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return out.tobytes()
 
 
-def verified_pairs(docs: DataFrame, pairs: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """The pairs of classes whose word sets really reach the threshold."""
+def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """The pairs of classes whose word sets really reach the threshold, read from the texts of their
+    smallest records (``classes``: tbl, c, rep)."""
     at_least = Fraction(str(threshold))
 
     @F.pandas_udf("boolean")
@@ -441,17 +436,27 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, threshold: float, shingle:
             out.append(n * at_least.denominator >= at_least.numerator * (len(p) + len(q) - n))
         return pd.Series(out, dtype=bool)
 
-    texts = docs.mapInArrow(text_rows(shingle, class_bitmap(pairs)), "c bigint, text string")
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c"))
-    both = sides.join(texts, "c").groupBy("a", "b").agg(F.max(F.when(F.col("c") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("c") == F.col("b"), F.col("text"))).alias("y"))
+    needed = classes.where("paired").select("c", F.xxhash64("tbl", "rep").alias("h"))
+    hashed = docs.select(F.xxhash64("tbl", "id").alias("h"), "text")
+    texts = hashed.mapInArrow(text_rows(bitmap_of(needed)), "h bigint, text string")
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c")).join(needed, "c")
+    both = sides.join(texts, "h").groupBy("a", "b").agg(F.max(F.when(F.col("c") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("c") == F.col("b"), F.col("text"))).alias("y"))
     return both.where(similar("x", "y")).select("a", "b")
 
 
-def members(docs: DataFrame, shingle: int) -> DataFrame:
-    """``tbl, id, c, d, size, rep``: each record once, with the size and smallest id of its class."""
+def class_table(docs: DataFrame, pairs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The classes that matter, ``tbl, c, d, size, rep, paired`` (of several records or in a pair), and
+    their records, ``tbl, id, c, d, size, rep``.
+
+    Sizes are added up before records are shuffled; a class of one record is its own member.
+    """
     mem = cut(docs.mapInArrow(class_rows(shingle), "tbl string, id bigint, c bigint, d bigint").distinct())
-    sizes = mem.groupBy("c", "d").agg(F.count("*").alias("size"), F.min("id").alias("rep"))
-    return mem.join(sizes, ["c", "d"]).select("tbl", "id", "c", "d", "size", "rep")
+    sizes = mem.groupBy("c", "d").agg(F.count("*").alias("size"), F.min("id").alias("rep"), F.min("tbl").alias("tbl"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().withColumn("paired", F.lit(True))
+    classes = cut(sizes.join(ends, "c", "left").withColumn("paired", F.coalesce("paired", F.lit(False))).where("paired or size > 1").select("tbl", "c", "d", "size", "rep", "paired"))
+    single = classes.where("size = 1").select("tbl", F.col("rep").alias("id"), "c", "d", "size", "rep")
+    several = mem.select("id", "c", "d").join(classes.where("size > 1").drop("paired"), ["c", "d"]).select("tbl", "id", "c", "d", "size", "rep")
+    return classes, cut(single.unionByName(several))
 
 
 def expand(mem: DataFrame, pairs: DataFrame, limit: int = EXPAND) -> DataFrame:
@@ -491,5 +496,6 @@ def near_duplicates(
     the threshold is returned. See :func:`expand` for groups of copies.
     """
     docs = docs.select("tbl", F.col("id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
-    pairs = cut(verified_pairs(docs, cut(candidate_pairs(docs, threshold, miss, bands, rows, shingle, hot)), threshold, shingle))
-    return expand(members(docs, shingle), pairs, limit)
+    pairs = candidate_pairs(docs, threshold, miss, bands, rows, shingle, hot)
+    classes, mem = class_table(docs, pairs, shingle)
+    return expand(mem, cut(verified_pairs(docs, classes, pairs, threshold, shingle)), limit)
