@@ -1,24 +1,30 @@
 """Evaluation passages inside training text, by a distributed positional inverted index.
 
-The corpus is stored as postings (term, document, position) of the terms the test material uses.
-Each window of ``n`` test words becomes a query on the index: the postings of its rarest term, set
-back by the term's offset, give candidate starts; the lists of the next rarest terms, set back by
-theirs, are intersected with them; and the whole window is then checked on the lists of all its
-terms. Nothing but the test material's own small tables is broadcast, and only after its size was
-counted.
+The corpus is stored as an index in shards of whole documents: for each document the ids and
+positions of the terms that the test material uses. Each window of ``n`` test words is a query. In
+each shard the postings of the window's rarest term (by postings in the whole corpus), set back by
+the term's offset, give candidate starts; the lists of the next rarer terms, set back by theirs,
+are intersected with them one after the other, whole arrays at a time, until all ``n`` agree. As a
+match lies within one document, nothing is shuffled but the counts of terms.
+
+The windows travel to the shards as arrays, after their number was checked; test material of more
+than ``MOST_WINDOWS`` windows is matched by shuffled joins on the same postings instead.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.session import checkpoint_dir, cut
 
-#: Most rows of a side that is broadcast.
-BROADCAST_ROWS = 200_000
+#: Most rows of a side that is broadcast, and most windows that are handed to the shards (16 bytes a word).
+BROADCAST_ROWS, MOST_WINDOWS = 200_000, 500_000
 
 
 def words(text: Column) -> Column:
@@ -48,9 +54,36 @@ def test_terms(items: DataFrame, item: str, text: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, doc: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """The stored postings ``tid, doc, pos`` of the terms of ``vocabulary`` (term, tid)."""
-    tokens = docs.select(F.col(doc).alias("doc"), F.posexplode(words(F.col(text))).alias("pos", "term")).where("doc is not null")
-    return stored(tokens.join(small(vocabulary), "term").select("tid", "doc", "pos"), "postings")
+    """The stored index ``doc, tids, at``: per document, in order of position, the terms of
+    ``vocabulary`` (term, tid: a hash of it) and where they stand."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc).alias("doc"), words(F.col(text)).alias("w")).where("doc is not null and size(w) > 0")
+    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = spark.sparkContext.broadcast(np.sort(np.array([r.tid for r in vocabulary.select("tid").collect()], np.int64)))
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = known.value
+            for b in batches:
+                lists = b.column("h")
+                ends = lists.offsets.to_numpy()
+                h = lists.flatten().to_numpy()
+                ends = ends - ends[0]
+                hit = v[np.minimum(np.searchsorted(v, h), len(v) - 1)] == h if len(v) else np.zeros(len(h), bool)
+                place = (np.arange(len(h)) - np.repeat(ends[:-1], np.diff(ends))).astype(np.int32)
+                new = np.concatenate([[0], np.cumsum(hit)])[ends].astype(np.int32)
+                keep_ = pa.array(new)
+                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.ListArray.from_arrays(keep_, pa.array(h[hit])), pa.ListArray.from_arrays(keep_, pa.array(place[hit]))], names=["doc", "tids", "at"])
+
+        hashed = rows.select("doc", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+        return stored(hashed.mapInArrow(keep, f"doc {dict(rows.dtypes)['doc']}, tids array<bigint>, at array<int>"), "index")
+    tokens = rows.select("doc", F.posexplode("w").alias("pos", "term")).join(vocabulary, "term")
+    lists = tokens.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("l"))  # one document's words
+    return stored(lists.select("doc", F.col("l.tid").alias("tids"), F.col("l.pos").alias("at")), "index")
+
+
+def postings_of(index: DataFrame) -> DataFrame:
+    """``tid, doc, pos``: the index by term."""
+    return index.select("doc", F.explode(F.arrays_zip("tids", "at")).alias("p")).select("p.tids", "doc", "p.at").toDF("tid", "doc", "pos")
 
 
 def windows(terms: DataFrame, n: int) -> DataFrame:
@@ -61,38 +94,96 @@ def windows(terms: DataFrame, n: int) -> DataFrame:
     return cut_.select("item", F.expr(f"slice(tids, at, {n})").alias("w")).withColumn("win", F.sha2(F.concat_ws(",", "w"), 256))
 
 
-def phrase_matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = 12, lists: int = 3) -> DataFrame:
-    """``doc, item, start, off``: each place where ``n`` words in a row of an item stand in a document.
+def phrase_matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = 12, lists: int = 3, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """``doc, item, start``: each place where ``n`` words in a row of an item stand in a document.
 
     Null and empty texts and texts of under ``n`` words match nothing, null keys are left out,
-    repeated rows count once. ``lists`` rarest lists are intersected one by one before the rest.
+    repeated rows count once. ``lists`` only matters beyond ``most_windows``: how many of the rarest
+    lists are intersected by joins of their own.
     """
     raw = cut(test_terms(items, item, item_text))
     vocabulary = cut(raw.select("term").distinct().select("term", F.xxhash64("term").alias("tid")))
     wins = cut(windows(raw.join(vocabulary, "term"), n))
     index = build_index(docs.select(doc, text), doc, text, vocabulary)
-    weight = index.groupBy("tid").agg(F.count("*").alias("df"))
+    weight = index.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count("*").alias("df"))
     slots = wins.select("win", "w").distinct().select("win", F.posexplode("w").alias("off", "tid")).join(small(weight), "tid", "left")
     rarest = Window.partitionBy("win").orderBy(F.coalesce("df", F.lit(0)), "off")
     plan = cut(slots.withColumn("turn", F.row_number().over(rarest)).select("win", "off", "tid", "turn", F.coalesce("df", F.lit(0)).alias("df")))
     hopeless = plan.where("df = 0").select("win").distinct()  # a term the corpus doesn't hold
     plan = cut(plan.join(hopeless, "win", "left_anti").drop("df"))
 
+    held = small(wins.select("win", "item").distinct())
+    if plan.where("turn = 1").count() <= most_windows:
+        got = plan.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("turn", "off", "tid"))).alias("l")).select("win", "l.off", "l.tid").toPandas()
+        table = Windows(got["win"].tolist(), np.array(got["off"].tolist(), np.int64).reshape(-1, n), np.array(got["tid"].tolist(), np.int64).reshape(-1, n))
+        shared = docs.sparkSession.sparkContext.broadcast(table)
+        kind = dict(index.dtypes)["doc"]
+        whole = index.mapInArrow(lambda batches: shared.value.match(batches), f"doc {kind}, start int, win string")
+    else:
+        whole = joined_matches(postings_of(index), plan, n, lists)
+    return whole.join(held, "win").select("doc", "item", "start")
+
+
+class Windows:
+    """The query windows: per window its words' offsets and term ids, rarest first."""
+
+    def __init__(self, names: list[str], offsets: np.ndarray, tids: np.ndarray):
+        order = np.argsort(tids[:, 0], kind="stable") if len(names) else np.zeros(0, np.int64)
+        self.names, self.offsets, self.tids = [names[k] for k in order], offsets[order], tids[order]
+
+    def match(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc, tids, at) -> (doc, start, win): every place where a whole window stands."""
+        for b in batches:
+            for a in range(0, b.num_rows, 2000):
+                part = b.slice(a, 2000)
+                sizes = np.diff(part.column("tids").offsets.to_numpy())
+                tid, at = part.column("tids").flatten().to_numpy(), part.column("at").flatten().to_numpy().astype(np.int64)
+                if not len(tid) or not self.names:
+                    continue
+                doc = np.repeat(np.arange(part.num_rows), sizes)
+                # all documents on one line, with room between them, so a position names one word
+                length = np.zeros(part.num_rows, np.int64)
+                np.maximum.at(length, doc, at + 1)
+                base = np.concatenate([[0], np.cumsum(length + self.offsets.shape[1])])
+                line = np.zeros(base[-1] + 1, np.int64)
+                filled = np.zeros(base[-1] + 1, bool)
+                place = base[doc] + at
+                line[place], filled[place] = tid, True
+                lo, hi = np.searchsorted(self.tids[:, 0], tid, "left"), np.searchsorted(self.tids[:, 0], tid, "right")
+                many = hi - lo
+                post = np.repeat(np.arange(len(tid)), many)
+                win = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+                start = place[post] - self.offsets[win, 0]
+                ok = start >= base[doc[post]]
+                start, win, post = start[ok], win[ok], post[ok]
+                for k in range(1, self.offsets.shape[1]):
+                    to = np.minimum(start + self.offsets[win, k], len(line) - 1)
+                    ok = filled[to] & (line[to] == self.tids[win, k])
+                    start, win, post = start[ok], win[ok], post[ok]
+                if len(start):
+                    d = doc[post]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc").take(pa.array(d)), pa.array((start - base[d]).astype(np.int32)), pa.array([self.names[w] for w in win], pa.string())], names=["doc", "start", "win"]
+                    )
+
+
+def joined_matches(postings: DataFrame, plan: DataFrame, n: int, lists: int) -> DataFrame:
+    """``win, doc, start`` by shuffled joins: candidates of the rarest list, intersected with the next
+    ``lists`` - 1, then counted against all the others."""
+
     def turn(k: int) -> DataFrame:
         return small(plan.where(F.col("turn") == k).select("win", "off", "tid"))
 
-    found = index.join(turn(1), "tid").select("win", "doc", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    found = postings.join(turn(1), "tid").select("win", "doc", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
     for k in range(2, lists + 1):
-        step = turn(k)
-        need = found.join(step, "win").select("win", "doc", "start", "tid", (F.col("start") + F.col("off")).alias("pos"))
-        terms = index.join(small(plan.where(F.col("turn") == k).select("tid").distinct()), "tid", "left_semi")
+        need = found.join(turn(k), "win").select("win", "doc", "start", "tid", (F.col("start") + F.col("off")).alias("pos"))
+        terms = postings.join(small(plan.where(F.col("turn") == k).select("tid").distinct()), "tid", "left_semi")
         found = need.join(terms, ["doc", "pos", "tid"], "left_semi").select("win", "doc", "start")
     found = cut(found)
     rest = small(plan.where(F.col("turn") > lists).select("win", "off", "tid"))
     need = found.join(rest, "win").select("win", "doc", "start", "tid", (F.col("start") + F.col("off")).alias("pos"))
-    here = index.join(small(found.select("doc").distinct()), "doc", "left_semi")
-    whole = need.join(here, ["doc", "pos", "tid"]).groupBy("win", "doc", "start").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == n - lists)
-    return whole.join(small(wins.select("win", "item").distinct()), "win").select("doc", "item", "start")
+    here = postings.join(small(found.select("doc").distinct()), "doc", "left_semi")
+    return need.join(here, ["doc", "pos", "tid"]).groupBy("win", "doc", "start").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == n - lists).select("win", "doc", "start")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
@@ -122,7 +213,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, lists: int = 5, within:
     """
     raw = cut(test_terms(items, "item_id", "text"))
     vocabulary = cut(raw.select("term").distinct().select("term", F.xxhash64("term").alias("tid")))
-    index = build_index(docs.select("doc_id", "text"), "doc_id", "text", vocabulary)
+    index = postings_of(build_index(docs.select("doc_id", "text"), "doc_id", "text", vocabulary))
     weight = index.groupBy("tid").agg(F.count("*").alias("df"))
     own = raw.join(vocabulary, "term").select("item", "tid").distinct().join(small(weight), "tid")
     rare = own.withColumn("turn", F.row_number().over(Window.partitionBy("item").orderBy("df", "tid"))).where(F.col("turn") <= lists)
