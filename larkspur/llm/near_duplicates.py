@@ -2,7 +2,8 @@
 
 1. Each text's word set gets ``bands * rows`` weighted min-hashes: a word that stands in more than
    ``COMMON`` of all texts is a quarter as likely to be picked, so texts that share only their
-   sentence frames seldom meet. Each band's key is shuffled together with the set's class (a hash of
+   sentence frames seldom meet; texts made of common words get as many bands without weights on
+   top. Each band's key is shuffled together with the set's class (a hash of
    the set: equal sets are one class, so copies collapse before the shuffle) and a 128-bit
    signature, the low bits of 128 plain min-hashes.
 2. In a bucket, pairs are compared batch by batch of 32 signature bits, whole arrays at a time.
@@ -33,11 +34,14 @@ from pyspark.sql import functions as F
 from larkspur.session import cut, release
 
 #: Default bands and rows: at (weighted) similarity s a pair shares a band with probability
-#: 1 - (1 - s**ROWS)**BANDS, 0.975 at 0.7 and 0.9996 at 0.8.
-BANDS, ROWS = 20, 5
+#: 1 - (1 - s**ROWS)**BANDS, 0.990 at 0.7 and 0.9999 at 0.8.
+BANDS, ROWS = 25, 5
 #: Share of all texts from which on a word is common, its weight in the choice of min-hashes, and the
 #: most words of that kind (the sum of the shares is a text's mean number of words).
 COMMON, WEIGHT, MOST_COMMON = 0.05, 0.25, 2000
+#: Share of common words in a text from which on it also gets bands without weights: a large group of
+#: copies makes its own words common, and its rare words alone would then decide.
+EVEN_FROM = 0.7
 SIGNATURE, BATCH = 128, 32
 #: Most classes of a bucket that are compared in one task, and members listed pair by pair.
 HOT, EXPAND = 16_384, 10_000
@@ -101,6 +105,7 @@ class Sketcher:
         self.base = np.zeros(0, np.uint64)
         self.plain = np.zeros((0, SIGNATURE), np.uint16)
         self.weighted = np.zeros((0, self.bands * self.rows), np.float32)
+        self.weight = np.zeros(0, np.float32)
 
     def _places(self, sets: list[set[str]]) -> np.ndarray:
         if len(self.at) > REMEMBERED:
@@ -116,7 +121,9 @@ class Sketcher:
                 u = np.concatenate([(_mix(base[a : a + 4096, None] ^ self.seeds) >> np.uint64(32)).astype(np.uint32) for a in range(0, len(base), 4096)])
                 # an exponential race: the word with the least waiting time is picked in proportion to its weight
                 wait = -np.log((u[:, SIGNATURE:].astype(np.float32) + 1) * np.float32(2.0**-32))
-                wait *= np.array([1 / WEIGHT if w in self.common else 1 for w in new], np.float32)[:, None]
+                weight = np.array([WEIGHT if w in self.common else 1 for w in new], np.float32)
+                wait /= weight[:, None]
+                self.weight = np.concatenate([self.weight, weight])
                 self.plain = np.concatenate([self.plain, u[:, :SIGNATURE].astype(np.uint16)])
                 self.weighted = np.concatenate([self.weighted, wait])
         return np.fromiter((at[w] for s in sets for w in s), np.int64, sum(map(len, sets)))
@@ -130,17 +137,27 @@ class Sketcher:
         d = _mix(np.add.reduceat(_mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts) ^ salt)
         return c, d, places, starts
 
-    def sketches(self, places: np.ndarray, starts: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys (sets x bands) and signatures (sets x 2)."""
+    def signatures(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """sets x 2 words of 64 bits."""
         low = np.minimum.reduceat(self.plain[places], starts, axis=0)
-        bits = np.packbits((low & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
-        first = np.minimum.reduceat(self.weighted[places], starts, axis=0)
-        grid = first.view(np.uint32).reshape(len(starts), self.bands, self.rows).astype(np.uint64)
+        return np.packbits((low & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+
+    def band_keys(self, places: np.ndarray, starts: np.ndarray, salt: np.ndarray, even: bool = False) -> np.ndarray:
+        """sets x bands; ``even`` gives every word the same weight."""
+        wait = self.weighted[places]
+        if even:
+            wait *= self.weight[places, None]
+        grid = np.minimum.reduceat(wait, starts, axis=0).view(np.uint32).reshape(len(starts), self.bands, self.rows).astype(np.uint64)
         key = np.zeros((len(starts), self.bands), np.uint64)
         for r in range(self.rows):
             key = _mix(key + grid[:, :, r] + np.uint64(0x9E3779B97F4A7C15))
-        band = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-        return _mix(key ^ band ^ salt[:, None]), bits
+        band = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(even)
+        return _mix(key ^ band ^ salt[:, None])
+
+    def mostly_common(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which sets have at least EVEN_FROM of their words among the common ones."""
+        common = np.add.reduceat((self.weight[places] < 1).astype(np.int64), starts)
+        return np.flatnonzero(common >= EVEN_FROM * np.diff(np.r_[starts, len(places)]))
 
 
 def _salt(tbl: list[str]) -> np.ndarray:
@@ -231,10 +248,19 @@ def band_rows(bands: int, rows: int, shingle: int, common: frozenset[str]):
         sketch, first = Sketcher(bands, rows, shingle, common), _First()
         for _, salt, c, _, places, starts in _chunks(batches, shingle, sketch):
             k = first(c)
-            if len(k):
-                keys, bits = sketch.sketches(places, starts, salt)
-                cols = [keys[k].ravel(), np.repeat(c[k], bands), np.repeat(bits[k, 0], bands), np.repeat(bits[k, 1], bands)]
-                yield pa.RecordBatch.from_arrays([_signed(x) for x in cols], names=["key", "c", "s0", "s1"])
+            if not len(k):
+                continue
+            bits = sketch.signatures(places, starts)
+            ends = np.r_[starts, len(places)]
+            some = k[np.isin(k, sketch.mostly_common(places, starts))]
+            sub = np.concatenate([places[ends[x] : ends[x + 1]] for x in some]) if len(some) else places[:0]
+            for rows_, keys in (
+                (k, sketch.band_keys(places, starts, salt)[k]),
+                (some, sketch.band_keys(sub, np.cumsum(np.r_[0, (ends[some + 1] - ends[some])])[:-1], salt[some], True) if len(some) else None),
+            ):
+                if len(rows_):
+                    cols = [keys.ravel(), np.repeat(c[rows_], bands), np.repeat(bits[rows_, 0], bands), np.repeat(bits[rows_, 1], bands)]
+                    yield pa.RecordBatch.from_arrays([_signed(x) for x in cols], names=["key", "c", "s0", "s1"])
 
     return run
 
