@@ -145,11 +145,11 @@ class Engine:
         self.guard.check(self.lock_path)
         known = {e["slug"]: e for e in ing.read_locks(self.lock_path)}
         verdicts = lk.judge(known, proposed)
-        good = {s for s, v, _ in verdicts if v == "accepted"}
+        good = [e for e, (_, verdict, _) in zip(proposed, verdicts) if verdict == "accepted"]
         if good:
             keys = ("slug", "title", "scope", "locked_on", "supersedes", "body")
             self.lock_path.parent.mkdir(parents=True, exist_ok=True)
-            ing.append_locks(self.lock_path, [{k: e.get(k) or None for k in keys} for e in proposed if e["slug"] in good])
+            ing.append_locks(self.lock_path, [{k: e.get(k) or None for k in keys} for e in good])
             self.store.write({"locks": ing.lock_table(self.spark, ing.read_locks(self.lock_path))})
         return verdicts
 

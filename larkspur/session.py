@@ -19,6 +19,7 @@ def build_session(app: str = "larkspur", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # a call site per column call costs more than most plans here
     }
     base.update({k.replace("__", "."): v for k, v in conf.items()})
     for k, v in base.items():
