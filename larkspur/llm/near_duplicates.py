@@ -1,31 +1,27 @@
 """Near-duplicate records by banded min-hash candidates and sequential Bayesian verification.
 
-1. Each text's word set gets ``bands * rows`` weighted min-hashes: a word that stands in more than
-   ``COMMON`` of all texts is a quarter as likely to be picked, so texts that share only their
-   sentence frames seldom meet; texts made of common words get as many bands without weights on
-   top. Each band's key is shuffled together with the set's class (a hash of
-   the set: equal sets are one class, so copies collapse before the shuffle) and a 128-bit
-   signature, the low bits of 128 plain min-hashes.
+1. Each text's word set gets ``bands * rows`` min-hashes in which every word weighs the same, so
+   the bands' recall is that of plain Jaccard similarity for every text. Each band's key is shuffled
+   together with the set's class (a hash of the set: equal sets are one class, so copies collapse
+   before the shuffle) and a 128-bit signature, the low bits of 128 more min-hashes.
 2. In a bucket, pairs are compared batch by batch of 32 signature bits, whole arrays at a time.
    After each batch a pair is pruned if the posterior probability that its similarity reaches the
    threshold, given the bits that agree so far, is under the chosen miss probability.
 3. Survivors are verified exactly on their words.
 
 A bucket of more than ``hot`` classes is cut into blocks, and its pairs of blocks become tasks of
-their own. The only driver-side data are the list of common words and a bitmap, both of bounded size; the
-bitmap says which records' texts step 3 needs, so that only these are shuffled.
+their own. The only driver-side data is a bitmap of bounded size, which says which records' texts
+step 3 needs, so that only these are shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,15 +29,9 @@ from pyspark.sql import functions as F
 
 from larkspur.session import cut, release
 
-#: Default bands and rows: at (weighted) similarity s a pair shares a band with probability
+#: Default bands and rows: at Jaccard similarity s a pair shares a band with probability
 #: 1 - (1 - s**ROWS)**BANDS, 0.990 at 0.7 and 0.9999 at 0.8.
 BANDS, ROWS = 25, 5
-#: Share of all texts from which on a word is common, its weight in the choice of min-hashes, and the
-#: most words of that kind (the sum of the shares is a text's mean number of words).
-COMMON, WEIGHT, MOST_COMMON = 0.05, 0.25, 2000
-#: Share of common words in a text from which on it also gets bands without weights: a large group of
-#: copies makes its own words common, and its rare words alone would then decide.
-EVEN_FROM = 0.7
 SIGNATURE, BATCH = 128, 32
 #: Most classes of a bucket that are compared in one task, and members listed pair by pair.
 HOT, EXPAND = 16_384, 10_000
@@ -94,9 +84,9 @@ def least_matches(threshold: float, miss: float) -> list[int]:
 class Sketcher:
     """Word-set classes, min-hash bands and signatures of texts; remembers the words it has seen."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, shingle: int = 1, common: frozenset[str] | None = None):
-        self.bands, self.rows, self.shingle, self.common = bands, rows, shingle, common
-        n = bands * rows + SIGNATURE if common is not None else 0
+    def __init__(self, bands: int = BANDS, rows: int = ROWS, shingle: int = 1, hashes: bool = False):
+        self.bands, self.rows, self.shingle, self.hashes = bands, rows, shingle, hashes
+        n = bands * rows + SIGNATURE if hashes else 0
         self.seeds = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self._forget()
 
@@ -104,8 +94,7 @@ class Sketcher:
         self.at: dict[str, int] = {}
         self.base = np.zeros(0, np.uint64)
         self.plain = np.zeros((0, SIGNATURE), np.uint16)
-        self.weighted = np.zeros((0, self.bands * self.rows), np.float32)
-        self.weight = np.zeros(0, np.float32)
+        self.ranks = np.zeros((0, self.bands * self.rows), np.uint32)
 
     def _places(self, sets: list[set[str]]) -> np.ndarray:
         if len(self.at) > REMEMBERED:
@@ -117,15 +106,10 @@ class Sketcher:
             for k, w in enumerate(new, len(at)):
                 at[w] = k
             self.base = np.concatenate([self.base, base])
-            if self.common is not None:
+            if self.hashes:
                 u = np.concatenate([(_mix(base[a : a + 4096, None] ^ self.seeds) >> np.uint64(32)).astype(np.uint32) for a in range(0, len(base), 4096)])
-                # an exponential race: the word with the least waiting time is picked in proportion to its weight
-                wait = -np.log((u[:, SIGNATURE:].astype(np.float32) + 1) * np.float32(2.0**-32))
-                weight = np.array([WEIGHT if w in self.common else 1 for w in new], np.float32)
-                wait /= weight[:, None]
-                self.weight = np.concatenate([self.weight, weight])
                 self.plain = np.concatenate([self.plain, u[:, :SIGNATURE].astype(np.uint16)])
-                self.weighted = np.concatenate([self.weighted, wait])
+                self.ranks = np.concatenate([self.ranks, u[:, SIGNATURE:]])
         return np.fromiter((at[w] for s in sets for w in s), np.int64, sum(map(len, sets)))
 
     def classes(self, sets: list[set[str]], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,23 +126,15 @@ class Sketcher:
         low = np.minimum.reduceat(self.plain[places], starts, axis=0)
         return np.packbits((low & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
-    def band_keys(self, places: np.ndarray, starts: np.ndarray, salt: np.ndarray, even: bool = False) -> np.ndarray:
-        """sets x bands; ``even`` gives every word the same weight."""
-        wait = self.weighted[places]
-        if even:
-            wait *= self.weight[places, None]
-        grid = np.minimum.reduceat(wait, starts, axis=0).view(np.uint32).reshape(len(starts), self.bands, self.rows).astype(np.uint64)
+    def band_keys(self, places: np.ndarray, starts: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """sets x bands."""
+        grid = np.minimum.reduceat(self.ranks[places], starts, axis=0).reshape(len(starts), self.bands, self.rows).astype(np.uint64)
         key = np.zeros((len(starts), self.bands), np.uint64)
         for r in range(self.rows):
             key = _mix(key + grid[:, :, r] + np.uint64(0x9E3779B97F4A7C15))
-        band = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(even)
+        band = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         return _mix(key ^ band ^ salt[:, None])
 
-    def mostly_common(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Which sets have at least EVEN_FROM of their words among the common ones."""
-        common = np.add.reduceat((self.weight[places] < 1).astype(np.int64), starts)
-        return np.flatnonzero(common >= EVEN_FROM * np.diff(np.r_[starts, len(places)]))
-
 
 def _salt(tbl: list[str]) -> np.ndarray:
     known = {t: xxhash.xxh3_64_intdigest(t, seed=7) for t in set(tbl)}
@@ -210,57 +186,18 @@ class _First:
         return np.array(keep, np.int64)
 
 
-def term_counts(shingle: int):
-    """(tbl, id, text) -> (term, n): texts per term, added up in the task; the empty term counts the texts."""
-
-    def run(batches):
-        n: Counter[str] = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                if t:
-                    n.update(terms_of(t, shingle))
-                    n[""] += 1
-            if len(n) > 5 * REMEMBERED:
-                yield out()
-                n.clear()
-        if n:
-            yield out()
-
-    return run
-
-
-def common_terms(docs: DataFrame, shingle: int) -> frozenset[str]:
-    """The terms of at least COMMON of all texts, at most MOST_COMMON of them, counted over all texts."""
-    counts = docs.select("text").mapInArrow(term_counts(shingle), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "term").limit(MOST_COMMON + 1).collect()
-    texts = next((r.n for r in top if r.term == ""), 0)
-    return frozenset(r.term for r in top if r.term and r.n >= COMMON * texts)
-
-
-def band_rows(bands: int, rows: int, shingle: int, common: frozenset[str]):
+def band_rows(bands: int, rows: int, shingle: int):
     """(tbl, id, text) -> (key, c, s0, s1), one row per band of each class new to the task."""
 
     def run(batches):
-        sketch, first = Sketcher(bands, rows, shingle, common), _First()
+        sketch, first = Sketcher(bands, rows, shingle, True), _First()
         for _, salt, c, _, places, starts in _chunks(batches, shingle, sketch):
             k = first(c)
             if not len(k):
                 continue
-            bits = sketch.signatures(places, starts)
-            ends = np.r_[starts, len(places)]
-            some = k[np.isin(k, sketch.mostly_common(places, starts))]
-            sub = np.concatenate([places[ends[x] : ends[x + 1]] for x in some]) if len(some) else places[:0]
-            for rows_, keys in (
-                (k, sketch.band_keys(places, starts, salt)[k]),
-                (some, sketch.band_keys(sub, np.cumsum(np.r_[0, (ends[some + 1] - ends[some])])[:-1], salt[some], True) if len(some) else None),
-            ):
-                if len(rows_):
-                    cols = [keys.ravel(), np.repeat(c[rows_], bands), np.repeat(bits[rows_, 0], bands), np.repeat(bits[rows_, 1], bands)]
-                    yield pa.RecordBatch.from_arrays([_signed(x) for x in cols], names=["key", "c", "s0", "s1"])
+            bits = sketch.signatures(places, starts)[k]
+            cols = [sketch.band_keys(places, starts, salt)[k].ravel(), np.repeat(c[k], bands), np.repeat(bits[:, 0], bands), np.repeat(bits[:, 1], bands)]
+            yield pa.RecordBatch.from_arrays([_signed(x) for x in cols], names=["key", "c", "s0", "s1"])
 
     return run
 
@@ -420,14 +357,15 @@ def block_pairs(least: list[int], hot: int):
 def candidate_pairs(docs: DataFrame, threshold: float, miss: float, bands: int, rows: int, shingle: int, hot: int) -> DataFrame:
     """``a, b``: pairs of classes whose signatures pass every posterior bound, each once."""
     least = least_matches(threshold, miss)
-    common = common_terms(docs, shingle)
-    keyed = docs.mapInArrow(band_rows(bands, rows, shingle, common), "key bigint, c bigint, s0 bigint, s1 bigint")
+    keyed = docs.mapInArrow(band_rows(bands, rows, shingle), "key bigint, c bigint, s0 bigint, s1 bigint")
     sorted_ = keyed.repartition("key").sortWithinPartitions("key", "c")
-    out = cut(sorted_.mapInArrow(bucket_pairs(least, hot), "a bigint, b bigint, key bigint, s0 bigint, s1 bigint").distinct())
-    del keyed, sorted_
+    # a class's partners as one array: a fraction of the bytes of a row per pair
+    met = sorted_.mapInArrow(bucket_pairs(least, hot), "a bigint, b bigint, key bigint, s0 bigint, s1 bigint")
+    out = cut(met.groupBy("a", "key", "s0", "s1").agg(F.collect_set("b").alias("b")))
+    del keyed, sorted_, met
     release(docs.sparkSession)
-    pairs = out.where("s0 is null").select("a", "b")
-    spilled = out.where("s0 is not null").select("key", F.col("b").alias("block"), F.col("a").alias("c"), "s0", "s1")
+    pairs = out.where("s0 is null").select("a", F.explode("b").alias("b"))
+    spilled = out.where("s0 is not null").select("key", F.explode("b").alias("block"), F.col("a").alias("c"), "s0", "s1")
     if not spilled.isEmpty():
         most = spilled.groupBy("key").agg((F.max("block") + 1).alias("n"))
         each = spilled.join(most, "key").withColumn("o", F.explode(F.expr("sequence(0, n - 1)")))
@@ -453,21 +391,33 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, thresh
     smallest records (``classes``: tbl, c, rep)."""
     at_least = Fraction(str(threshold))
 
-    @F.pandas_udf("boolean")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(x, y):
-            p, q = terms_of(s, shingle), terms_of(t, shingle)
-            n = len(p & q)
-            out.append(n * at_least.denominator >= at_least.numerator * (len(p) + len(q) - n))
-        return pd.Series(out, dtype=bool)
+    def similar(batches):
+        known: dict[str, set[str]] = {}
+
+        def terms(t: str) -> set[str]:
+            if t not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[t] = terms_of(t, shingle)
+            return known[t]
+
+        for r in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(r.column("x").to_pylist(), r.column("y").to_pylist())):
+                p, q = terms(x), terms(y)
+                n = len(p & q)
+                if n * at_least.denominator >= at_least.numerator * (len(p) + len(q) - n):
+                    keep.append(k)
+            if keep:
+                yield r.select(["a", "b"]).take(pa.array(keep))
 
     needed = classes.where("paired").select("c", F.xxhash64("tbl", "rep").alias("h"))
     hashed = docs.select(F.xxhash64("tbl", "id").alias("h"), "text")
     texts = hashed.mapInArrow(text_rows(bitmap_of(needed)), "h bigint, text string")
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c")).join(needed, "c")
-    both = sides.join(texts, "h").groupBy("a", "b").agg(F.max(F.when(F.col("c") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("c") == F.col("b"), F.col("text"))).alias("y"))
-    return both.where(similar("x", "y")).select("a", "b")
+    of = needed.join(texts, "h").groupBy("c").agg(F.max("text").alias("text"))
+    # one text of each pair travels to the other's
+    both = pairs.join(of.select(F.col("c").alias("a"), F.col("text").alias("x")), "a").join(of.select(F.col("c").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
 
 
 def class_table(docs: DataFrame, pairs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -518,7 +468,7 @@ def near_duplicates(
 
     ``docs`` has tbl, id and text. Null texts and texts without a letter or digit belong to no pair;
     rows with a null id are left out; repeated rows count once. A pair at the threshold is missed
-    with a probability of about (1 - s**rows)**bands (s: its similarity with common words weighted down) plus ``miss`` per batch; no pair under
+    with a probability of about (1 - s**rows)**bands (s: its Jaccard similarity) plus ``miss`` per batch; no pair under
     the threshold is returned. See :func:`expand` for groups of copies.
     """
     docs = docs.select("tbl", F.col("id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")

@@ -76,3 +76,16 @@ def test_bounds_keep_true_pairs():
     i, _ = nd.prune(np.arange(len(bits)), np.full(len(bits), len(bits)), np.concatenate([bits, zero]), least)
     assert len(i) >= 0.995 * len(bits)
     assert least == sorted(least)
+
+
+@pytest.mark.parametrize("frame,own,changed", [(13, 7, 3), (20, 10, 5), (27, 13, 7)])
+def test_recall_of_plain_jaccard_where_rare_words_differ(spark, frame, own, changed):
+    rnd = random.Random(frame)
+    rows = []
+    for i in range(300):
+        common = rnd.sample([f"frame{k}" for k in range(60)], frame)
+        rare = [f"r{i}x{k}" for k in range(own + changed)]
+        rows += [("m", 2 * i, " ".join(common + rare[:own]), "x"), ("m", 2 * i + 1, " ".join(common + rare[changed:]), "x")]
+    assert 0.7 <= jaccard(rows[0][2], rows[1][2], 1) < 0.75
+    found = {tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.7, 1).collect()}
+    assert len(found & {("m", 2 * i, 2 * i + 1) for i in range(300)}) >= 0.97 * 300
