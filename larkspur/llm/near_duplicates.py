@@ -27,14 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.blocks import BLOCK, block_of, pairs_within
 from larkspur.session import cut, release
 
 #: Default bands and rows: at Jaccard similarity s a pair shares a band with probability
 #: 1 - (1 - s**ROWS)**BANDS, 0.990 at 0.7 and 0.9999 at 0.8.
 BANDS, ROWS = 25, 5
 SIGNATURE, BATCH = 128, 32
-#: Most classes of a bucket that are compared in one task, and members listed pair by pair.
-HOT, EXPAND = 16_384, 10_000
+#: Most classes of a bucket that are compared in one task.
+HOT = 16_384
 #: Bits of the bitmap of records whose texts are needed (2 MiB at any size of input).
 BITMAP = 24
 #: Most words or classes a worker remembers before it starts over.
@@ -435,13 +436,29 @@ def class_table(docs: DataFrame, pairs: DataFrame, shingle: int) -> tuple[DataFr
     return classes, cut(single.unionByName(several))
 
 
-def expand(mem: DataFrame, pairs: DataFrame, limit: int = EXPAND) -> DataFrame:
+def expand(mem: DataFrame, pairs: DataFrame, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """``tbl, a_id, b_id`` of the records in one class and of those in classes of a pair.
 
-    Pairs of a class, or of two classes, are listed in full up to ``limit``; beyond that, each
-    record is paired with the smallest id of its class (and of the other class), so copies are not
-    multiplied out but stay linked to each other and to every similar text.
+    Every pair is listed; classes of any size are cut into blocks of ``block`` records that meet in
+    tasks of their own. With a ``limit``, pairs of a class or of two classes are listed in full up to
+    that number only; beyond it each record is paired with the smallest id of its class (and of the
+    other class).
     """
+    if limit is not None:
+        return _expand_limited(mem, pairs, limit)
+    inside = pairs_within(mem.where("size > 1"), ["tbl", "c", "d"], "id", "size", block).select("tbl", F.col("x").alias("a_id"), F.col("y").alias("b_id"))
+    k = block_of(F.col("id"), F.col("size"), block)
+    x = mem.select("tbl", F.col("c").alias("a"), k.alias("ka"), F.col("id").alias("x"))
+    y = mem.select(F.col("c").alias("b"), k.alias("kb"), F.col("id").alias("y"))
+    sizes = mem.where("id = rep").select("c", (F.ceil(F.col("size") / block) - 1).alias("last"))
+    zero = F.lit(0).cast("bigint")
+    met = pairs.join(sizes.select(F.col("c").alias("a"), F.col("last").alias("la")), "a").join(sizes.select(F.col("c").alias("b"), F.col("last").alias("lb")), "b")
+    met = met.withColumn("ka", F.explode(F.sequence(zero, F.col("la")))).withColumn("kb", F.explode(F.sequence(zero, F.col("lb"))))
+    across = met.select("a", "ka", "b", "kb").join(x, ["a", "ka"]).join(y, ["b", "kb"]).select("tbl", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
+    return inside.unionByName(across).where("a_id <> b_id").distinct()
+
+
+def _expand_limited(mem: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
     whole = F.col("size") * (F.col("size") - 1) / 2 <= limit
     many = mem.where("size > 1")
     star = many.where(~whole & (F.col("id") > F.col("rep"))).select("tbl", F.col("rep").alias("a_id"), F.col("id").alias("b_id"))
@@ -462,16 +479,42 @@ def expand(mem: DataFrame, pairs: DataFrame, limit: int = EXPAND) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, miss: float = 0.0005, bands: int = BANDS, rows: int = ROWS, hot: int = HOT, limit: int = EXPAND
+    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, miss: float = 0.0005, bands: int = BANDS, rows: int = ROWS, hot: int = HOT, limit: int | None = None
 ) -> DataFrame:
     """``tbl, a_id, b_id`` (a_id < b_id): records of one table whose term sets have a Jaccard similarity of at least ``threshold``.
 
     ``docs`` has tbl, id and text. Null texts and texts without a letter or digit belong to no pair;
     rows with a null id are left out; repeated rows count once. A pair at the threshold is missed
     with a probability of about (1 - s**rows)**bands (s: its Jaccard similarity) plus ``miss`` per batch; no pair under
-    the threshold is returned. See :func:`expand` for groups of copies.
+    the threshold is returned. All pairs are listed unless there is a ``limit``, see :func:`expand`.
     """
+    mem, pairs = near_duplicate_classes(docs, threshold, shingle, miss, bands, rows, hot)
+    return expand(mem, pairs, limit)
+
+
+def near_duplicate_classes(
+    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, miss: float = 0.0005, bands: int = BANDS, rows: int = ROWS, hot: int = HOT
+) -> tuple[DataFrame, DataFrame]:
+    """The result of :func:`near_duplicates` before it is multiplied out: records with links,
+    ``tbl, id, c, d, size, rep``, and the similar pairs of their classes, ``a, b``."""
     docs = docs.select("tbl", F.col("id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
     pairs = candidate_pairs(docs, threshold, miss, bands, rows, shingle, hot)
     classes, mem = class_table(docs, pairs, shingle)
-    return expand(mem, cut(verified_pairs(docs, classes, pairs, threshold, shingle)), limit)
+    verified = cut(verified_pairs(docs, classes, pairs, threshold, shingle))
+    return mem, verified
+
+
+def link_counts(mem: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``tbl, id, rep, n_links`` of each record with links, and the links of classes by their smallest
+    ids, ``tbl, src, dst``: the same as from the pairs of :func:`expand`, without listing those.
+
+    A record has as many links as its class has other records and all linked classes have records.
+    """
+    sizes = mem.where("id = rep").select("tbl", "c", "d", "size", "rep")
+    there = sizes.select(F.col("c").alias("b"), F.col("size").alias("other"), F.col("rep").alias("dst"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = cut(both.join(sizes.withColumnRenamed("c", "a"), "a").join(there, "b").select("tbl", F.col("a").alias("c"), "d", F.col("rep").alias("src"), "dst", "other"))
+    linked = near.groupBy("c", "d").agg(F.sum("other").alias("others"))
+    counts = mem.join(linked, ["c", "d"], "left").select("tbl", "id", "rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    links = near.where("src < dst").select("tbl", "src", "dst").unionByName(sizes.where("size > 1").select("tbl", F.col("rep").alias("src"), F.col("rep").alias("dst")))
+    return counts.where("n_links > 0"), links

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.bpe import encode_corpus, tokenizer_file
 from larkspur.llm.leakage import leaked_items, leaked_spans, proximity_matches
 from larkspur.llm.lookalikes import lookalike_pairs, normalised
-from larkspur.llm.near_duplicates import near_duplicates
+from larkspur.llm.near_duplicates import link_counts, near_duplicate_classes, near_duplicates
 from larkspur.operators.components import connected_components
 from larkspur.session import cut, table
 
@@ -31,13 +31,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(notes(spark, d), threshold=0.7, shingle=1)
 
 
+def near_duplicate_groups(docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    counts, links = link_counts(*near_duplicate_classes(docs, threshold, shingle))
+    counts = cut(counts)
+    groups = connected_components(links, ["tbl"]).select("tbl", F.col("id").alias("rep"), "component")
+    return counts.join(groups, ["tbl", "rep"]).select("tbl", "id", F.col("component").alias("group_id"), "n_links")
+
+
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """``tbl, id, group_id, n_links``: each record with links, the smallest id of its group and its links."""
-    pairs = cut(p1_found(spark, d))
-    both = pairs.select("tbl", F.col("a_id").alias("id")).unionByName(pairs.select("tbl", F.col("b_id").alias("id")))
-    links = both.groupBy("tbl", "id").agg(F.count("*").alias("n_links"))
-    groups = connected_components(pairs.select("tbl", F.col("a_id").alias("src"), F.col("b_id").alias("dst")), ["tbl"])
-    return links.join(groups, ["tbl", "id"]).select("tbl", "id", F.col("component").alias("group_id"), "n_links")
+    return near_duplicate_groups(notes(spark, d), threshold=0.7, shingle=1)
 
 
 def p6_ids(spark: SparkSession, d: str, name: str = "byte_bpe_50k", folder: str = "/opt/tokenizers") -> DataFrame:

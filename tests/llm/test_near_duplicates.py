@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from larkspur.llm import near_duplicates as nd
+from larkspur.llm.queries import near_duplicate_groups
+from larkspur.operators.blocks import pairs_within
 
 SCHEMA = "tbl string, id bigint, text string, c string"
 
@@ -89,3 +91,22 @@ def test_recall_of_plain_jaccard_where_rare_words_differ(spark, frame, own, chan
     assert 0.7 <= jaccard(rows[0][2], rows[1][2], 1) < 0.75
     found = {tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.7, 1).collect()}
     assert len(found & {("m", 2 * i, 2 * i + 1) for i in range(300)}) >= 0.97 * 300
+
+
+def test_every_pair_of_a_large_class_is_listed_and_counted(spark):
+    rnd = random.Random(9)
+    words = "a b c d e f g h i j".split()
+    rows = [("m", i, " ".join(rnd.sample(words, 10)), "x") for i in range(160)] + [("m", 1000 + i, " ".join(rnd.sample([*words, "k"], 11)), "x") for i in range(70)]
+    rows += [("n", 5, "one two", "x"), ("n", 6, "two one one", "x"), ("n", 7, "else", "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 0.7, 1)
+    got = nd.near_duplicates(df, 0.7, 1).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 230 * 229 // 2 + 1
+    groups = {(r.tbl, r.id): (r.group_id, r.n_links) for r in near_duplicate_groups(df, 0.7, 1).collect()}
+    assert groups == {(t, i): (0, 229) if t == "m" else (5, 1) for t, i, x, _ in rows if x != "else"}
+
+
+def test_blocks_give_every_pair_once(spark):
+    df = spark.createDataFrame([(g, i, 30) for g in "ab" for i in range(30)], "g string, id bigint, n bigint")
+    got = [tuple(r) for r in pairs_within(df, ["g"], "id", "n", 7).collect()]
+    assert sorted(got) == [(g, i, j) for g in "ab" for i in range(30) for j in range(i + 1, 30)]
