@@ -10,6 +10,7 @@ Unicode properties filled in per distinct character.
 from __future__ import annotations
 
 import hashlib
+import sys
 import unicodedata
 
 import pandas as pd
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.blocks import BLOCK, block_of, pairs_within
+
 # Letters of the shape of a Latin letter, and that letter.
 LOOKALIKES = dict(
     zip(
@@ -31,9 +34,6 @@ IGNORABLE = [(0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F
 #: Format characters that are seen or that take part in layout, so are not ignorable.
 VISIBLE_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0xFFF9, 0xFFFA, 0xFFFB, 0x110BD, 0x110CD, *range(0x13430, 0x13440)}
 
-#: Most pairs of two groups of copies, or texts of one form, that are listed in full.
-EXPAND, TEXTS = 100_000, 1000
-
 
 class Table(dict):
     """Code point to its replacement, found by rule when a character is first met."""
@@ -104,18 +104,35 @@ def lookalike_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return seen.join(forms, "form").distinct()
 
 
-def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = EXPAND, most: int = TEXTS) -> DataFrame:
+def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None, most: int | None = None, block: int = BLOCK) -> DataFrame:
     """``a_id, b_id`` (a_id < b_id): documents whose texts differ but look the same.
 
     Null and blank texts count for nothing, null keys are left out, repeated rows count once.
-    Copies of two texts are paired in full up to ``limit`` pairs and through the smallest id of the
-    other text beyond; of a form with more than ``most`` different texts, each text is paired with
-    the smallest one. So a group of any size costs no more than its size times these bounds, and
-    every two texts of one look stay linked.
+    Every pair is listed: the copies of a text are cut into parts of at most some ``block``
+    documents, a form's parts into blocks of as many parts, and blocks and parts meet in tasks of
+    their own. Only where asked for, copies of two texts are paired in full up to ``limit`` pairs
+    and through the smallest id of the other text beyond, and of a form with more than ``most``
+    different texts each text is paired with the smallest one.
     """
     from larkspur.session import cut
 
     rows = cut(lookalike_groups(docs, key, text))
+    if limit is not None or most is not None:
+        return _limited_pairs(rows, limit, most)
+    copies = rows.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    parts = copies.select("form", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / block) - 1), lambda k: F.struct("raw", k.alias("k")))).alias("part"))
+    sized = parts.join(parts.groupBy("form").agg(F.count("*").alias("n")), "form")
+    met = pairs_within(sized, ["form"], "part", "n", block).where("x.raw <> y.raw")
+    ids = rows.join(copies.where(F.col("n") > block), ["form", "raw"], "left")
+    ids = ids.select("form", "raw", F.coalesce(block_of(F.col("id"), F.col("n"), block), F.lit(0).cast("bigint")).alias("k"), "id")
+    xs = ids.select("form", F.struct("raw", "k").alias("x"), F.col("id").alias("p"))
+    ys = ids.select("form", F.struct("raw", "k").alias("y"), F.col("id").alias("q"))
+    both = met.join(xs, ["form", "x"]).join(ys, ["form", "y"])
+    return both.select(F.least("p", "q").alias("a_id"), F.greatest("p", "q").alias("b_id")).where("a_id <> b_id").distinct()
+
+
+def _limited_pairs(rows: DataFrame, limit: int | None, most: int | None) -> DataFrame:
+    limit, most = (sys.maxsize if x is None else x for x in (limit, most))
     texts = rows.groupBy("form", "raw", "n_texts").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
     first = texts.groupBy("form").agg(F.min("rep").alias("first"))
     a = texts.select("form", F.col("raw").alias("ra"), F.col("n").alias("na"), F.col("rep").alias("pa"), "n_texts")

@@ -65,3 +65,21 @@ def test_large_groups_stay_linked(spark):
     assert got == {(0, 100 + i) for i in range(20)} | {(i, 100) for i in range(30)}
     many = spark.createDataFrame([(i, "TODO" + "​" * i) for i in range(12)], "doc_id bigint, text string")
     assert {tuple(r) for r in lookalike_pairs(many, most=5).collect()} == {(0, i) for i in range(1, 12)}
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_every_pair_of_a_form_of_many_texts(spark, block):
+    marks = ["\u200b", "\u2060", "\ufeff"]
+    rows = [(i, "OK" + "".join(marks[i // 3**k % 3] for k in range(7)), "f") for i in range(1050)]
+    found = lookalike_pairs(spark.createDataFrame(rows, "doc_id bigint, text string, form string"), block=block) if block == 1000 else None
+    if found is not None:
+        assert found.count() == found.distinct().count() == 1050 * 1049 // 2
+    few = rows[:20] + [(2000 + i, "OK", "f") for i in range(30)] + [(3000 + i, "same", "f") for i in range(9)]
+    got = lookalike_pairs(spark.createDataFrame(few, "doc_id bigint, text string, form string"), block=block).collect()
+    assert {tuple(r) for r in got} == brute(few) and len(got) == len(brute(few)) == 190 + 600
+
+
+def test_every_pair_of_two_texts_with_many_copies(spark):
+    rows = [(i, "TODO") for i in range(2000)] + [(5000 + i, "TОDO") for i in range(60)]
+    got = lookalike_pairs(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.count() == 120_000 and got.where("a_id >= 2000 or b_id < 5000").isEmpty()
