@@ -185,12 +185,8 @@ def _walker(full: bool):
     return run
 
 
-def climb_large(nodes: DataFrame) -> DataFrame:
-    """SCHEMA rows of components too large for one task (columns of :func:`label_components`).
-
-    Ancestors are collected by doubling; a node's number of descendants is the number of ancestor
-    lists that name it, counted with a partial aggregate.
-    """
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """``id, slug, label, up`` of the tree nodes among ``nodes``: their ancestors, nearest first, collected by doubling."""
     tree = nodes.where("not cyclic")
     none = F.array().cast("array<struct<id:bigint,slug:string>>")
     state = cut(tree.select("id", "slug", F.coalesce("parent", "id").alias("ptr"), F.col("parent").isNull().alias("done"), "label", none.alias("up")))
@@ -202,18 +198,56 @@ def climb_large(nodes: DataFrame) -> DataFrame:
             .select("id", "slug", F.col("j_ptr").alias("ptr"), F.col("j_done").alias("done"), "label", F.concat("up", F.array("j_self"), "j_up").alias("up"))
         )
         state = cut(state.where("done").unionByName(moved))
+    return state.select("id", "slug", "label", "up")
+
+
+def climb_large(nodes: DataFrame, full: bool = False) -> DataFrame:
+    """SCHEMA (FULL_SCHEMA if ``full``) rows of components too large for one task (columns of :func:`label_components`).
+
+    A node's number of descendants is the number of ancestor lists that name it, counted with a
+    partial aggregate. The back edge of a circle leads from the node whose parent is the smallest id.
+    """
+    state = ancestors(nodes)
     below = state.select(F.explode("up.id").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     names = F.concat(F.reverse(F.col("up.slug")), F.array("slug"))
     trees = state.join(below, "id", "left").select(
-        "id", F.lit("tree").alias("shape"), F.col("label").alias("root_id"), F.size("up").cast("bigint").alias("depth"), F.array_join(names, "/").alias("slug_path"), F.coalesce("n", F.lit(0)).alias("n_desc")
+        "id", F.lit("tree").alias("shape"), F.col("label").alias("root_id"), F.size("up").cast("bigint").alias("depth"), F.array_join(names, "/").alias("slug_path"), F.coalesce("n", F.lit(0)).alias("n_desc"), F.lit(None).cast("bigint").alias("back_edge_to")
     )
     rings = nodes.where("cyclic")
     on = rings.select(F.col("onward").alias("id")).distinct().withColumn("on", F.lit(True))
     minus = F.lit(-1).cast("bigint")
     loops = rings.join(on, "id", "left").select(
-        "id", F.when(F.col("on"), "cycle").otherwise("tail").alias("shape"), F.col("label").alias("root_id"), minus.alias("depth"), F.lit("").alias("slug_path"), minus.alias("n_desc")
-    )
-    return trees.unionByName(loops)
+        "id", F.when(F.col("on"), "cycle").otherwise("tail").alias("shape"), F.col("label").alias("root_id"), minus.alias("depth"), F.lit("").alias("slug_path"), minus.alias("n_desc"),
+        F.when(F.col("on") & (F.col("parent") == F.col("label")), F.col("label")).alias("back_edge_to"),
+    )
+    rows = trees.unionByName(loops)
+    if not full:
+        return rows.drop("back_edge_to")
+    lists = state.select(F.explode("up.id").alias("id"), F.col("id").alias("d")).groupBy("id").agg(F.sort_array(F.collect_list("d")).alias("descendants"))
+    none = F.array().cast("array<bigint>")
+    return rows.join(lists, "id", "left").select(*[c.split()[0] for c in SCHEMA.split(", ")], F.coalesce("descendants", none).alias("descendants"), "back_edge_to")
+
+
+def _by_size(rows: DataFrame, id_col: str, parent_col: str, label_col: str, max_component: int) -> tuple[DataFrame, DataFrame | None]:
+    """Labelled nodes of the components up to ``max_component``, and of the larger ones if there are any."""
+    nodes = cut(label_components(clean_nodes(rows, id_col, parent_col, label_col)))
+    big = nodes.groupBy("label").count().where(F.col("count") > max_component).select("label")
+    if big.isEmpty():
+        return nodes, None
+    return nodes.join(big, "label", "left_anti"), cut(nodes.join(big, "label", "left_semi"))
+
+
+def _walked(small: DataFrame, full: bool) -> DataFrame:
+    return small.select("label", "id", "parent", "slug").repartition("label").sortWithinPartitions("label").mapInArrow(_walker(full), FULL_SCHEMA if full else SCHEMA)
+
+
+def descendant_rows(rows: DataFrame, id_col: str = "id", parent_col: str = "supersedes", label_col: str = "slug", max_component: int = 50_000) -> DataFrame:
+    """``id, descendant_id``: one row per tree node and descendant, of components of any size."""
+    small, large = _by_size(rows, id_col, parent_col, label_col, max_component)
+    out = _walked(small, True).select("id", F.explode("descendants").alias("descendant_id"))
+    if large is None:
+        return out
+    return out.unionByName(ancestors(large).select(F.explode("up.id").alias("id"), F.col("id").alias("descendant_id")))
 
 
 def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "supersedes", label_col: str = "slug", max_component: int = 50_000, full: bool = False) -> DataFrame:
@@ -226,19 +260,9 @@ def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "supersedes
     of one. Null ids are dropped, repeated rows count once, an empty table gives no rows.
 
     ``full`` adds the sorted array of all descendants and, on the node whose parent link closes a
-    circle, ``back_edge_to``; it is meant for components up to ``max_component``, and above that
-    size the two columns are left null (p2 results stay complete: n_desc is exact at any size).
+    circle, ``back_edge_to``. The array of a node with very many descendants is one large value;
+    :func:`descendant_rows` gives the same as rows.
     """
-    nodes = cut(label_components(clean_nodes(rows, id_col, parent_col, label_col)))
-    big = nodes.groupBy("label").count().where(F.col("count") > max_component).select("label")
-    hot = nodes.join(big, "label", "left_semi")
-    none_big = big.isEmpty()
-    small = nodes if none_big else nodes.join(big, "label", "left_anti")
-    schema = FULL_SCHEMA if full else SCHEMA
-    out = small.select("label", "id", "parent", "slug").repartition("label").sortWithinPartitions("label").mapInArrow(_walker(full), schema)
-    if none_big:
-        return out
-    far = climb_large(cut(hot))
-    if full:
-        far = far.withColumn("descendants", F.lit(None).cast("array<bigint>")).withColumn("back_edge_to", F.lit(None).cast("bigint"))
-    return out.unionByName(far)
+    small, large = _by_size(rows, id_col, parent_col, label_col, max_component)
+    out = _walked(small, full)
+    return out if large is None else out.unionByName(climb_large(large, full))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.timestamps import restamp_tables, with_utc
 from larkspur.functions.zones import database_version
-from larkspur.operators.hierarchy import hierarchy
+from larkspur.operators.hierarchy import descendant_rows, hierarchy
 from larkspur.operators.orphans import orphan_counts, orphan_references
 from larkspur.operators.sessions import instant_ms, sessionise
 from larkspur.session import table
@@ -26,9 +26,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """One row per lock and descendant, and the back edge that closes each circle."""
-    full = hierarchy(table(spark, d, "locks"), full=True)
-    return full.select("id", F.explode("descendants").alias("descendant_id"))
+    """One row per lock and descendant."""
+    return descendant_rows(table(spark, d, "locks"))
 
 
 def p2_back_edges(spark: SparkSession, d: str) -> DataFrame:

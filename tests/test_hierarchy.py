@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from larkspur.operators.hierarchy import hierarchy
+from larkspur.operators.hierarchy import descendant_rows, hierarchy
 
 SCHEMA = "id bigint, supersedes bigint, slug string"
 
@@ -68,3 +68,17 @@ def test_descendants_and_back_edges(spark):
     assert full[1].descendants == [2, 3, 4] and full[2].descendants == [3]
     edges = [(r.id, r.back_edge_to) for r in full.values() if r.back_edge_to is not None]
     assert len(edges) == 1 and set(edges[0]) == {7, 8}
+
+
+@pytest.mark.parametrize("limit", [50_000, 3])
+def test_descendants_and_back_edges_at_any_size(spark, limit):
+    chain = [(i, i - 1 if i > 1 else None, f"c{i}") for i in range(1, 30)]
+    loop = [(50, 52, "a"), (51, 50, "b"), (52, 51, "c"), (53, 50, "t"), (54, 53, "t")]
+    self_loop = [(60, 60, "s")] + [(61 + k, 60, "t") for k in range(4)]
+    df = spark.createDataFrame(chain + loop + self_loop, SCHEMA)
+    below = [(a, b) for a in range(1, 30) for b in range(a + 1, 30)]
+    assert sorted(tuple(r) for r in descendant_rows(df, max_component=limit).collect()) == below
+    full = hierarchy(df, max_component=limit, full=True).collect()
+    assert sorted((r.id, x) for r in full for x in r.descendants) == below
+    back = sorted((r.root_id, r.shape, {50: 52, 51: 50, 52: 51, 60: 60}[r.id] == r.back_edge_to) for r in full if r.back_edge_to is not None)
+    assert back == [(50, "cycle", True), (60, "cycle", True)]
