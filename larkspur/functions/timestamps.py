@@ -38,8 +38,8 @@ _FORMS = [
     r"(?P<y>9999)(?P<m>99)(?P<d>99)(?:(?P<sep>[a ])(?P<h>99)(?P<mi>99)(?:(?P<s>99)(?:[.,](?P<f>9+))?)?" + _ZONE + ")?",
     r"(?P<sec>9{10})(?:\.(?P<f>9+))?",
     r"(?P<ms>9{13})",
-    r"(?:(?P<wd>a+), ?)?(?P<d>99?) (?P<mon>a+) (?P<y>9999)(?: " + _TIME + _ZONE + ")?",
-    r"(?:(?P<wd>a+), ?)?(?P<mon>a+) (?P<d>99?), ?(?P<y>9999)(?: " + _TIME + _ZONE + ")?",
+    r"(?:(?P<wd>a+), ?)?(?P<d>99?) (?P<mon>a+) (?P<y>9999)(?:(?P<sep>[a ]) ?" + _TIME + _ZONE + ")?",
+    r"(?:(?P<wd>a+), ?)?(?P<mon>a+) (?P<d>99?), ?(?P<y>9999)(?:(?P<sep>[a ]) ?" + _TIME + _ZONE + ")?",
 ]
 FORMS = [re.compile(x) for x in _FORMS]
 _MASK = {c: "9" for c in range(48, 58)} | {c: "a" for c in range(97, 123)}
@@ -249,3 +249,16 @@ def restamp_tables(tables: dict[str, DataFrame]) -> DataFrame:
         restamped(tables["locks"], "locks", "locked_on", None, None, "date"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def normalised_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """``tbl, rec_id, stamp, utc_us`` of every record of the three tables, repeated rows once.
+
+    A null or unreadable stamp has a null instant; stamps already written as wanted count too.
+    """
+    roots = tables["source_roots"]
+    parts = []
+    for tbl, stamp, path in (("episodes", "ts", "source_path"), ("memories", "created_at", "source_path"), ("locks", "locked_on", None)):
+        rows = tables[tbl].select(F.lit(tbl).alias("tbl"), F.col("id").cast("bigint").alias("rec_id"), F.col(stamp).alias("stamp"), (F.col(path) if path else F.lit(None).cast("string")).alias("path")).distinct()
+        parts.append(with_utc(rows, "stamp", "path" if path else None, roots).drop("path"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.timestamps import restamp_tables, with_utc
+from larkspur.functions.timestamps import normalised_tables, restamp_tables
 from larkspur.functions.zones import database_version
 from larkspur.operators.hierarchy import descendant_rows, hierarchy
 from larkspur.operators.orphans import orphan_counts, orphan_references
@@ -41,9 +41,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Every episode with its instant (null if unreadable) and the release of the zone tables."""
-    e = table(spark, d, "episodes").select("id", "ts", "source_path").distinct()
-    return with_utc(e, "ts", "source_path", table(spark, d, "source_roots")).select("id", "ts", "utc_us", F.lit(database_version()).alias("zone_tables"))
+    """Every record with its instant (null if unreadable) and the release of the zone tables."""
+    return normalised_tables(_tables(spark, d, "episodes", "memories", "locks", "source_roots")).withColumn("zone_tables", F.lit(database_version()))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -27,11 +27,11 @@ def read(stamp, order="ymd", zone="UTC"):
         zone, s = ZONES.get(m[1]), s[: m.start()]
     if zone is None:
         return None
-    if m := re.search(r"(?<=[0-9:])\s*([+-])([0-9]{2}):?([0-9]{2})?$", s):
+    if m := re.search(r"(?<=[0-9:m])\s*([+-])([0-9]{2}):?([0-9]{2})?$", s):
         if ":" in s[: m.start()]:
             offset = timedelta(hours=int(m[2]), minutes=int(m[3] or 0)) * (-1 if m[1] == "-" else 1)
             s = s[: m.start()]
-    if offset is None and (m := re.search(r"(?<=[0-9])\s?(z|[a-z]{3,4})$", s)):
+    if offset is None and (m := re.search(r"(?:(?<=[0-9])\s?|(?<=[ap]m)\s)(z|[a-z]{3,4})$", s)):
         if m[1] not in HOURS:
             return None
         offset, s = timedelta(hours=HOURS[m[1]]), s[: m.start()]

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from larkspur.functions.timestamps import restamp_tables, to_utc_us, with_utc
+from larkspur.functions.timestamps import normalised_tables, restamp_tables, to_utc_us, with_utc
 from larkspur.functions.zones import database_version, transitions
 from stamp_reference import read
 
@@ -29,6 +29,10 @@ CASES = [
     ("2025-02-30", "ymd", "UTC", None),
     ("2025-04-19T25:10:00+00:00", "ymd", "UTC", None),
     ("2025-04-19 13:00 PM", "ymd", "UTC", None),
+    ("28 SEP 2000T15:32:04 cest", "ymd", "UTC", 970147924000000),
+    ("Sep 28, 2000t15:32", "ymd", "UTC", 970155120000000),
+    ("28 SEP 2000x15:32:04", "ymd", "UTC", None),
+    ("2 Mar 2025 10:54 pm+05:30", "ymd", "UTC", 1740936240000000),
     ("24 Foo 2025", "ymd", "UTC", None),
     ("20251340", "ymd", "UTC", None),
     ("T10:22:00Z", "ymd", "UTC", None),
@@ -78,6 +82,10 @@ def test_tables(spark):
     assert sorted(tuple(r) for r in restamp_tables(t).collect()) == [
         ("episodes", 2, feb3 - 9 * day // 24), ("episodes", 5, feb3), ("locks", 2, 1734393600000000), ("locks", 3, 1734454800000000), ("memories", 2, 1734398357000000),
     ]
+    every = normalised_tables(t).collect()
+    assert len(every) == 5 + 2 + 3 and sum(r.utc_us is None for r in every) == 3
+    assert {(r.tbl, r.rec_id, r.utc_us) for r in every} >= {tuple(r) for r in restamp_tables(t).collect()}
+    assert normalised_tables({k: v.limit(0) for k, v in t.items()}).collect() == []
     assert restamp_tables({k: v.limit(0) for k, v in t.items()}).collect() == []
     assert with_utc(t["episodes"], "ts", "source_path", roots).where("utc_us is null").count() == 2
 
