@@ -1,16 +1,15 @@
-"""Gap-based sessions by pointer doubling, without a window over a whole key.
-
-A key may hold a third of all events, so no step sorts a whole key in one task. Events are spread
-over (key, time slice); inside a slice, events less than the gap apart are contracted to runs (the
-predecessor links of a slice followed at once). Only the first run of a slice can have its
-predecessor elsewhere, in the slice before, because a slice is no shorter than the gap. Those links
-are pointers among runs, which double by self-joins until every run points at its session's root;
-the session aggregates its runs.
+"""Gap-based sessions by pointer doubling over events, without a window or a sort over a key.
+
+Time is cut into cells as wide as the gap, so two events of one key and cell are always in one
+session: they are contracted to a node by a hash aggregate, with partial sums before the shuffle,
+whether a cell holds one event or a burst of a third of all rows. The predecessor of a node within
+the gap can only lie in the cell before. These links are the pointers; they double by self-joins
+until every node points at the first node of its session, and the session aggregates its nodes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.session import cut
@@ -24,25 +23,44 @@ def instant_ms(ts):
     return F.when(ts.rlike(RFC3339), F.unix_millis(F.try_to_timestamp(F.upper(ts))))
 
 
-def runs(events: DataFrame, keys: list[str], id_col: str, ms_col: str, gap_ms: int, slice_ms: int) -> DataFrame:
-    """``keys, slice, seq, lo, hi, n``: maximal runs of a key inside a time slice."""
-    if slice_ms < gap_ms:
-        raise ValueError("a time slice must be no shorter than the gap")
-    part = [*keys, "slice"]
-    one = (
-        events.select(*keys, F.col(id_col).alias("eid"), F.col(ms_col).alias("ms"))
-        .dropna(subset=[*keys, "ms"])
-        .withColumn("slice", F.floor(F.col("ms") / F.lit(slice_ms)).cast("bigint"))
-        .repartition(*part)
-        .dropDuplicates([*part, "ms", "eid"])  # same partitioning: no second shuffle
-    )
-    w = Window.partitionBy(*part).orderBy("ms", "eid")
-    before = F.lag("ms").over(w)
-    seq = F.sum(F.when(before.isNull() | (F.col("ms") - before >= gap_ms), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return one.withColumn("seq", seq).groupBy(*part, "seq").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.count("*").alias("n"))
+def nodes(events: DataFrame, keys: list[str], id_col: str, ms_col: str, gap_ms: int) -> DataFrame:
+    """``keys, cell, lo, hi, n``: the events of a key in a cell of ``gap_ms``, each event once."""
+    one = events.select(*keys, F.col(id_col).alias("eid"), F.col(ms_col).alias("ms")).dropna(subset=[*keys, "ms"]).distinct()
+    cell = F.floor(F.col("ms") / F.lit(gap_ms)).cast("bigint")
+    return one.groupBy(*keys, cell.alias("cell")).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.count("*").alias("n"))
+
+
+def _with_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def roots_of(linked: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, cell, root``: the first cell reached from each linked node (keys, cell), whose pointer
+    is the cell before; nodes that are not in ``linked`` are roots.
 
+    After round k a pointer spans 2**k links. A node whose pointer is a root is settled and takes
+    part in later rounds only as a target.
+    """
+    state = cut(linked.select(*keys, "cell", (F.col("cell") - 1).alias("ptr")))
+    settled, active = [], state
+    while True:
+        jump = _with_prefix(state, "j_")
+        moved = active.join(jump, [*[F.col(k) == F.col(f"j_{k}") for k in keys], F.col("ptr") == F.col("j_cell")], "left")
+        new = cut(moved.select(*keys, "cell", F.coalesce("j_ptr", "ptr").alias("ptr"), F.col("j_ptr").isNotNull().alias("went")))
+        settled.append(new.where("not went").select(*keys, "cell", "ptr"))
+        active = new.where("went").select(*keys, "cell", "ptr")
+        if active.isEmpty():
+            break
+        state = active
+        for part in settled:
+            state = state.unionByName(part)
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("ptr", "root")
 
-def sessionise(events: DataFrame, keys: list[str], id_col: str, ms_col: str, gap_ms: int = 30 * 60_000, slice_ms: int = 2 * 3600_000) -> DataFrame:
+
+def sessionise(events: DataFrame, keys: list[str], id_col: str, ms_col: str, gap_ms: int = 30 * 60_000) -> DataFrame:
     """``keys, start_ms, end_ms, n_events``: one row per session of a key.
 
     Neighbours of one key ``gap_ms`` or more apart belong to different sessions. Rows with a null
@@ -50,26 +68,15 @@ def sessionise(events: DataFrame, keys: list[str], id_col: str, ms_col: str, gap
     again (null ids compare as equal); different ids at one time all count. An empty input gives no
     rows. Other columns are ignored, whatever their names.
     """
-    part = [*keys, "slice"]
-    r = cut(runs(events, keys, id_col, ms_col, gap_ms, slice_ms))
-    ends = r.groupBy(*part).agg(F.max(F.struct("hi", "seq")).alias("e"))
-    prev = ends.select(*[F.col(k).alias(f"p_{k}") for k in keys], (F.col("slice") + 1).alias("p_next"), F.col("slice").alias("p_slice"), F.col("e.hi").alias("p_hi"), F.col("e.seq").alias("p_seq"))
-    same = [F.col(k) == F.col(f"p_{k}") for k in keys]
-    linked = r.where("seq = 1").join(prev, [*same, F.col("slice") == F.col("p_next"), F.col("lo") - F.col("p_hi") < gap_ms])
-    # (slice, seq) names a run of a key; its pointer is a run no later than itself
-    state = cut(linked.select(*keys, "slice", "seq", F.struct(F.col("p_slice").alias("slice"), F.col("p_seq").alias("seq")).alias("ptr")))
-    while True:
-        jump = state.select(*[F.col(k).alias(f"j_{k}") for k in keys], F.struct("slice", "seq").alias("j_at"), F.col("ptr").alias("j_ptr"))
-        moved = state.join(jump, [*[F.col(k) == F.col(f"j_{k}") for k in keys], F.col("ptr") == F.col("j_at")], "left")
-        new = cut(moved.select(*keys, "slice", "seq", F.coalesce("j_ptr", "ptr").alias("ptr"), F.col("j_ptr").isNotNull().alias("went")))
-        if new.where("went").isEmpty():
-            break
-        state = new.drop("went")
-    roots = state.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("slice").alias("r_slice"), F.col("seq").alias("r_seq"), "ptr")
-    rooted = r.join(roots, [*[F.col(k) == F.col(f"r_{k}") for k in keys], F.col("slice") == F.col("r_slice"), F.col("seq") == F.col("r_seq")], "left")
-    root = F.coalesce("ptr", F.struct("slice", "seq"))
+    if gap_ms <= 0:
+        raise ValueError("a gap is a positive number of milliseconds")
+    node = cut(nodes(events, keys, id_col, ms_col, gap_ms))
+    prev = node.select(*[F.col(k).alias(f"p_{k}") for k in keys], (F.col("cell") + 1).alias("p_next"), F.col("hi").alias("p_hi"))
+    linked = node.join(prev, [*[F.col(k) == F.col(f"p_{k}") for k in keys], F.col("cell") == F.col("p_next"), F.col("lo") - F.col("p_hi") < gap_ms], "left_semi")
+    found = _with_prefix(roots_of(linked, keys), "r_")
+    rooted = node.join(found, [*[F.col(k) == F.col(f"r_{k}") for k in keys], F.col("cell") == F.col("r_cell")], "left")
     return (
-        rooted.select(*keys, root.alias("root"), "lo", "hi", "n")
+        rooted.select(*keys, F.coalesce("r_root", "cell").alias("root"), "lo", "hi", "n")
         .groupBy(*keys, "root")
         .agg(F.min("lo").alias("start_ms"), F.max("hi").alias("end_ms"), F.sum("n").alias("n_events"))
         .select(*keys, "start_ms", "end_ms", "n_events")
