@@ -1,14 +1,16 @@
 """Evaluation passages inside training text, by a distributed positional inverted index.
 
-The corpus is stored as an index in shards of whole documents: for each document the ids and
-positions of the terms that the test material uses. Each window of ``n`` test words is a query. In
-each shard the postings of the window's rarest term (by postings in the whole corpus), set back by
-the term's offset, give candidate starts; the lists of the next rarer terms, set back by theirs,
-are intersected with them one after the other, whole arrays at a time, until all ``n`` agree. As a
-match lies within one document, nothing is shuffled but the counts of terms.
-
-The windows travel to the shards as arrays, after their number was checked; test material of more
-than ``MOST_WINDOWS`` windows is matched by shuffled joins on the same postings instead.
+The index holds the postings of every term of the corpus, whatever the test material, so it is
+stored once and read by every query. A map task turns a slice of documents into one block of
+postings per term (documents and positions side by side), so a term that stands in every document
+is many blocks and never one group. Blocks are stored by term: a directory per range of term ids,
+sorted inside; a bucket that outgrows a task's share is split on the way.
+
+A query is a window of ``n`` words of an item. Its terms are ordered by their number of postings.
+The list of the rarest, set back by the term's place in the item, gives candidate alignments of the
+item with documents; the lists of the next rarer terms, set back by theirs, are intersected with
+them, and what is left is checked against all other words of the window. Windows that begin with
+the same rarest terms share these steps.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.session import checkpoint_dir, cut
 
-#: Most rows of a side that is broadcast, and most windows that are handed to the shards (16 bytes a word).
-BROADCAST_ROWS, MOST_WINDOWS = 200_000, 500_000
+#: Most rows of a side that is broadcast.
+BROADCAST_ROWS = 200_000
+#: Directories of the index, each a range of term ids (hashes), and documents of a block.
+BUCKETS, SLICE = 32, 2000
 
 
 def words(text: Column) -> Column:
@@ -32,170 +36,149 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared checkpoint folder; the files go when the session ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, as it is otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def test_terms(items: DataFrame, item: str, text: str) -> DataFrame:
-    """``item, pos, term`` of the test material, repeated rows once."""
-    return items.select(F.col(item).alias("item"), F.posexplode(words(F.col(text))).alias("pos", "term")).where("item is not null").distinct()
-
-
-def build_index(docs: DataFrame, doc: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """The stored index ``doc, tids, at``: per document, in order of position, the terms of
-    ``vocabulary`` (term, tid: a hash of it) and where they stand."""
+def bucket_of(tid: Column) -> Column:
+    return F.shiftrightunsigned(tid, 64 - BUCKETS.bit_length() + 1).cast("int")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, h: hashes of the words in order) -> (tid, n, docs, at), a row per term and slice."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, SLICE):
+            b = whole.slice(a, SLICE)
+            lists = b.column("h")
+            ends = lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            h = lists.flatten().to_numpy()
+            if not len(h):
+                continue
+            doc = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            place = (np.arange(len(h)) - ends[doc]).astype(np.int32)
+            by = np.argsort(h, kind="stable")
+            tid = h[by]
+            starts = np.flatnonzero(np.r_[True, tid[1:] != tid[:-1]])
+            offsets = pa.array(np.r_[starts, len(tid)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(tid[starts]),
+                    pa.array(np.diff(np.r_[starts, len(tid)]).astype(np.int32)),
+                    pa.ListArray.from_arrays(offsets, b.column("doc").take(pa.array(doc[by]))),
+                    pa.ListArray.from_arrays(offsets, pa.array(place[by])),
+                ],
+                names=["tid", "n", "docs", "at"],
+            )
+
+
+class Index:
+    """A stored positional index: ``postings`` (bucket, tid, n, docs, at) and ``weights`` (tid, df:
+    number of postings)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path
+        form = spark.read.parquet(f"{path}/form").schema  # a table without rows may have no file
+        self.postings = spark.read.schema(form).parquet(f"{path}/postings")
+        self.weights = spark.read.parquet(f"{path}/weights")
+
+    def of(self, tids: DataFrame) -> DataFrame:
+        """``tid, doc, pos``: the postings of the terms in ``tids`` (tid); only their buckets are read."""
+        tids = tids.select("tid").distinct()
+        at = [r.b for r in tids.select(bucket_of(F.col("tid")).alias("b")).distinct().collect()]  # at most BUCKETS
+        blocks = self.postings.where(F.col("bucket").isin(at)).join(small(tids), "tid", "left_semi")
+        return blocks.select("tid", F.explode(F.arrays_zip("docs", "at")).alias("p")).select("tid", F.col("p.docs").alias("doc"), F.col("p.at").alias("pos"))
+
+
+def build_index(docs: DataFrame, doc: str, text: str, path: str | None = None) -> Index:
+    """Stores the index of all terms of ``docs`` under ``path``, or in the shared checkpoint folder,
+    where it goes when the session ends.
+
+    Rows with a null key and texts without a word have no postings. Keys are unique but for
+    repeated rows, whose postings stand twice and match as one.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc).alias("doc"), words(F.col(text)).alias("w")).where("doc is not null and size(w) > 0")
-    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r.tid for r in vocabulary.select("tid").collect()], np.int64)))
-
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = known.value
-            for b in batches:
-                lists = b.column("h")
-                ends = lists.offsets.to_numpy()
-                h = lists.flatten().to_numpy()
-                ends = ends - ends[0]
-                hit = v[np.minimum(np.searchsorted(v, h), len(v) - 1)] == h if len(v) else np.zeros(len(h), bool)
-                place = (np.arange(len(h)) - np.repeat(ends[:-1], np.diff(ends))).astype(np.int32)
-                new = np.concatenate([[0], np.cumsum(hit)])[ends].astype(np.int32)
-                keep_ = pa.array(new)
-                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.ListArray.from_arrays(keep_, pa.array(h[hit])), pa.ListArray.from_arrays(keep_, pa.array(place[hit]))], names=["doc", "tids", "at"])
-
-        hashed = rows.select("doc", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-        return stored(hashed.mapInArrow(keep, f"doc {dict(rows.dtypes)['doc']}, tids array<bigint>, at array<int>"), "index")
-    tokens = rows.select("doc", F.posexplode("w").alias("pos", "term")).join(vocabulary, "term")
-    lists = tokens.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("l"))  # one document's words
-    return stored(lists.select("doc", F.col("l.tid").alias("tids"), F.col("l.pos").alias("at")), "index")
-
-
-def postings_of(index: DataFrame) -> DataFrame:
-    """``tid, doc, pos``: the index by term."""
-    return index.select("doc", F.explode(F.arrays_zip("tids", "at")).alias("p")).select("p.tids", "doc", "p.at").toDF("tid", "doc", "pos")
-
-
-def windows(terms: DataFrame, n: int) -> DataFrame:
-    """``win, off, tid``: the windows of n words of the test material, equal ones once, and
-    ``win, item``: the items that hold each. ``win`` is a hash of the window's words."""
-    listed = terms.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tid"))), lambda x: x["tid"]).alias("tids"))  # one item's words
-    cut_ = listed.where(F.size("tids") >= n).select("item", "tids", F.explode(F.sequence(F.lit(1), F.size("tids") - n + 1)).alias("at"))
-    return cut_.select("item", F.expr(f"slice(tids, at, {n})").alias("w")).withColumn("win", F.sha2(F.concat_ws(",", "w"), 256))
-
-
-def phrase_matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = 12, lists: int = 3, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    if path is None:
+        path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    rows = docs.select(F.col(doc).alias("doc"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("h")).where("doc is not null and size(h) > 0")
+    kind = dict(rows.dtypes)["doc"]
+    blocks = rows.mapInArrow(_blocks, f"tid bigint, n int, docs array<{kind}>, at array<int>").withColumn("bucket", bucket_of(F.col("tid")))
+    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "tid").write.partitionBy("bucket").parquet(f"{path}/postings")
+    form = blocks.select("tid", "n", "docs", "at", "bucket").schema
+    spark.createDataFrame([], form).write.parquet(f"{path}/form")
+    spark.read.schema(form).parquet(f"{path}/postings").groupBy("tid").agg(F.sum("n").alias("df")).write.parquet(f"{path}/weights")
+    return Index(spark, path)
+
+
+def item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
+    """``it, item, pos, term, tid`` of the test material; ``it`` names an item's text, repeated rows
+    are one."""
+    one = items.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item is not null").distinct()
+    return one.select(F.xxhash64("item", "text").alias("it"), "item", F.posexplode(words(F.col("text"))).alias("pos", "term")).withColumn("tid", F.xxhash64("term"))
+
+
+def _weights(index: Index, terms: DataFrame) -> DataFrame:
+    return small(cut(index.weights.join(small(terms.select("tid").distinct()), "tid", "left_semi")))
+
+
+def window_plan(index: Index, terms: DataFrame, n: int) -> DataFrame:
+    """``it, s, o``: each window of n words (s: its first) of which every term occurs in the corpus, and
+    its places ``o`` (q, tid) in the item, rarest term first."""
+    weighed = terms.join(_weights(index, terms), "tid", "left").select("it", "pos", F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("pos").alias("q"), "tid").alias("x"))
+    listed = weighed.groupBy("it").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("l"))  # one item's words
+    each = listed.where(F.size("l") >= n).select("it", "l", F.explode(F.sequence(F.lit(0), F.size("l") - n)).alias("s"))
+    slots = each.select("it", "s", F.array_sort(F.slice("l", F.col("s") + 1, n)).alias("o")).where(F.col("o")[0]["df"] > 0)
+    return slots.select("it", "s", F.transform("o", lambda x: F.struct(x["q"].alias("q"), x["tid"].alias("tid"))).alias("o"))
+
+
+def phrase_matches(index: Index, items: DataFrame, item: str, item_text: str, n: int = 12, lists: int = 3) -> DataFrame:
     """``doc, item, start``: each place where ``n`` words in a row of an item stand in a document.
 
     Null and empty texts and texts of under ``n`` words match nothing, null keys are left out,
-    repeated rows count once. ``lists`` only matters beyond ``most_windows``: how many of the rarest
-    lists are intersected by joins of their own.
+    repeated rows count once. ``lists`` says how many of the rarest lists are intersected one by
+    one before the rest is checked at once.
     """
-    raw = cut(test_terms(items, item, item_text))
-    vocabulary = cut(raw.select("term").distinct().select("term", F.xxhash64("term").alias("tid")))
-    wins = cut(windows(raw.join(vocabulary, "term"), n))
-    index = build_index(docs.select(doc, text), doc, text, vocabulary)
-    weight = index.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count("*").alias("df"))
-    slots = wins.select("win", "w").distinct().select("win", F.posexplode("w").alias("off", "tid")).join(small(weight), "tid", "left")
-    rarest = Window.partitionBy("win").orderBy(F.coalesce("df", F.lit(0)), "off")
-    plan = cut(slots.withColumn("turn", F.row_number().over(rarest)).select("win", "off", "tid", "turn", F.coalesce("df", F.lit(0)).alias("df")))
-    hopeless = plan.where("df = 0").select("win").distinct()  # a term the corpus doesn't hold
-    plan = cut(plan.join(hopeless, "win", "left_anti").drop("df"))
-
-    held = small(wins.select("win", "item").distinct())
-    if plan.where("turn = 1").count() <= most_windows:
-        got = plan.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("turn", "off", "tid"))).alias("l")).select("win", "l.off", "l.tid").toPandas()
-        table = Windows(got["win"].tolist(), np.array(got["off"].tolist(), np.int64).reshape(-1, n), np.array(got["tid"].tolist(), np.int64).reshape(-1, n))
-        shared = docs.sparkSession.sparkContext.broadcast(table)
-        kind = dict(index.dtypes)["doc"]
-        whole = index.mapInArrow(lambda batches: shared.value.match(batches), f"doc {kind}, start int, win string")
-    else:
-        whole = joined_matches(postings_of(index), plan, n, lists)
-    return whole.join(held, "win").select("doc", "item", "start")
-
-
-class Windows:
-    """The query windows: per window its words' offsets and term ids, rarest first."""
-
-    def __init__(self, names: list[str], offsets: np.ndarray, tids: np.ndarray):
-        order = np.argsort(tids[:, 0], kind="stable") if len(names) else np.zeros(0, np.int64)
-        self.names, self.offsets, self.tids = [names[k] for k in order], offsets[order], tids[order]
-
-    def match(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc, tids, at) -> (doc, start, win): every place where a whole window stands."""
-        for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
-                sizes = np.diff(part.column("tids").offsets.to_numpy())
-                tid, at = part.column("tids").flatten().to_numpy(), part.column("at").flatten().to_numpy().astype(np.int64)
-                if not len(tid) or not self.names:
-                    continue
-                doc = np.repeat(np.arange(part.num_rows), sizes)
-                # all documents on one line, with room between them, so a position names one word
-                length = np.zeros(part.num_rows, np.int64)
-                np.maximum.at(length, doc, at + 1)
-                base = np.concatenate([[0], np.cumsum(length + self.offsets.shape[1])])
-                line = np.zeros(base[-1] + 1, np.int64)
-                filled = np.zeros(base[-1] + 1, bool)
-                place = base[doc] + at
-                line[place], filled[place] = tid, True
-                lo, hi = np.searchsorted(self.tids[:, 0], tid, "left"), np.searchsorted(self.tids[:, 0], tid, "right")
-                many = hi - lo
-                post = np.repeat(np.arange(len(tid)), many)
-                win = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-                start = place[post] - self.offsets[win, 0]
-                ok = start >= base[doc[post]]
-                start, win, post = start[ok], win[ok], post[ok]
-                for k in range(1, self.offsets.shape[1]):
-                    to = np.minimum(start + self.offsets[win, k], len(line) - 1)
-                    ok = filled[to] & (line[to] == self.tids[win, k])
-                    start, win, post = start[ok], win[ok], post[ok]
-                if len(start):
-                    d = doc[post]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc").take(pa.array(d)), pa.array((start - base[d]).astype(np.int32)), pa.array([self.names[w] for w in win], pa.string())], names=["doc", "start", "win"]
-                    )
-
-
-def joined_matches(postings: DataFrame, plan: DataFrame, n: int, lists: int) -> DataFrame:
-    """``win, doc, start`` by shuffled joins: candidates of the rarest list, intersected with the next
-    ``lists`` - 1, then counted against all the others."""
+    lists = min(lists, n - 1)
+    terms = cut(item_terms(items, item, item_text))
+    plan = cut(window_plan(index, terms, n))
+    q = lambda k: F.col("o")[k]["q"]
 
     def turn(k: int) -> DataFrame:
-        return small(plan.where(F.col("turn") == k).select("win", "off", "tid"))
-
-    found = postings.join(turn(1), "tid").select("win", "doc", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    for k in range(2, lists + 1):
-        need = found.join(turn(k), "win").select("win", "doc", "start", "tid", (F.col("start") + F.col("off")).alias("pos"))
-        terms = postings.join(small(plan.where(F.col("turn") == k).select("tid").distinct()), "tid", "left_semi")
-        found = need.join(terms, ["doc", "pos", "tid"], "left_semi").select("win", "doc", "start")
+        """The distinct beginnings q0..qk of the windows' places, with the tid of the last."""
+        return cut(plan.select("it", *[q(i).alias(f"q{i}") for i in range(k + 1)], F.col("o")[k]["tid"].alias("tid")).distinct())
+
+    first = turn(0)
+    # shift: the document's word on which the item's first word would fall
+    found = index.of(first).join(small(first), "tid").select("it", "q0", "doc", (F.col("pos") - F.col("q0")).alias("shift"))
+    for k in range(1, lists):
+        step = turn(k)
+        need = found.join(small(step), ["it", *[f"q{i}" for i in range(k)]]).withColumn("pos", F.col("shift") + F.col(f"q{k}")).where("pos >= 0")
+        found = need.join(index.of(step), ["tid", "doc", "pos"], "left_semi").drop("tid", "pos")
     found = cut(found)
-    rest = small(plan.where(F.col("turn") > lists).select("win", "off", "tid"))
-    need = found.join(rest, "win").select("win", "doc", "start", "tid", (F.col("start") + F.col("off")).alias("pos"))
-    here = postings.join(small(found.select("doc").distinct()), "doc", "left_semi")
-    return need.join(here, ["doc", "pos", "tid"]).groupBy("win", "doc", "start").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == n - lists).select("win", "doc", "start")
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
+    begun = [f"q{i}" for i in range(lists)]
+    left = small(plan.select("it", "s", *[q(i).alias(f"q{i}") for i in range(lists)], F.slice("o", lists + 1, n).alias("o")))
+    open_ = found.join(left, ["it", *begun]).where("shift + s >= 0").select("it", "doc", "shift", "s", "o")
+    need = open_.select("it", "doc", "shift", F.explode("o").alias("x")).select("it", "doc", "shift", "x.q", "x.tid", (F.col("shift") + F.col("x.q")).alias("pos")).distinct()
+    rest = index.of(plan.select(F.explode(F.slice("o", lists + 1, n)).alias("x")).select("x.tid")).join(small(found.select("doc").distinct()), "doc", "left_semi")
+    met = need.join(rest, ["tid", "doc", "pos"], "left_semi").groupBy("it", "doc", "shift").agg(F.collect_set("q").alias("there"))  # places of one item
+    whole = open_.join(met, ["it", "doc", "shift"]).where(F.forall("o", lambda x: F.array_contains("there", x["q"])))
+    names = small(terms.select("it", "item").distinct())
+    return whole.join(names, "it").select("doc", "item", (F.col("shift") + F.col("s")).alias("start")).distinct()
+
+
+def leaked_items(index: Index, items: DataFrame, n: int = 12) -> DataFrame:
     """``doc_id, item_id``: documents with ``n`` or more words in a row in common with an item."""
-    hits = phrase_matches(docs, "doc_id", "text", items, "item_id", "text", n)
+    hits = phrase_matches(index, items, "item_id", "text", n)
     return hits.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
-def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
+def leaked_spans(index: Index, items: DataFrame, n: int = 12) -> DataFrame:
     """``doc_id, item_id, first_word, n_words``: the longest unbroken runs of leaked windows, so
     whole and partial leaks of an item can be told apart."""
-    hits = phrase_matches(docs, "doc_id", "text", items, "item_id", "text", n).distinct()
+    hits = phrase_matches(index, items, "item_id", "text", n)
     w = Window.partitionBy("doc", "item").orderBy("start")
     island = hits.withColumn("isle", F.col("start") - F.row_number().over(w))
     return (
@@ -205,29 +188,21 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
     )
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, lists: int = 5, within: int = 40) -> DataFrame:
-    """``doc_id, item_id, at_word``: documents that hold an item's ``lists`` rarest distinct terms,
-    in any order, within ``within`` words; ``at_word`` is the first such place.
+def proximity_matches(index: Index, items: DataFrame, lists: int = 5, within: int = 40) -> DataFrame:
+    """``doc_id, item_id, at_word``: every stretch of ``within`` words of a document that begins with
+    one of an item's ``lists`` rarest distinct terms and holds them all, in any order.
 
-    Items with fewer distinct terms that occur in the corpus are left out.
+    Ties of rarity go by the term. An item with fewer distinct terms in the corpus is looked for by
+    those it has; one without any matches nothing.
     """
-    raw = cut(test_terms(items, "item_id", "text"))
-    vocabulary = cut(raw.select("term").distinct().select("term", F.xxhash64("term").alias("tid")))
-    index = postings_of(build_index(docs.select("doc_id", "text"), "doc_id", "text", vocabulary))
-    weight = index.groupBy("tid").agg(F.count("*").alias("df"))
-    own = raw.join(vocabulary, "term").select("item", "tid").distinct().join(small(weight), "tid")
-    rare = own.withColumn("turn", F.row_number().over(Window.partitionBy("item").orderBy("df", "tid"))).where(F.col("turn") <= lists)
-    enough = rare.groupBy("item").agg(F.count("*").alias("k")).where(F.col("k") == lists).select("item")
-    plan = small(cut(rare.join(enough, "item").select("item", "tid")))
-    at = index.join(plan, "tid").select("doc", "item", "tid", "pos")
+    terms = cut(item_terms(items, "item_id", "text"))
+    own = terms.select("item", "term", "tid").distinct().join(_weights(index, terms), "tid")
+    rare = cut(own.withColumn("turn", F.row_number().over(Window.partitionBy("item").orderBy("df", "term"))).where(F.col("turn") <= lists).select("item", "tid"))
+    wanted = small(rare.groupBy("item").agg(F.count("*").alias("wanted")))
+    at = index.of(rare).distinct().join(small(rare), "tid").select("doc", "item", "tid", "pos")
     # every stretch of ``within`` words lies inside one of two overlapping grids' cells
     cells = at.withColumn("cell", F.explode(F.array(F.floor(F.col("pos") / within), F.floor(F.col("pos") / within) - 1)))
-    full = cells.groupBy("doc", "item", "cell").agg(F.countDistinct("tid").alias("k")).where(F.col("k") == lists).select("doc", "item", "cell")
-    near = cells.join(full, ["doc", "item", "cell"]).distinct()
+    full = cells.groupBy("doc", "item", "cell").agg(F.countDistinct("tid").alias("k")).join(wanted, "item").where("k = wanted").select("doc", "item", "cell", "wanted")
     w = Window.partitionBy("doc", "item", "cell").orderBy("pos").rangeBetween(0, within - 1)
-    return (
-        near.withColumn("k", F.size(F.collect_set("tid").over(w)))
-        .where(F.col("k") == lists)
-        .groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
-        .agg(F.min("pos").cast("bigint").alias("at_word"))
-    )
+    near = cells.join(full, ["doc", "item", "cell"]).withColumn("k", F.size(F.collect_set("tid").over(w)))
+    return near.where("k = wanted").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("pos").cast("bigint").alias("at_word")).distinct()

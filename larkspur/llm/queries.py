@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import encode_corpus, tokenizer_file
-from larkspur.llm.leakage import leaked_items, leaked_spans, proximity_matches
+from larkspur.llm.leakage import Index, build_index, leaked_items, leaked_spans, proximity_matches
 from larkspur.llm.lookalikes import lookalike_pairs, normalised
 from larkspur.llm.near_duplicates import link_counts, near_duplicate_classes, near_duplicates
 from larkspur.operators.components import connected_components
@@ -54,16 +54,31 @@ def p6_lengths(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("doc_id", "n").join(docs, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("most_tokens"))
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def corpus_index(spark: SparkSession, d: str) -> Index:
+    """The positional index of the documents of ``d``, built by the first query of a session that asks
+    for it and as long as the table's files stay the same."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, d, files.getContentSummary(at).getLength(), files.getFileStatus(at).getModificationTime())
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(table(spark, d, "documents"), "doc_id", "text")
+    return _INDEXES[key]
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaked_items(corpus_index(spark, d), table(spark, d, "eval_items"))
 
 
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaked_spans(corpus_index(spark, d), table(spark, d, "eval_items"))
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    return proximity_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return proximity_matches(corpus_index(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,4 +111,13 @@ ORACLES: dict[str, str] = {
     "p7_found": _P7 + " SELECT DISTINCT doc_id, item_id FROM h",
     "p7_spans": _P7 + """, g AS (SELECT *, start - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY start) AS isle FROM h)
 SELECT doc_id, item_id, min(start) - 1 AS first_word, max(start) - min(start) + 12 AS n_words FROM g GROUP BY doc_id, item_id, isle""",
+    "p7_near": """
+WITH t AS (SELECT DISTINCT doc_id, pos, w[pos] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT doc_id, """ + _WORDS.format("text") + """ AS w FROM documents))),
+i AS (SELECT DISTINCT item_id, unnest(""" + _WORDS.format("text") + """) AS w FROM eval_items),
+c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+r AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY n, w) AS turn FROM i JOIN c USING (w)),
+k AS (SELECT item_id, count(*) AS k FROM r WHERE turn <= 5 GROUP BY item_id),
+p AS (SELECT doc_id, item_id, pos, w FROM t JOIN r USING (w) WHERE turn <= 5)
+SELECT a.doc_id, a.item_id, a.pos - 1 AS at_word FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.pos BETWEEN a.pos AND a.pos + 39
+JOIN k ON k.item_id = a.item_id GROUP BY a.doc_id, a.item_id, a.pos, k.k HAVING count(DISTINCT b.w) = k.k""",
 }
