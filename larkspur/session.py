@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage.
+    """The shared folder for cut lineage and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local runs)
-    is a folder of our own chosen.
+    A cluster names it in ``spark.checkpoint.dir``. Only in local mode, where that is unset, is a
+    folder of our own chosen; on a cluster a machine's own folder would be lost with the machine.
     """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-checkpoint-"))
         known = sc.getCheckpointDir()
     return known
@@ -57,11 +61,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans nothing refers to any more.
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, for results of many rows: compressed,
+    read by column, and gone when the session ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    They go when the driver's JVM collects its garbage, which a driver with memory to spare may not
-    do for a long time. Worth a call after :func:`cut` has ended a plan with a large shuffle.
-    """
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
