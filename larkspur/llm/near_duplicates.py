@@ -3,15 +3,22 @@
 1. Each text's word set gets ``bands * rows`` min-hashes in which every word weighs the same, so
    the bands' recall is that of plain Jaccard similarity for every text. Each band's key is shuffled
    together with the set's class (a hash of the set: equal sets are one class, so copies collapse
-   before the shuffle) and a 128-bit signature, the low bits of 128 more min-hashes.
+   before the shuffle), its size and a 128-bit signature. The same pass over the texts gives the
+   records of the classes.
 2. In a bucket, pairs are compared batch by batch of 32 signature bits, whole arrays at a time.
    After each batch a pair is pruned if the posterior probability that its similarity reaches the
-   threshold, given the bits that agree so far, is under the chosen miss probability.
+   threshold, given the bits that differ so far and the two sizes, is under the chosen miss
+   probability.
 3. Survivors are verified exactly on their words.
 
-A bucket of more than ``hot`` classes is cut into blocks, and its pairs of blocks become tasks of
-their own. The only driver-side data is a bitmap of bounded size, which says which records' texts
-step 3 needs, so that only these are shuffled.
+Signatures are of two kinds. A set of at most 128 words has a bit per cell of a hash, the parity of
+its words there: two sets differ in at most as many bits as words, so small sets are told apart
+sharply. A larger set has the low bits of 128 min-hashes. Sets whose possible partners are of both
+sizes have both, in buckets of their own.
+
+A bucket of more than ``hot`` classes is streamed through and cut into blocks, and its pairs of
+blocks become tasks of their own. The only driver-side data is a bitmap of bounded size, which says
+which records' words step 3 needs, so that only these are shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fractions import Fraction
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.blocks import BLOCK, block_of, pairs_within
-from larkspur.session import cut, release
+from larkspur.session import written
 
 #: Default bands and rows: at Jaccard similarity s a pair shares a band with probability
 #: 1 - (1 - s**ROWS)**BANDS, 0.990 at 0.7 and 0.9999 at 0.8.
@@ -40,6 +47,8 @@ HOT = 16_384
 BITMAP = 24
 #: Most words or classes a worker remembers before it starts over.
 REMEMBERED = 40_000
+#: Most words hashed at once.
+CHUNK = 30_000
 
 WORD = re.compile(r"[^\W_]+")
 M64 = (1 << 64) - 1
@@ -65,8 +74,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashes(base: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """words x seeds."""
+    return np.concatenate([(_mix(base[a : a + 4096, None] ^ seeds) >> np.uint64(32)).astype(np.uint32) for a in range(0, len(base), 4096)])
+
+
 def least_matches(threshold: float, miss: float) -> list[int]:
-    """For each prefix of batches, the fewest agreeing bits that keep a pair.
+    """For each prefix of batches of min-hash bits, the fewest agreeing bits that keep a pair.
 
     Two sets of similarity s agree in a bit with probability p = (1 + s) / 2. Under a uniform prior
     of p on [1/2, 1], the posterior of p >= (1 + threshold) / 2 after m of n agree is a ratio of
@@ -82,22 +96,52 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
+def most_differences(threshold: float, miss: float) -> np.ndarray:
+    """batches x (2 * SIGNATURE + 2): the most differing bits that keep a pair after each batch, by the
+    sum of the two sizes for parity bits; the last column is for min-hash bits.
+
+    Sets of sizes a and b reach the threshold if they differ in at most (a + b)(1 - t) / (1 + t)
+    words. A cell is odd after D differing words with probability (1 - (1 - 2 / cells)**D) / 2; the
+    prior of D is uniform. More differing bits than words there cannot be.
+    """
+    t = Fraction(str(threshold))
+    out = np.zeros((SIGNATURE // BATCH, 2 * SIGNATURE + 2), np.int64)
+    for k, least in enumerate(least_matches(threshold, miss)):
+        seen = (k + 1) * BATCH
+        out[k, -1] = seen - least
+        ways = np.array([float(comb(seen, h)) for h in range(seen + 1)])
+        h = np.arange(seen + 1)
+        q = (1 - (1 - 2 / SIGNATURE) ** np.arange(2 * SIGNATURE + 1)) / 2
+        given = ways * q[:, None] ** h * (1 - q[:, None]) ** (seen - h)  # differing words x differing bits
+        for total in range(2 * SIGNATURE + 1):
+            most = int(total * (1 - t) / (1 + t))
+            near = given[: most + 1].sum(axis=0) >= miss * given[: total + 1].sum(axis=0)
+            out[k, total] = min(most, int(np.flatnonzero(near)[-1]))
+    return out
+
+
 class Sketcher:
     """Word-set classes, min-hash bands and signatures of texts; remembers the words it has seen."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, shingle: int = 1, hashes: bool = False):
-        self.bands, self.rows, self.shingle, self.hashes = bands, rows, shingle, hashes
-        n = bands * rows + SIGNATURE if hashes else 0
-        self.seeds = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def __init__(self, bands: int = BANDS, rows: int = ROWS):
+        self.bands, self.rows = bands, rows
+        self.seeds = _mix(np.arange(1, bands * rows + SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.base = np.zeros(0, np.uint64)
-        self.plain = np.zeros((0, SIGNATURE), np.uint16)
+        self.known = np.zeros(0, np.uint64)
         self.ranks = np.zeros((0, self.bands * self.rows), np.uint32)
 
-    def _places(self, sets: list[set[str]]) -> np.ndarray:
+    def take(self, sets: list[set[str]]) -> None:
+        """The (non-empty) sets that the other methods speak about, of some CHUNK words in all; one set
+        may be larger, and is then hashed piece by piece."""
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.starts = np.cumsum(np.r_[0, self.size])[:-1]
+        if self.size.sum() > CHUNK:
+            self.base = np.array([xxhash.xxh3_64_intdigest(w) for s in sets for w in s], np.uint64)
+            self.least = np.stack([self._least(self.base[a : a + n], self.seeds[SIGNATURE:]) for a, n in zip(self.starts, self.size)])
+            return
         if len(self.at) > REMEMBERED:
             self._forget()
         at = self.at
@@ -106,31 +150,41 @@ class Sketcher:
             base = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
             for k, w in enumerate(new, len(at)):
                 at[w] = k
-            self.base = np.concatenate([self.base, base])
-            if self.hashes:
-                u = np.concatenate([(_mix(base[a : a + 4096, None] ^ self.seeds) >> np.uint64(32)).astype(np.uint32) for a in range(0, len(base), 4096)])
-                self.plain = np.concatenate([self.plain, u[:, :SIGNATURE].astype(np.uint16)])
-                self.ranks = np.concatenate([self.ranks, u[:, SIGNATURE:]])
-        return np.fromiter((at[w] for s in sets for w in s), np.int64, sum(map(len, sets)))
-
-    def classes(self, sets: list[set[str]], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of each (non-empty) set with its salt; word places and set starts."""
-        places = self._places(sets)
-        starts = np.cumsum([0, *map(len, sets)])[:-1]
-        x = self.base[places]
-        c = _mix(np.add.reduceat(_mix(x), starts) + salt)
-        d = _mix(np.add.reduceat(_mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts) ^ salt)
-        return c, d, places, starts
-
-    def signatures(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """sets x 2 words of 64 bits."""
-        low = np.minimum.reduceat(self.plain[places], starts, axis=0)
+            self.known = np.concatenate([self.known, base])
+            self.ranks = np.concatenate([self.ranks, _hashes(base, self.seeds[SIGNATURE:])])
+        places = np.fromiter((at[w] for s in sets for w in s), np.int64, self.size.sum())
+        self.base = self.known[places]
+        self.least = np.minimum.reduceat(self.ranks[places], self.starts, axis=0)
+
+    @staticmethod
+    def _least(base: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        out = np.full(len(seeds), np.iinfo(np.uint32).max, np.uint32)
+        for a in range(0, len(base), 4096):
+            out = np.minimum(out, _hashes(base[a : a + 4096], seeds).min(axis=0))
+        return out
+
+    def classes(self, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each set with its salt."""
+        c = _mix(np.add.reduceat(_mix(self.base), self.starts) + salt)
+        d = _mix(np.add.reduceat(_mix(self.base ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.starts) ^ salt)
+        return c, d
+
+    def parities(self, k: np.ndarray) -> np.ndarray:
+        """Of the sets k, 2 words of 64 bits each: in each cell the parity of the set's words there."""
+        which = np.repeat(np.arange(len(self.size)), self.size)
+        cell = (self.base >> np.uint64(64 - SIGNATURE.bit_length() + 1)).astype(np.int64)
+        odd = np.bincount(which * SIGNATURE + cell, minlength=len(self.size) * SIGNATURE).reshape(-1, SIGNATURE)[k] & 1
+        return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+
+    def signatures(self, k: np.ndarray) -> np.ndarray:
+        """Of the sets k, 2 words of 64 bits each: the low bits of as many min-hashes."""
+        low = np.stack([self._least(self.base[self.starts[x] : self.starts[x] + self.size[x]], self.seeds[:SIGNATURE]) for x in k])
         return np.packbits((low & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
-    def band_keys(self, places: np.ndarray, starts: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    def band_keys(self, salt: np.ndarray) -> np.ndarray:
         """sets x bands."""
-        grid = np.minimum.reduceat(self.ranks[places], starts, axis=0).reshape(len(starts), self.bands, self.rows).astype(np.uint64)
-        key = np.zeros((len(starts), self.bands), np.uint64)
+        grid = self.least.reshape(len(self.size), self.bands, self.rows).astype(np.uint64)
+        key = np.zeros((len(self.size), self.bands), np.uint64)
         for r in range(self.rows):
             key = _mix(key + grid[:, :, r] + np.uint64(0x9E3779B97F4A7C15))
         band = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
@@ -142,34 +196,28 @@ def _salt(tbl: list[str]) -> np.ndarray:
     return np.array([known[t] for t in tbl], np.uint64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], shingle: int, sketch: Sketcher) -> Iterator[tuple]:
-    """Rows whose text has words, some hundred at a time: (batch slice rows, salt, c, d, places, starts)."""
+def _chunks(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[set[str]]]]:
+    """Rows whose text has words, with their sets: at most 512 rows and, but for a single larger set, CHUNK words at a time."""
     for b in batches:
-        for a in range(0, b.num_rows, 512):
-            part = b.slice(a, 512)
-            sets = [terms_of(t, shingle) if t else set() for t in part.column("text").to_pylist()]
-            keep = [k for k, s in enumerate(sets) if s]
-            if keep:
-                part = part.take(pa.array(keep))
-                salt = _salt(part.column("tbl").to_pylist())
-                yield (part, salt, *sketch.classes([sets[k] for k in keep], salt))
+        rows, sets, n = [], [], 0
+        for k in range(b.num_rows):
+            s = terms_of(t, shingle) if (t := b.column("text")[k].as_py()) else set()
+            if not s:
+                continue
+            if sets and (len(sets) >= 512 or n + len(s) > CHUNK):
+                yield b.take(pa.array(rows)), sets
+                rows, sets, n = [], [], 0
+            rows.append(k)
+            sets.append(s)
+            n += len(s)
+        if sets:
+            yield b.take(pa.array(rows)), sets
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def class_rows(shingle: int):
-    """(tbl, id, text) -> (tbl, id, c, d)."""
-
-    def run(batches):
-        sketch = Sketcher(shingle=shingle)
-        for part, _, c, d, _, _ in _chunks(batches, shingle, sketch):
-            yield pa.RecordBatch.from_arrays([part.column("tbl"), part.column("id"), _signed(c), _signed(d)], names=["tbl", "id", "c", "d"])
-
-    return run
-
-
 class _First:
     """Which classes a task has not handed on yet; starts over when full, so its size is bounded."""
 
@@ -187,121 +235,153 @@ class _First:
         return np.array(keep, np.int64)
 
 
-def band_rows(bands: int, rows: int, shingle: int):
-    """(tbl, id, text) -> (key, c, s0, s1), one row per band of each class new to the task."""
+SKETCH = "key bigint, c bigint, s0 bigint, s1 bigint, n bigint, tbl string"
+
+
+def sketch_rows(bands: int, rows: int, shingle: int, threshold: float):
+    """(tbl, id, text) -> SKETCH, one row per record and one per band of each class new to the task.
+
+    A record's row has its class's second hash as s0, its id as s1 and n = 0. A band's row has the
+    signature and the size n of the set, negative where the signature is of min-hashes.
+    """
+    names = [x.split()[0] for x in SKETCH.split(", ")]
+    other = np.uint64(0xC2B2AE3D27D4EB4F)
+    both = ceil(Fraction(str(threshold)) * SIGNATURE)  # from this size on a partner may have more than SIGNATURE words
 
     def run(batches):
-        sketch, first = Sketcher(bands, rows, shingle, True), _First()
-        for _, salt, c, _, places, starts in _chunks(batches, shingle, sketch):
+        sketch, first = Sketcher(bands, rows), _First()
+        for part, sets in _chunks(batches, shingle):
+            sketch.take(sets)
+            salt = _salt(part.column("tbl").to_pylist())
+            c, d = sketch.classes(salt)
+            ids = part.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([*map(_signed, (_mix(c ^ _mix(ids.astype(np.uint64))), c, d)), pa.array(ids), pa.array(np.zeros(len(c), np.int64)), part.column("tbl")], names=names)
             k = first(c)
-            if not len(k):
-                continue
-            bits = sketch.signatures(places, starts)[k]
-            cols = [sketch.band_keys(places, starts, salt)[k].ravel(), np.repeat(c[k], bands), np.repeat(bits[:, 0], bands), np.repeat(bits[:, 1], bands)]
-            yield pa.RecordBatch.from_arrays([_signed(x) for x in cols], names=["key", "c", "s0", "s1"])
+            keys = sketch.band_keys(salt)
+            for small in (True, False):
+                at = k[sketch.size[k] <= SIGNATURE] if small else k[sketch.size[k] >= both]
+                if not len(at):
+                    continue
+                bits = sketch.parities(at) if small else sketch.signatures(at)
+                key = keys[at] if small else _mix(keys[at] ^ other)
+                cols = [key.ravel(), *(np.repeat(x, bands) for x in (c[at], bits[:, 0], bits[:, 1]))]
+                n = np.repeat(sketch.size[at] if small else -sketch.size[at], bands)
+                yield pa.RecordBatch.from_arrays([*map(_signed, cols), pa.array(n), pa.nulls(len(n), pa.string())], names=names)
 
     return run
 
 
-def text_rows(bitmap: bytes):
-    """(h, text) -> the same rows, of records whose hash h is in the bitmap."""
+def word_rows(bitmap: bytes, shingle: int):
+    """(h, text) -> (h, words), of records whose hash h is in the bitmap."""
 
     def run(batches):
-        words = np.frombuffer(bitmap, np.int64)
+        bits = np.frombuffer(bitmap, np.int64)
         for b in batches:
             at = (b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP)).astype(np.int64)
-            hit = np.flatnonzero((words[at >> 6] >> (at & 63)) & 1)
+            hit = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
             if len(hit):
-                yield b.take(pa.array(hit))
+                b = b.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([sorted(terms_of(t, shingle)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["h", "words"])
 
     return run
 
 
-def prune(i: np.ndarray, j: np.ndarray, sig: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i, j) of rows of ``sig`` (rows x batches, uint32) that every posterior bound keeps."""
-    same = np.zeros(len(i), np.int64)
-    for b, m in enumerate(least):
-        same = same + BATCH - np.bitwise_count(sig[i, b] ^ sig[j, b])
-        keep = same >= m
-        i, j, same = i[keep], j[keep], same[keep]
+def prune(i: np.ndarray, j: np.ndarray, sig: np.ndarray, size: np.ndarray, most: np.ndarray, at_least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of rows of ``sig`` (rows x batches, uint32) that every bound keeps: that of the
+    sizes (negative: min-hash bits), then after each batch the posterior's (:func:`most_differences`)."""
+    a, b = np.abs(size[i]), np.abs(size[j])
+    keep = np.minimum(a, b) * at_least.denominator >= np.maximum(a, b) * at_least.numerator
+    i, j, by = i[keep], j[keep], np.where(size[i] > 0, a + b, -1)[keep]
+    differ = np.zeros(len(i), np.int64)
+    for k in range(len(most)):
+        differ = differ + np.bitwise_count(sig[i, k] ^ sig[j, k])
+        keep = differ <= most[k, by]
+        i, j, by, differ = i[keep], j[keep], by[keep], differ[keep]
     return i, j
 
 
-def _pairs(key: np.ndarray, c: np.ndarray, sig: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of classes among neighbours of equal key; key is sorted."""
-    a_out, b_out = [], []
+def _halves(m: np.ndarray) -> np.ndarray:
+    """Two columns of signature words as batches of 32 bits."""
+    return np.ascontiguousarray(m).view(np.uint32)
+
+
+def _pairs(m: np.ndarray, test) -> np.ndarray:
+    """Surviving pairs (a < b) of classes among neighbours of equal key, each once; rows (key, c, s0, s1, n) sorted by key."""
+    key, c, sig, size = m[:, 0], m[:, 1], _halves(m[:, 2:4]), m[:, 4]
+    out = []
     at, d = np.arange(len(key) - 1), 1
     while len(at):
         at = at[at + d < len(key)]
         at = at[key[at] == key[at + d]]
         for s in range(0, len(at), 1 << 20):
-            i, j = prune(at[s : s + (1 << 20)], at[s : s + (1 << 20)] + d, sig, least)
-            a_out.append(c[i])
-            b_out.append(c[j])
+            i, j = test(at[s : s + (1 << 20)], at[s : s + (1 << 20)] + d, sig, size)
+            out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]))
         d += 1
-    if not a_out:
-        return c[:0], c[:0]
-    a, b = np.concatenate(a_out), np.concatenate(b_out)
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-    return both[0], both[1]
+    if not out:
+        return np.zeros((2, 0), np.int64)
+    both = np.concatenate(out, axis=1)
+    return np.unique(both[:, both[0] != both[1]], axis=1)
 
 
-def bucket_pairs(least: list[int], hot: int):
-    """(key, c, s0, s1) sorted by key -> (a, b, key, s0, s1).
+MET = "a bigint, b bigint, key bigint, s0 bigint, s1 bigint, n bigint, tbl string"
 
-    A surviving pair of classes has a < b and null s0; a row of a hot bucket comes out unpaired,
-    with its class as a, its block as b and its signature.
-    """
-    names = ["a", "b", "key", "s0", "s1"]
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        rows, spilling, spilled = 0, None, 0
+def bucket_pairs(test, hot: int):
+    """SKETCH sorted by key -> MET: a pair of classes (a < b, all else null); a row of a hot bucket
+    (its class, its block, key, signature and size); a record (class, id, null key, s0, n = 0, tbl)."""
+    names = [x.split()[0] for x in MET.split(", ")]
 
-        def compared(m: np.ndarray):
-            sig = np.ascontiguousarray(m[:, 2:4]).view(np.uint32)
-            a, b = _pairs(m[:, 0], m[:, 1], sig, least)
-            if len(a):
-                nulls = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), nulls, nulls, nulls], names=names)
+    def rows(cols, n: int, tbl=None):
+        cols = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x)) for x in cols]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.string()) if tbl is None else tbl], names=names)
 
-        def spill(m: np.ndarray):
-            nonlocal spilled
-            block = (spilled + np.arange(len(m))) // hot
-            spilled += len(m)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (m[:, 1], block, m[:, 0], m[:, 2], m[:, 3])], names=names)
+    def spill(m: np.ndarray, before: int = 0):
+        return rows((m[:, 1], (before + np.arange(len(m))) // hot, m[:, 0], m[:, 2], m[:, 3], m[:, 4]), len(m))
 
+    def compared(m: np.ndarray):
+        for k in range(0, len(both := _pairs(m, test).T), 1 << 16):
+            part = both[k : k + (1 << 16)]
+            yield rows((part[:, 0], part[:, 1], None, None, None, None), len(part))
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        count, spilling, spilled = 0, None, 0
+        last = np.zeros((1, 5), np.int64)
         for b in batches:
-            m = np.stack([b.column(k).to_numpy() for k in ("key", "c", "s0", "s1")], axis=1)
+            m = np.stack([b.column(k).to_numpy() for k in ("key", "c", "s0", "s1", "n")], axis=1)
+            own = np.flatnonzero(m[:, 4] == 0)
+            if len(own):
+                r = m[own]  # one record's deliveries are neighbours
+                own, last = own[(r != np.concatenate([last, r[:-1]])).any(axis=1)], r[-1:]
+            if len(own):
+                yield rows((m[own, 1], m[own, 3], None, m[own, 2], None, m[own, 4]), len(own), b.column("tbl").take(pa.array(own)))
+            m = m[m[:, 4] != 0]
             if not len(m):
                 continue
             if spilling is not None:
                 n = int(np.searchsorted(m[:, 0], spilling, "right"))
                 if n:
-                    yield spill(m[:n])
+                    yield spill(m[:n], spilled)
+                    spilled += n
                 m = m[n:]
                 if not len(m):
                     continue
-                spilling, spilled = None, 0
+                spilling = None
             held.append(m)
-            rows += len(m)
-            if rows < 65_536:
+            count += len(m)
+            if count < 65_536:
                 continue
             m = np.concatenate(held)
             edge = int(np.searchsorted(m[:, 0], m[-1, 0], "left"))  # the last bucket may go on
             if edge:
-                yield from large_aside(m[:edge], hot, compared, spill_whole)
-            held, rows = [m[edge:]], len(m) - edge
-            if rows > hot:
-                spilling, spilled = m[-1, 0], 0
+                yield from large_aside(m[:edge], hot, compared, spill)
+            held, count = [m[edge:]], len(m) - edge
+            if count > hot:
+                spilling, spilled = m[-1, 0], count
                 yield spill(held[0])
-                held, rows = [], 0
-        if rows:
-            yield from large_aside(np.concatenate(held), hot, compared, spill_whole)
-
-    def spill_whole(m: np.ndarray):
-        block = np.arange(len(m)) // hot
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (m[:, 1], block, m[:, 0], m[:, 2], m[:, 3])], names=names)
+                held, count = [], 0
+        if count:
+            yield from large_aside(np.concatenate(held), hot, compared, spill)
 
     return run
 
@@ -321,26 +401,27 @@ def large_aside(m: np.ndarray, hot: int, compared, spill):
         yield from compared(m)
 
 
-def block_pairs(least: list[int], hot: int):
-    """Rows (key, x, y, side, c, s0, s1) sorted by (key, x, y): the pairs of block x with block y."""
+def block_pairs(test):
+    """Rows (key, x, y, side, c, s0, s1, n) sorted by (key, x, y): the pairs of block x with block y."""
 
     def run(batches):
         held, last = [], None
 
         def done(parts):
             m = np.concatenate(parts)
-            sig = np.ascontiguousarray(m[:, 5:7]).view(np.uint32)
+            sig, size = _halves(m[:, 5:7]), m[:, 7]
+            same = m[0, 1] == m[0, 2]
             left = np.flatnonzero(m[:, 3] == 0)
-            right = left if m[0, 1] == m[0, 2] else np.flatnonzero(m[:, 3] == 1)
+            right = left if same else np.flatnonzero(m[:, 3] == 1)
             for k in left:
-                others = right[right > k] if m[0, 1] == m[0, 2] else right
-                i, j = prune(np.full(len(others), k), others, sig, least)
+                others = right[right > k] if same else right
+                i, j = test(np.full(len(others), k), others, sig, size)
                 a, b = m[i, 4], m[j, 4]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for b in batches:
-            m = np.stack([b.column(k).to_numpy() for k in ("key", "x", "y", "side", "c", "s0", "s1")], axis=1)
+            m = np.stack([b.column(k).to_numpy() for k in ("key", "x", "y", "side", "c", "s0", "s1", "n")], axis=1)
             while len(m):
                 here = tuple(m[0, :3])
                 n = int(np.argmin((m[:, :3] == m[0, :3]).all(axis=1))) or len(m)
@@ -355,26 +436,27 @@ def block_pairs(least: list[int], hot: int):
     return run
 
 
-def candidate_pairs(docs: DataFrame, threshold: float, miss: float, bands: int, rows: int, shingle: int, hot: int) -> DataFrame:
-    """``a, b``: pairs of classes whose signatures pass every posterior bound, each once."""
-    least = least_matches(threshold, miss)
-    keyed = docs.mapInArrow(band_rows(bands, rows, shingle), "key bigint, c bigint, s0 bigint, s1 bigint")
-    sorted_ = keyed.repartition("key").sortWithinPartitions("key", "c")
-    # a class's partners as one array: a fraction of the bytes of a row per pair
-    met = sorted_.mapInArrow(bucket_pairs(least, hot), "a bigint, b bigint, key bigint, s0 bigint, s1 bigint")
-    out = cut(met.groupBy("a", "key", "s0", "s1").agg(F.collect_set("b").alias("b")))
-    del keyed, sorted_, met
-    release(docs.sparkSession)
-    pairs = out.where("s0 is null").select("a", F.explode("b").alias("b"))
-    spilled = out.where("s0 is not null").select("key", F.explode("b").alias("block"), F.col("a").alias("c"), "s0", "s1")
+def candidate_pairs(docs: DataFrame, threshold: float, miss: float, bands: int, rows: int, shingle: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: pairs of classes whose signatures pass every bound, each once; and the records of all
+    classes, ``tbl, id, c, d``, each once."""
+    most, at_least = most_differences(threshold, miss), Fraction(str(threshold))
+
+    def test(i, j, sig, size):
+        return prune(i, j, sig, size, most, at_least)
+
+    sorted_ = docs.mapInArrow(sketch_rows(bands, rows, shingle, threshold), SKETCH).repartition("key").sortWithinPartitions("key", "c")
+    out = written(sorted_.mapInArrow(bucket_pairs(test, hot), MET))
+    pairs = out.where("n is null").select("a", "b")
+    spilled = out.where("n <> 0").select("key", F.col("b").alias("block"), F.col("a").alias("c"), "s0", "s1", "n")
     if not spilled.isEmpty():
-        most = spilled.groupBy("key").agg((F.max("block") + 1).alias("n"))
-        each = spilled.join(most, "key").withColumn("o", F.explode(F.expr("sequence(0, n - 1)")))
+        last = spilled.groupBy("key").agg(F.max("block").alias("last"))
+        each = spilled.join(last, "key").withColumn("o", F.explode(F.expr("sequence(0, last)")))
         x, y = F.least("block", "o"), F.greatest("block", "o")
-        tasks = each.select("key", x.alias("x"), y.alias("y"), (F.col("block") > F.col("o")).cast("bigint").alias("side"), "c", "s0", "s1")
-        apart = tasks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(block_pairs(least, hot), "a bigint, b bigint")
-        pairs = cut(pairs.unionByName(apart.where("a <> b")).distinct())
-    return pairs
+        tasks = each.select("key", x.alias("x"), y.alias("y"), (F.col("block") > F.col("o")).cast("bigint").alias("side"), "c", "s0", "s1", "n")
+        apart = tasks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(block_pairs(test), "a bigint, b bigint")
+        pairs = pairs.unionByName(apart.where("a <> b"))
+    members = out.where("n = 0").select("tbl", F.col("b").alias("id"), F.col("a").alias("c"), F.col("s0").alias("d"))
+    return written(pairs.distinct()), members
 
 
 def bitmap_of(hashes: DataFrame) -> bytes:
@@ -391,61 +473,36 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, thresh
     """The pairs of classes whose word sets really reach the threshold, read from the texts of their
     smallest records (``classes``: tbl, c, rep)."""
     at_least = Fraction(str(threshold))
-
-    def similar(batches):
-        known: dict[str, set[str]] = {}
-
-        def terms(t: str) -> set[str]:
-            if t not in known:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[t] = terms_of(t, shingle)
-            return known[t]
-
-        for r in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(r.column("x").to_pylist(), r.column("y").to_pylist())):
-                p, q = terms(x), terms(y)
-                n = len(p & q)
-                if n * at_least.denominator >= at_least.numerator * (len(p) + len(q) - n):
-                    keep.append(k)
-            if keep:
-                yield r.select(["a", "b"]).take(pa.array(keep))
-
     needed = classes.where("paired").select("c", F.xxhash64("tbl", "rep").alias("h"))
     hashed = docs.select(F.xxhash64("tbl", "id").alias("h"), "text")
-    texts = hashed.mapInArrow(text_rows(bitmap_of(needed)), "h bigint, text string")
-    of = needed.join(texts, "h").groupBy("c").agg(F.max("text").alias("text"))
-    # one text of each pair travels to the other's
-    both = pairs.join(of.select(F.col("c").alias("a"), F.col("text").alias("x")), "a").join(of.select(F.col("c").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
+    said = hashed.mapInArrow(word_rows(bitmap_of(needed), shingle), "h bigint, words array<string>")
+    of = needed.join(said, "h").groupBy("c").agg(F.max("words").alias("words"))
+    # the words of one text of each pair travel to the other's
+    both = pairs.join(of.select(F.col("c").alias("a"), F.col("words").alias("x")), "a").join(of.select(F.col("c").alias("b"), F.col("words").alias("y")), "b")
+    n = F.size(F.array_intersect("x", "y"))
+    return both.where(n * at_least.denominator >= (F.size("x") + F.size("y") - n) * at_least.numerator).select("a", "b")
 
 
-def class_table(docs: DataFrame, pairs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+def class_table(mem: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes that matter, ``tbl, c, d, size, rep, paired`` (of several records or in a pair), and
     their records, ``tbl, id, c, d, size, rep``.
 
     Sizes are added up before records are shuffled; a class of one record is its own member.
     """
-    mem = cut(docs.mapInArrow(class_rows(shingle), "tbl string, id bigint, c bigint, d bigint").distinct())
     sizes = mem.groupBy("c", "d").agg(F.count("*").alias("size"), F.min("id").alias("rep"), F.min("tbl").alias("tbl"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().withColumn("paired", F.lit(True))
-    classes = cut(sizes.join(ends, "c", "left").withColumn("paired", F.coalesce("paired", F.lit(False))).where("paired or size > 1").select("tbl", "c", "d", "size", "rep", "paired"))
+    classes = written(sizes.join(ends, "c", "left").withColumn("paired", F.coalesce("paired", F.lit(False))).where("paired or size > 1").select("tbl", "c", "d", "size", "rep", "paired"))
     single = classes.where("size = 1").select("tbl", F.col("rep").alias("id"), "c", "d", "size", "rep")
     several = mem.select("id", "c", "d").join(classes.where("size > 1").drop("paired"), ["c", "d"]).select("tbl", "id", "c", "d", "size", "rep")
-    return classes, cut(single.unionByName(several))
+    return classes, written(single.unionByName(several))
 
 
-def expand(mem: DataFrame, pairs: DataFrame, limit: int | None = None, block: int = BLOCK) -> DataFrame:
+def expand(mem: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``tbl, a_id, b_id`` of the records in one class and of those in classes of a pair.
 
     Every pair is listed; classes of any size are cut into blocks of ``block`` records that meet in
-    tasks of their own. With a ``limit``, pairs of a class or of two classes are listed in full up to
-    that number only; beyond it each record is paired with the smallest id of its class (and of the
-    other class).
+    tasks of their own.
     """
-    if limit is not None:
-        return _expand_limited(mem, pairs, limit)
     inside = pairs_within(mem.where("size > 1"), ["tbl", "c", "d"], "id", "size", block).select("tbl", F.col("x").alias("a_id"), F.col("y").alias("b_id"))
     k = block_of(F.col("id"), F.col("size"), block)
     x = mem.select("tbl", F.col("c").alias("a"), k.alias("ka"), F.col("id").alias("x"))
@@ -458,38 +515,18 @@ def expand(mem: DataFrame, pairs: DataFrame, limit: int | None = None, block: in
     return inside.unionByName(across).where("a_id <> b_id").distinct()
 
 
-def _expand_limited(mem: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    whole = F.col("size") * (F.col("size") - 1) / 2 <= limit
-    many = mem.where("size > 1")
-    star = many.where(~whole & (F.col("id") > F.col("rep"))).select("tbl", F.col("rep").alias("a_id"), F.col("id").alias("b_id"))
-    one, two = many.where(whole), many.where(whole).select("c", "d", F.col("id").alias("other"))
-    inside = one.join(two, ["c", "d"]).where("id < other").select("tbl", F.col("id").alias("a_id"), F.col("other").alias("b_id"))
-    x = mem.select("tbl", F.col("c").alias("a"), F.col("id").alias("x"), F.col("size").alias("xs"), F.col("rep").alias("xr"))
-    y = mem.select(F.col("c").alias("b"), F.col("id").alias("y"), F.col("size").alias("ys"), F.col("rep").alias("yr"))
-    y_rep = y.where("y = yr")
-    # first one side against the other's representative, then the other side where the product is small
-    half = pairs.join(x, "a").join(y_rep.select("b", "ys", "yr"), "b")
-    small = F.col("xs") * F.col("ys") <= limit
-    full = half.where(small).join(y.select("b", "y"), "b").select("tbl", "x", "y")
-    wide = half.where(~small)
-    wide_x = wide.select("tbl", "x", F.col("yr").alias("y"))
-    wide_y = wide.where("x = xr").join(y.select("b", "y"), "b").select("tbl", "x", "y")
-    across = full.unionByName(wide_x).unionByName(wide_y).select("tbl", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
-    return star.unionByName(inside).unionByName(across).where("a_id <> b_id").distinct()
-
-
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, miss: float = 0.0005, bands: int = BANDS, rows: int = ROWS, hot: int = HOT, limit: int | None = None
+    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, miss: float = 0.0005, bands: int = BANDS, rows: int = ROWS, hot: int = HOT
 ) -> DataFrame:
     """``tbl, a_id, b_id`` (a_id < b_id): records of one table whose term sets have a Jaccard similarity of at least ``threshold``.
 
     ``docs`` has tbl, id and text. Null texts and texts without a letter or digit belong to no pair;
     rows with a null id are left out; repeated rows count once. A pair at the threshold is missed
     with a probability of about (1 - s**rows)**bands (s: its Jaccard similarity) plus ``miss`` per batch; no pair under
-    the threshold is returned. All pairs are listed unless there is a ``limit``, see :func:`expand`.
+    the threshold is returned. All pairs are listed.
     """
     mem, pairs = near_duplicate_classes(docs, threshold, shingle, miss, bands, rows, hot)
-    return expand(mem, pairs, limit)
+    return expand(mem, pairs)
 
 
 def near_duplicate_classes(
@@ -498,10 +535,9 @@ def near_duplicate_classes(
     """The result of :func:`near_duplicates` before it is multiplied out: records with links,
     ``tbl, id, c, d, size, rep``, and the similar pairs of their classes, ``a, b``."""
     docs = docs.select("tbl", F.col("id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
-    pairs = candidate_pairs(docs, threshold, miss, bands, rows, shingle, hot)
-    classes, mem = class_table(docs, pairs, shingle)
-    verified = cut(verified_pairs(docs, classes, pairs, threshold, shingle))
-    return mem, verified
+    pairs, members = candidate_pairs(docs, threshold, miss, bands, rows, shingle, hot)
+    classes, mem = class_table(members, pairs)
+    return mem, written(verified_pairs(docs, classes, pairs, threshold, shingle))
 
 
 def link_counts(mem: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -513,7 +549,7 @@ def link_counts(mem: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]
     sizes = mem.where("id = rep").select("tbl", "c", "d", "size", "rep")
     there = sizes.select(F.col("c").alias("b"), F.col("size").alias("other"), F.col("rep").alias("dst"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    near = cut(both.join(sizes.withColumnRenamed("c", "a"), "a").join(there, "b").select("tbl", F.col("a").alias("c"), "d", F.col("rep").alias("src"), "dst", "other"))
+    near = written(both.join(sizes.withColumnRenamed("c", "a"), "a").join(there, "b").select("tbl", F.col("a").alias("c"), "d", F.col("rep").alias("src"), "dst", "other"))
     linked = near.groupBy("c", "d").agg(F.sum("other").alias("others"))
     counts = mem.join(linked, ["c", "d"], "left").select("tbl", "id", "rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     links = near.where("src < dst").select("tbl", "src", "dst").unionByName(sizes.where("size > 1").select("tbl", F.col("rep").alias("src"), F.col("rep").alias("dst")))

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -56,28 +57,82 @@ def test_hot_buckets_give_the_same_pairs(spark):
     assert plain == split == brute(rows, 0.7, 1)
 
 
-def test_copies_beyond_the_limit_stay_linked(spark):
-    base = "a b c d e f g h i j"
-    rows = [("m", i, base, "x") for i in range(40)] + [("m", 100 + i, base + " k", "x") for i in range(30)]
-    got = {(r.a_id, r.b_id) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.7, 1, limit=100).collect()}
-    assert {(0, i) for i in range(1, 40)} <= got and {(100, 100 + i) for i in range(1, 30)} <= got
-    assert {(0, 100 + i) for i in range(30)} <= got and {(i, 100) for i in range(40)} <= got
-    assert len(got) == 39 + 29 + 69
-
-
 def test_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA), 0.7, 1).collect() == []
 
 
-def test_bounds_keep_true_pairs():
-    least = nd.least_matches(0.7, 0.0005)
-    rng = np.random.default_rng(1)
-    agree = rng.random((20_000, nd.SIGNATURE)) < 0.85
-    bits = np.packbits(agree, axis=1, bitorder="little").view(np.uint32)
-    zero = np.zeros_like(bits[:1]) + np.uint32(0xFFFFFFFF)
-    i, _ = nd.prune(np.arange(len(bits)), np.full(len(bits), len(bits)), np.concatenate([bits, zero]), least)
-    assert len(i) >= 0.995 * len(bits)
-    assert least == sorted(least)
+def signed(sketch, sets, small):
+    out = []
+    for a in range(0, len(sets), 200):
+        sketch.take(sets[a : a + 200])
+        every = np.arange(len(sets[a : a + 200]))
+        out.append((sketch.parities(every) if small else sketch.signatures(every)).view(np.uint32))
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize("words,small", [(8, True), (40, True), (120, True), (120, False), (600, False)])
+def test_bounds_keep_true_pairs_and_prune_others(words, small):
+    most, least = nd.most_differences(0.7, 0.0005), Fraction("0.7")
+    rnd = random.Random(words)
+
+    def kept(s):
+        """Share of pairs of sets of that size and similarity s, in equal halves of additions and removals, that stay."""
+        own = round(words * (1 - s) / (1 + s))
+        sets = []
+        for i in range(300):
+            w = [f"{i}x{rnd.random()}" for _ in range(words + own)]
+            sets += [set(w[:words]), set(w[own:])]
+        assert (len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.7) == (s >= 0.7)
+        size = np.full(len(sets), words if small else -words)
+        at = np.arange(0, len(sets), 2)
+        return len(nd.prune(at, at + 1, signed(nd.Sketcher(), sets, small), size, most, least)[0]) / 300
+
+    assert kept(0.75 if words == 8 else 0.71) >= 0.995
+    assert kept(0.35) <= 0.1
+    i, _ = nd.prune(np.array([0]), np.array([1]), np.zeros((2, 4), np.uint32), np.array([60, 100]), most, least)
+    assert not len(i)  # sizes alone
+
+
+def test_sets_about_the_border_of_the_two_signatures(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(120):
+        w = [f"r{i}x{k}" for k in range(rnd.randint(60, 190))]
+        cut_ = len(w) - rnd.randint(0, len(w) // 4)
+        rows += [("m", 2 * i, " ".join(w), "x"), ("m", 2 * i + 1, " ".join(w[:cut_]), "x")]
+    found = {tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.7, 1, bands=60).collect()}
+    assert len(found) >= 0.98 * len(brute(rows, 0.7, 1)) and found <= brute(rows, 0.7, 1)
+
+
+def test_pieces_of_a_very_long_text_hash_as_the_whole(monkeypatch):
+    sets = [{f"w{k}" for k in range(9000)}, {"a", "b"}]
+    whole = nd.Sketcher()
+    whole.take(sets)
+    monkeypatch.setattr(nd, "CHUNK", 100)
+    pieces = nd.Sketcher()
+    pieces.take(sets)
+    salt = np.zeros(2, np.uint64)
+    assert (whole.band_keys(salt) == pieces.band_keys(salt)).all()
+    assert all((x == y).all() for x, y in zip(whole.classes(salt), pieces.classes(salt)))
+
+
+@pytest.mark.parametrize("common,share", [(0, 0), (10, 0.25), (20, 0.5), (24, 0.6), (27, 0.68)])
+def test_recall_at_the_threshold_by_share_of_common_words(spark, common, share):
+    """400 planted pairs of plain similarity exactly 28 / 40, of which ``common`` of the 28 shared words are in a tenth of all texts or more."""
+    rnd = random.Random(common)
+    frame = [f"the{k}" for k in range(max(common, 1) * 2)]
+    rows = []
+    for i in range(400):
+        shared = rnd.sample(frame, common) + [f"r{i}x{k}" for k in range(28 - common)]
+        for side in (0, 1):
+            words = shared + [f"o{i}s{side}x{k}" for k in range(6)]
+            rnd.shuffle(words)
+            rows.append(("m", 2 * i + side, " ".join(words), "x"))
+    assert jaccard(rows[0][2], rows[1][2], 1) == 0.7 and abs(common / 40 - share) < 0.01
+    found = {tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.7, 1).collect()}
+    recall = len(found & {("m", 2 * i, 2 * i + 1) for i in range(400)}) / 400
+    print(f"share {share}: recall {recall}")
+    assert recall >= 0.97
 
 
 @pytest.mark.parametrize("frame,own,changed", [(13, 7, 3), (20, 10, 5), (27, 13, 7)])
