@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -70,9 +69,3 @@ def written(df: DataFrame) -> DataFrame:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
