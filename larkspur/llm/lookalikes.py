@@ -10,7 +10,6 @@ Unicode properties filled in per distinct character.
 from __future__ import annotations
 
 import hashlib
-import sys
 import unicodedata
 
 import pandas as pd
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.blocks import BLOCK, block_of, pairs_within
+from larkspur.session import written
 
 # Letters of the shape of a Latin letter, and that letter.
 LOOKALIKES = dict(
@@ -104,21 +104,15 @@ def lookalike_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return seen.join(forms, "form").distinct()
 
 
-def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None, most: int | None = None, block: int = BLOCK) -> DataFrame:
+def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``a_id, b_id`` (a_id < b_id): documents whose texts differ but look the same.
 
     Null and blank texts count for nothing, null keys are left out, repeated rows count once.
     Every pair is listed: the copies of a text are cut into parts of at most some ``block``
     documents, a form's parts into blocks of as many parts, and blocks and parts meet in tasks of
-    their own. Only where asked for, copies of two texts are paired in full up to ``limit`` pairs
-    and through the smallest id of the other text beyond, and of a form with more than ``most``
-    different texts each text is paired with the smallest one.
+    their own.
     """
-    from larkspur.session import cut
-
-    rows = cut(lookalike_groups(docs, key, text))
-    if limit is not None or most is not None:
-        return _limited_pairs(rows, limit, most)
+    rows = written(lookalike_groups(docs, key, text))
     copies = rows.groupBy("form", "raw").agg(F.count("*").alias("n"))
     parts = copies.select("form", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / block) - 1), lambda k: F.struct("raw", k.alias("k")))).alias("part"))
     sized = parts.join(parts.groupBy("form").agg(F.count("*").alias("n")), "form")
@@ -129,24 +123,3 @@ def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     ys = ids.select("form", F.struct("raw", "k").alias("y"), F.col("id").alias("q"))
     both = met.join(xs, ["form", "x"]).join(ys, ["form", "y"])
     return both.select(F.least("p", "q").alias("a_id"), F.greatest("p", "q").alias("b_id")).where("a_id <> b_id").distinct()
-
-
-def _limited_pairs(rows: DataFrame, limit: int | None, most: int | None) -> DataFrame:
-    limit, most = (sys.maxsize if x is None else x for x in (limit, most))
-    texts = rows.groupBy("form", "raw", "n_texts").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    first = texts.groupBy("form").agg(F.min("rep").alias("first"))
-    a = texts.select("form", F.col("raw").alias("ra"), F.col("n").alias("na"), F.col("rep").alias("pa"), "n_texts")
-    b = texts.select("form", F.col("raw").alias("rb"), F.col("n").alias("nb"), F.col("rep").alias("pb"))
-    few = a.where(F.col("n_texts") <= most).join(b, "form").where("pa < pb")
-    hub = texts.join(first, "form").where((F.col("n_texts") > most) & (F.col("rep") == F.col("first")))
-    hub = hub.select("form", F.col("raw").alias("ra"), F.col("n").alias("na"), F.col("rep").alias("pa"), "n_texts")
-    wide = hub.join(b, "form").where("pa < pb")
-    pairs = few.unionByName(wide)
-    ids = rows.select("form", "raw", "id")
-    xs = ids.select("form", F.col("raw").alias("ra"), F.col("id").alias("x"))
-    ys = ids.select("form", F.col("raw").alias("rb"), F.col("id").alias("y"))
-    small = F.col("na") * F.col("nb") <= limit
-    full = pairs.where(small).join(xs, ["form", "ra"]).join(ys, ["form", "rb"]).select("x", "y")
-    by_x = pairs.where(~small).join(xs, ["form", "ra"]).select("x", F.col("pb").alias("y"))
-    by_y = pairs.where(~small).join(ys, ["form", "rb"]).select(F.col("pa").alias("x"), "y")
-    return full.unionByName(by_x).unionByName(by_y).select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).where("a_id <> b_id").distinct()

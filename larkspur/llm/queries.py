@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import encode_corpus, tokenizer_file
 from larkspur.llm.leakage import Index, build_index, leaked_items, leaked_spans, proximity_matches
-from larkspur.llm.lookalikes import lookalike_pairs, normalised
+from larkspur.llm.lookalikes import TABLE, lookalike_pairs, normalised
 from larkspur.llm.near_duplicates import link_counts, near_duplicate_classes, near_duplicates
 from larkspur.operators.components import connected_components
 from larkspur.session import cut, table
@@ -106,8 +106,34 @@ dw AS (SELECT doc_id, k AS start, array_to_string(w[k:k+11], ' ') AS g FROM (SEL
 iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
 h AS (SELECT DISTINCT doc_id, item_id, start FROM dw JOIN iw USING (g))"""
 
+
+
+def _forms(fold: bool) -> str:
+    """CTEs ending in ``f`` (doc_id, text, form): texts put together from their characters' forms, by a
+    table over all of Unicode made from its own properties, then composed."""
+    rows = []
+    for point in range(0x110000):
+        if not 0xD800 <= point <= 0xDFFF:
+            new = unicodedata.normalize("NFKD", chr(point)).translate(TABLE)
+            if fold:
+                new = unicodedata.normalize("NFKD", new.casefold()).translate(TABLE)
+            if unicodedata.normalize("NFC", new) != unicodedata.normalize("NFC", chr(point)):
+                rows.append(f"({point},'{new.replace(chr(39), chr(39) * 2)}')")
+    return f"""
+WITH m(point, new) AS (VALUES {",".join(rows)}),
+c AS (SELECT doc_id, k, chars[k] AS x FROM (SELECT doc_id, chars, unnest(range(1, len(chars) + 1)) AS k FROM (SELECT doc_id, string_split(text, '') AS chars FROM documents WHERE text <> ''))),
+g AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(m.new, x), '' ORDER BY k)) AS form FROM c LEFT JOIN m ON m.point = unicode(x) GROUP BY doc_id),
+f AS (SELECT doc_id, text, CASE WHEN text = '' THEN '' ELSE form END AS form FROM documents LEFT JOIN g USING (doc_id))"""
+
+
 ORACLES: dict[str, str] = {
     "p1_found": _P1 + " SELECT tbl, a_id, b_id FROM p WHERE CAST(k AS DOUBLE) / (x + y - k) >= 0.7",
+    "p1_groups": _P1.replace("WITH t", "WITH RECURSIVE t", 1) + """,
+u AS (SELECT tbl, a_id AS a, b_id AS b FROM p WHERE CAST(k AS DOUBLE) / (x + y - k) >= 0.7), l AS (SELECT * FROM u UNION ALL SELECT tbl, b, a FROM u),
+r AS (SELECT tbl, a, b FROM l UNION SELECT r.tbl, r.a, l.b FROM r JOIN l ON l.tbl = r.tbl AND l.a = r.b)
+SELECT r.tbl, r.a AS id, min(r.b) AS group_id, (SELECT count(*) FROM l WHERE l.tbl = r.tbl AND l.a = r.a) AS n_links FROM r GROUP BY r.tbl, r.a""",
+    "p8_found": _forms(False) + r""" SELECT DISTINCT a.doc_id AS a_id, b.doc_id AS b_id FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.form, '\S')""",
+    "p8_normalised": _forms(True) + " SELECT doc_id, form AS text FROM f",
     "p7_found": _P7 + " SELECT DISTINCT doc_id, item_id FROM h",
     "p7_spans": _P7 + """, g AS (SELECT *, start - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY start) AS isle FROM h)
 SELECT doc_id, item_id, min(start) - 1 AS first_word, max(start) - min(start) + 12 AS n_words FROM g GROUP BY doc_id, item_id, isle""",

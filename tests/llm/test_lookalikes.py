@@ -58,13 +58,10 @@ def test_pairs(spark):
     assert lookalike_pairs(df.limit(0)).collect() == []
 
 
-def test_large_groups_stay_linked(spark):
-    rows = [(i, "TODO") for i in range(30)] + [(100 + i, "ТODO") for i in range(20)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {tuple(r) for r in lookalike_pairs(df, limit=50).collect()}
-    assert got == {(0, 100 + i) for i in range(20)} | {(i, 100) for i in range(30)}
-    many = spark.createDataFrame([(i, "TODO" + "​" * i) for i in range(12)], "doc_id bigint, text string")
-    assert {tuple(r) for r in lookalike_pairs(many, most=5).collect()} == {(0, i) for i in range(1, 12)}
+def test_an_invisible_character_between_a_letter_and_its_accent(spark):
+    rows = [(1, "caf\u00e9 ok"), (2, "cafe\u200d\u0301 ok"), (3, "cafe\u0301 ok"), (4, "cafe ok"), (5, "\u0441af\u0435\u2060\u0301\u00a0ok")]
+    got = lookalike_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (3, 5)}
 
 
 @pytest.mark.parametrize("block", [1000, 7])
