@@ -12,7 +12,7 @@ from larkspur.functions.relevance import floor_relevance, haystack, is_core, lex
 from larkspur.functions.text import agent_name, marks, search_terms, task_terms
 from larkspur.operators.activation import instant, is_hot, with_activation
 from larkspur.operators.episodes import each_once, timeline, upcoming
-from larkspur.operators.search import lock_hits, memory_hits, readable, relevance_scores
+from larkspur.operators.search import Indexes, lock_hits, memory_hits, readable, relevance_scores
 
 LINE = ["section", "title", "body", "source_path", "scope", "owner", "reason", "activation", "confidence"]
 SCORE_HITS = 128
@@ -161,7 +161,7 @@ def assemble(sections: list[tuple[int, DataFrame]], budget: int, conditional: bo
     return lines.where(F.col("rn") <= budget).select(F.col("rn").cast("bigint").alias("line"), *LINE)
 
 
-def context(tables: dict[str, DataFrame], agent: str, task: str, now: str, budget: int | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+def context(tables: dict[str, DataFrame], agent: str, task: str, now: str, budget: int | None = None, config: EngineConfig = EngineConfig(), indexes: Indexes | None = None) -> DataFrame:
     """``line`` and the pack columns for a task: locks, warm memories, precedents, due items.
 
     A task of stop words only has no floor and lists all due items instead. A budget of 0 is empty.
@@ -174,8 +174,8 @@ def context(tables: dict[str, DataFrame], agent: str, task: str, now: str, budge
         parts = [(0, lock_lines(m, l, r, acl, reader, now, n, config=config)), (1, hot_lines(m, r, acl, reader, now, n, config=config)), (3, future_lines(fut, now[:10], None, n))]
         return assemble(parts, n, False)
     floor = config.context_floor
-    m_scores = relevance_scores(memory_hits(m, acl, words, "company", reader, SCORE_HITS, config.match_floor), SCORE_HITS)
-    l_scores = relevance_scores(lock_hits(l, words, "company", SCORE_HITS, config.match_floor), SCORE_HITS)
+    m_scores = relevance_scores(memory_hits(m, acl, words, "company", reader, SCORE_HITS, config.match_floor, index=(indexes or {}).get('memory')))
+    l_scores = relevance_scores(lock_hits(l, words, "company", SCORE_HITS, config.match_floor, (indexes or {}).get('lock')))
     parts = [
         (0, lock_lines(m, l, r, acl, reader, now, n, terms, m_scores.unionByName(l_scores), floor, config)),
         (1, hot_lines(m, r, acl, reader, now, n, terms, m_scores, floor, config)),

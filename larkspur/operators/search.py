@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from larkspur.config import EngineConfig
 from larkspur.functions.text import ascii_tokens, count_of, search_terms
-from larkspur.operators.bm25 import bm25
+from larkspur.operators.bm25 import TextIndex
+from larkspur.session import once
 
 MEMORY, EPISODE, LOCK = {"title": 5, "body": 1}, {"summary": 3, "body": 1}, {"slug": 5, "title": 1, "body": 1}
 
@@ -64,55 +65,61 @@ def _text(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
 
 
-def _limited(hits: DataFrame, n: int) -> DataFrame:
-    """The best n of each scope among rows with all terms and among all rows, before any later filter."""
-    by = Window.partitionBy("scope_index")
-    rank = by.orderBy("bm25", "id")
-    both = hits.withColumn("rn_or", F.row_number().over(rank)).withColumn("rn_and", F.row_number().over(Window.partitionBy("scope_index", "all_terms").orderBy("bm25", "id")))
-    return both.where((F.col("rn_or") <= n) | (F.col("all_terms") & (F.col("rn_and") <= n)))
+def best_of(hits: DataFrame, n: int) -> DataFrame:
+    """The best n of each scope among rows with all terms (``strict``) and among all rows, before any
+    later filter. Each is a plain limit per scope, so every task keeps n rows of a scope at most."""
+    rank = F.row_number().over(Window.partitionBy("scope_index").orderBy("bm25", "id"))
+    top = lambda rows, strict: rows.withColumn("rn", rank).where(F.col("rn") <= n).select("id", "bm25", "scope_index", F.lit(strict).alias("strict"))
+    return top(hits, False).unionByName(top(hits.where("all_terms"), True))
 
 
-def memory_hits(memories: DataFrame, acl: DataFrame, terms: list[str], scope: str, reader: str, n: int, floor: float, owner: str | None = None, archived: bool = False) -> DataFrame:
-    """Memory candidates: limited per scope first, then access and match floor."""
-    rows = memories.select("id", "name", "title", "body", "owner", "scope", "status", "source_path")
-    hits = bm25(rows, MEMORY, terms).withColumn("scope_index", scope_index(F.col("scope"), scope)).where("scope_index is not null")
+def _with_rows(best: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The few best hits with their records' columns."""
+    return (F.broadcast(best) if n <= 10_000 else best).join(rows, "id").dropDuplicates(["strict", "id"])
+
+
+HIT = ["kind", "id", "scope", "title", "source_path", "owner", "scope_index", "bm25", "strict"]
+
+
+def memory_hits(memories: DataFrame, acl: DataFrame, terms: list[str], scope: str, reader: str, n: int, floor: float, owner: str | None = None, archived: bool = False, index: TextIndex | None = None) -> DataFrame:
+    """Memory candidates (HIT): limited per scope first, then access and match floor."""
+    index = index or TextIndex.over(memories, MEMORY, None)
+    hits = index.hits(terms).join(memories.select("id", "owner", "scope", "status"), "id").withColumn("scope_index", scope_index(F.col("scope"), scope)).where("scope_index is not null")
     if owner is not None:
         hits = hits.where(F.col("owner").isin(owner, "shared"))
     if not archived:
         hits = hits.where("status <> 'archived'")
-    kept = readable(_limited(hits, n), acl, reader).where(passes_floor(_text("name", "title", "body"), terms, floor))
-    return kept.select(F.lit("memory").alias("kind"), "id", "scope", "title", F.coalesce("source_path", F.lit("")).alias("source_path"), "owner", "scope_index", "bm25", "all_terms", "rn_and", "rn_or")
+    rows = memories.select("id", "name", "title", "body", "owner", "scope", F.coalesce("source_path", F.lit("")).alias("source_path"))
+    kept = readable(_with_rows(best_of(hits, n), rows, n), acl, reader).where(passes_floor(_text("name", "title", "body"), terms, floor))
+    return kept.withColumn("kind", F.lit("memory")).select(*HIT)
 
 
-def episode_hits(episodes: DataFrame, terms: list[str], scope: str, n: int, floor: float) -> DataFrame:
-    """Episode candidates; episodes have no owner's access rule and no archive."""
-    rows = episodes.select("id", "summary", "body", "actor", "scope", "source_path").distinct()
-    hits = bm25(rows, EPISODE, terms).withColumn("scope_index", scope_index(F.col("scope"), scope)).where("scope_index is not null")
-    kept = _limited(hits, n).where(passes_floor(_text("summary", "body"), terms, floor))
-    return kept.select(
-        F.lit("episode").alias("kind"), "id", "scope", F.col("summary").alias("title"), F.coalesce("source_path", F.lit("")).alias("source_path"), F.col("actor").alias("owner"), "scope_index", "bm25", "all_terms", "rn_and", "rn_or"
-    )
+def episode_hits(episodes: DataFrame, terms: list[str], scope: str, n: int, floor: float, index: TextIndex | None = None) -> DataFrame:
+    """Episode candidates (HIT); episodes have no owner's access rule and no archive."""
+    index = index or TextIndex.over(once(episodes.select("id", "summary", "body")), EPISODE, None)
+    scopes = episodes.select("id", "scope").distinct()
+    hits = index.hits(terms).join(scopes, "id").withColumn("scope_index", scope_index(F.col("scope"), scope)).where("scope_index is not null")
+    rows = episodes.select("id", "summary", "body", "actor", "scope", F.coalesce("source_path", F.lit("")).alias("source_path"))
+    kept = _with_rows(best_of(hits, n), rows, n).where(passes_floor(_text("summary", "body"), terms, floor))
+    return kept.select(F.lit("episode").alias("kind"), "id", "scope", F.col("summary").alias("title"), "source_path", F.col("actor").alias("owner"), "scope_index", "bm25", "strict")
 
 
-def lock_hits(locks: DataFrame, terms: list[str], scope: str, n: int, floor: float) -> DataFrame:
-    """Active locks, as memories with the negated id."""
-    rows = locks.select("id", "slug", "title", "body", "scope", "status").distinct()
-    hits = bm25(rows, LOCK, terms).withColumn("scope_index", scope_index(F.col("scope"), scope)).where("scope_index is not null and status = 'active'")
-    kept = _limited(hits, n).where(passes_floor(_text("slug", "title", "body"), terms, floor))
-    return kept.select(
-        F.lit("memory").alias("kind"), (-F.col("id")).alias("id"), "scope", "title", F.lit("").alias("source_path"), F.lit("shared").alias("owner"), "scope_index", "bm25", "all_terms", "rn_and", "rn_or"
-    )
+def lock_hits(locks: DataFrame, terms: list[str], scope: str, n: int, floor: float, index: TextIndex | None = None) -> DataFrame:
+    """Active locks (HIT), as memories with the negated id."""
+    index = index or TextIndex.over(once(locks.select("id", "slug", "title", "body")), LOCK, None)
+    live = locks.where("status = 'active'").select("id", "scope").distinct()
+    hits = index.hits(terms).join(live, "id").withColumn("scope_index", scope_index(F.col("scope"), scope)).where("scope_index is not null")
+    kept = _with_rows(best_of(hits, n), locks.select("id", "slug", "title", "body", "scope"), n).where(passes_floor(_text("slug", "title", "body"), terms, floor))
+    return kept.select(F.lit("memory").alias("kind"), (-F.col("id")).alias("id"), "scope", "title", F.lit("").alias("source_path"), F.lit("shared").alias("owner"), "scope_index", "bm25", "strict")
 
 
-def ranked(parts: list[DataFrame], n: int, limit: int | None, episode_weight: float = 0.55) -> DataFrame:
+def ranked(parts: list[DataFrame], limit: int | None, episode_weight: float = 0.55) -> DataFrame:
     """All-terms hits if any passed, else any-term hits; ranked per kind to [-weight, 0].
 
     The inputs hold at most 2 n rows per scope and part, so the windows over all of them are small.
     """
     hits = reduce(DataFrame.unionByName, parts)
-    strict = F.col("all_terms") & (F.col("rn_and") <= n)
-    hits = hits.withColumn("_any", F.max(F.coalesce(strict, F.lit(False))).over(Window.partitionBy(F.lit(1))))
-    kept = hits.where(F.when(F.col("_any"), strict).otherwise(F.col("rn_or") <= n))
+    kept = hits.withColumn("_any", F.max("strict").over(Window.partitionBy(F.lit(1)))).where("strict = _any")
     best = F.max(F.abs("bm25")).over(Window.partitionBy("kind"))
     weight = F.when(F.col("kind") == "episode", F.lit(float(episode_weight))).otherwise(F.lit(1.0))
     rank = F.when(best > 0, F.round(-(F.abs("bm25") / best) * weight, 6)).otherwise(F.lit(0.0))
@@ -122,7 +129,10 @@ def ranked(parts: list[DataFrame], n: int, limit: int | None, episode_weight: fl
     return out.orderBy("rank", "scope_index", F.when(F.col("kind") == "memory", 0).otherwise(1), "id").limit(limit)
 
 
-def search(memories: DataFrame, episodes: DataFrame, acl: DataFrame, query: str, scope: str = "os", reader: str = "agent:builder", limit: int = 10, owner: str | None = None, archived: bool = False, config: EngineConfig = EngineConfig()) -> DataFrame:
+Indexes = dict[str, TextIndex]  # by kind: memory, episode, lock
+
+
+def search(memories: DataFrame, episodes: DataFrame, acl: DataFrame, query: str, scope: str = "os", reader: str = "agent:builder", limit: int = 10, owner: str | None = None, archived: bool = False, config: EngineConfig = EngineConfig(), indexes: Indexes | None = None) -> DataFrame:
     """``kind, id, scope, title, source_path, owner, scope_index, rank`` of the best ``limit`` hits.
 
     Reading is pure: a caller that wants the recalls logged appends :func:`recalls_of` the result.
@@ -130,19 +140,20 @@ def search(memories: DataFrame, episodes: DataFrame, acl: DataFrame, query: str,
     """
     terms = search_terms(query)
     n = limit if terms else 0
-    parts = [memory_hits(memories, acl, terms, scope, reader, n, config.match_floor, owner, archived), episode_hits(episodes, terms, scope, n, config.match_floor)]
-    return ranked(parts, n, n, config.episode_weight)
+    known = indexes or {}
+    parts = [memory_hits(memories, acl, terms, scope, reader, n, config.match_floor, owner, archived, known.get("memory")), episode_hits(episodes, terms, scope, n, config.match_floor, known.get("episode"))]
+    return ranked(parts, n, config.episode_weight)
 
 
-def ask(memories: DataFrame, episodes: DataFrame, acl: DataFrame, agent: str, query: str, asker: str, scope: str = "company", limit: int = 10, archived: bool = False, config: EngineConfig = EngineConfig()) -> DataFrame:
+def ask(memories: DataFrame, episodes: DataFrame, acl: DataFrame, agent: str, query: str, asker: str, scope: str = "company", limit: int = 10, archived: bool = False, config: EngineConfig = EngineConfig(), indexes: Indexes | None = None) -> DataFrame:
     """A search in one agent's notes, empty if the agent does not let the asker read."""
     gate = readable(memories.sparkSession.createDataFrame([(agent,)], "owner string"), acl, asker).select(F.lit(True).alias("_open"))
-    return search(memories, episodes, acl, query, scope, asker, limit, agent, archived, config).join(F.broadcast(gate)).drop("_open")  # gate: one row at most
+    return search(memories, episodes, acl, query, scope, asker, limit, agent, archived, config, indexes).join(F.broadcast(gate)).drop("_open")  # gate: one row at most
 
 
-def relevance_scores(hits: DataFrame, n: int) -> DataFrame:
+def relevance_scores(hits: DataFrame) -> DataFrame:
     """``id, score``: a hit's rank as a positive share of the best, its largest over scopes."""
-    return ranked([hits], n, None).groupBy("id").agg(F.max(-F.col("rank")).alias("score"))
+    return ranked([hits], None).groupBy("id").agg(F.max(-F.col("rank")).alias("score"))
 
 
 def recalls_of(hits: DataFrame, reader: str, scope: str, now: str, next_id: int) -> DataFrame:

@@ -15,9 +15,9 @@ from larkspur.operators import activation, mutate, pack, parse, report
 from larkspur.operators import episodes as ep
 from larkspur.operators import locks as lk
 from larkspur.operators import search as se
-from larkspur.operators.bm25 import bm25, postings
+from larkspur.operators.bm25 import TextIndex, bm25, postings
 from larkspur.plans.recall_sql import ORACLES  # noqa: F401
-from larkspur.session import table
+from larkspur.session import fingerprint, once, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,27 +33,44 @@ def _t(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {n: table(spark, d, n) for n in ("memories", "episodes", "locks", "recall_events", "node_acl", "future_items", "links")}
 
 
+_STORED: dict[tuple, TextIndex] = {}
+
+
+def _indexes(spark: SparkSession, d: str) -> se.Indexes:
+    """The stored text indexes of a data directory, built by the first query of a session that asks for
+    one and as long as the table's files stay the same."""
+    return {kind: _index(spark, d, kind) for kind in ("memory", "episode", "lock")}
+
+
+def _index(spark: SparkSession, d: str, kind: str) -> TextIndex:
+    name, weights = {"memory": ("memories", se.MEMORY), "episode": ("episodes", se.EPISODE), "lock": ("locks", se.LOCK)}[kind]
+    key = fingerprint(spark, f"{d}/{name}.parquet")
+    if key not in _STORED:
+        _STORED[key] = TextIndex.over(once(table(spark, d, name).select("id", *weights)), weights, written)
+    return _STORED[key]
+
+
 def _search(query: str, scope: str = "company", owner: str | None = None, archived: bool = False, limit: int = 10) -> Query:
     def run(spark, d):
         t = _t(spark, d)
-        return se.search(t["memories"], t["episodes"], t["node_acl"], query, scope, READER, limit, owner, archived)
+        return se.search(t["memories"], t["episodes"], t["node_acl"], query, scope, READER, limit, owner, archived, indexes=_indexes(spark, d))
 
     return run
 
 
 def search_episodes_ranked(spark, d):
     words = search_terms(AND_QUERY)
-    return se.ranked([se.episode_hits(table(spark, d, "episodes"), words, "company", 20, 0.5)], 20, 20, 0.55)
+    return se.ranked([se.episode_hits(table(spark, d, "episodes"), words, "company", 20, 0.5, _index(spark, d, "episode"))], 20, 0.55)
 
 
 def search_locks_ranked(spark, d):
     words = search_terms("rule cooling")
-    return se.ranked([se.lock_hits(table(spark, d, "locks"), words, "company", 20, 0.5)], 20, 20)
+    return se.ranked([se.lock_hits(table(spark, d, "locks"), words, "company", 20, 0.5, _index(spark, d, "lock"))], 20)
 
 
 def ask_agent(spark, d):
     t = _t(spark, d)
-    return se.ask(t["memories"], t["episodes"], t["node_acl"], "agent:planner", AND_QUERY, "agent:curator", "company")
+    return se.ask(t["memories"], t["episodes"], t["node_acl"], "agent:planner", AND_QUERY, "agent:curator", "company", indexes=_indexes(spark, d))
 
 
 def search_recall_log(spark, d):
@@ -61,10 +78,13 @@ def search_recall_log(spark, d):
     return se.recalls_of(hits, READER, "company", "2026-06-10T00:00:00+00:00", 1_000_000)
 
 
-def memory_relevance(spark, d):
+def _memory_scores(spark, d, task):
     t = _t(spark, d)
-    hits = se.memory_hits(t["memories"], t["node_acl"], search_terms(TASK), "company", READER, pack.SCORE_HITS, 0.5)
-    return se.relevance_scores(hits, pack.SCORE_HITS)
+    return se.relevance_scores(se.memory_hits(t["memories"], t["node_acl"], search_terms(task), "company", READER, pack.SCORE_HITS, 0.5, index=_index(spark, d, "memory")))
+
+
+def memory_relevance(spark, d):
+    return _memory_scores(spark, d, TASK)
 
 
 def bm25_raw(spark, d):
@@ -189,8 +209,7 @@ def promotion_tiers(spark, d):
 def _locks_section(task):
     def run(spark, d):
         t, terms = _t(spark, d), task_terms(task)
-        hits = se.memory_hits(t["memories"], t["node_acl"], search_terms(task), "company", READER, pack.SCORE_HITS, 0.5)
-        scores = se.relevance_scores(hits, pack.SCORE_HITS).unionByName(se.relevance_scores(se.lock_hits(t["locks"], search_terms(task), "company", pack.SCORE_HITS, 0.5), pack.SCORE_HITS))
+        scores = _memory_scores(spark, d, task).unionByName(se.relevance_scores(se.lock_hits(t["locks"], search_terms(task), "company", pack.SCORE_HITS, 0.5, _index(spark, d, "lock"))))
         return pack.lock_lines(t["memories"], t["locks"], t["recall_events"], t["node_acl"], READER, NOW, 15, terms, scores, 0.66).drop("confidence", "place", "body")
 
     return run
@@ -199,7 +218,7 @@ def _locks_section(task):
 def _hot_section(task):
     def run(spark, d):
         t, terms = _t(spark, d), task_terms(task)
-        scores = se.relevance_scores(se.memory_hits(t["memories"], t["node_acl"], search_terms(task), "company", READER, pack.SCORE_HITS, 0.5), pack.SCORE_HITS)
+        scores = _memory_scores(spark, d, task)
         return pack.hot_lines(t["memories"], t["recall_events"], t["node_acl"], READER, NOW, 15, terms, scores, 0.66).drop("confidence", "place", "body")
 
     return run
@@ -210,7 +229,7 @@ def context_precedent(spark, d):
 
 
 def _context(task: str, budget: int | None = None) -> Query:
-    return lambda spark, d: pack.context(_t(spark, d), "builder", task, NOW, budget).drop("confidence")
+    return lambda spark, d: pack.context(_t(spark, d), "builder", task, NOW, budget, indexes=_indexes(spark, d)).drop("confidence")
 
 
 def brief_pack(spark, d):

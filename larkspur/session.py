@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "larkspur", master: str | None = None, **conf: str) -> SparkSession:
@@ -69,3 +70,18 @@ def written(df: DataFrame) -> DataFrame:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """What tells this state of a table's files from another, within one application."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.sparkContext.applicationId, path, files.getContentSummary(at).getLength(), files.getFileStatus(at).getModificationTime()
+
+
+def once(rows: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with repeated deliveries of a record counted once, without a shuffle of whole rows: only
+    keys are counted, and only rows of keys that stand several times are compared with each other."""
+    many = rows.groupBy(key).agg(F.count("*").alias("_times")).where("_times > 1").select(F.col(key).alias("_many"))
+    repeated = F.col(key).eqNullSafe(F.col("_many"))
+    return rows.join(many, repeated, "left_anti").unionByName(rows.join(many, repeated, "left_semi").distinct())

@@ -3,14 +3,16 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.config import EngineConfig
 from larkspur.functions.text import agent_name, search_terms, slug, task_terms
 from larkspur.operators import mutate, pack, report
 from larkspur.operators import search as se
 from larkspur.operators.activation import activation_scores, hot_cold_counts
-from larkspur.operators.bm25 import bm25
+from larkspur.operators.bm25 import TextIndex, bm25
 from larkspur.operators.components import connected_components
+from larkspur.session import once, written
 
 MEMORY = "id bigint, name string, title string, body string, owner string, scope string, source_path string, content_hash string, is_lock int, status string, created_at string, updated_at string"
 EPISODE = "id bigint, ts string, actor string, kind string, summary string, body string, scope string, source_path string"
@@ -46,6 +48,32 @@ def test_bm25_equals_sqlite(spark, query):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)
 
 
+def test_an_appended_index_equals_one_pass_over_the_rows(spark):
+    rnd = random.Random(5)
+    words = ["red", "reddish", "blue", "green", "yellow", "Café", "the", "x1"]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 5))) or None, " ".join(rnd.choices(words, k=rnd.randint(0, 30)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, title string, body string")
+    weights = {"title": 5, "body": 1}
+    a, b = (TextIndex.over(df.where(w), weights, written) for w in ("id < 60", "id >= 60"))
+    both = TextIndex(a.terms.unionByName(b.terms), a.sizes.unionByName(b.sizes), weights)
+    for terms in (["red"], ["red", "blu"], ["caf", "zzz"], ["zzz"], []):
+        want = {(r.id, r.bm25, r.all_terms) for r in bm25(df, weights, terms).select("id", "bm25", "all_terms").collect()}
+        for index in (both, TextIndex.over(df, weights, None)):
+            got = {tuple(r) for r in index.hits(terms).collect()}
+            assert {x[::2] for x in got} == {x[::2] for x in want} and all(abs(x[1] - y[1]) < 2e-6 for x, y in zip(sorted(got), sorted(want)))
+    assert TextIndex.over(df.limit(0), weights, written).hits(["red"]).collect() == []
+    plan = both.hits(["red"])._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,red)" in plan
+    plan = se.best_of(both.hits(["red"]).withColumn("scope_index", F.col("id") % 3), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_once(spark):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (3, None)]
+    df = spark.createDataFrame(rows, "id bigint, x string")
+    assert sorted(map(str, once(df).collect())) == sorted(map(str, df.distinct().collect())) and once(df.limit(0)).collect() == []
+
+
 def test_activation(spark):
     now = "2026-01-10 00:00:00"
     rows = [(1, 1, "a", "os", "2026-01-09T00:00:00Z"), (1, 1, "a", "os", "2026-01-09T00:00:00Z"), (2, 1, "a", "os", "2026-01-06T00:00:00+00:00"), (3, 2, "a", "os", "2026-01-06T00:00:00Z"), (4, 3, "a", "os", "later"), (5, None, "a", "os", "2026-01-06T00:00:00Z")]
