@@ -13,21 +13,29 @@ def instant(ts: Column) -> Column:
     return F.when(ts.rlike(RFC3339), F.try_to_timestamp(F.upper(ts)))
 
 
-def clean_recalls(recalls: DataFrame) -> DataFrame:
-    """``id, memory_id, queried_by, query_scope, ts``: each recall once."""
-    return recalls.select("id", "memory_id", "queried_by", "query_scope", "ts").dropDuplicates(["id", "memory_id", "queried_by", "query_scope", "ts"])
+def clean_recalls(recalls: DataFrame, *columns: str) -> DataFrame:
+    """``id, memory_id, ts`` and the named columns, each recall once; a delivery again has the same id,
+    memory and time."""
+    return recalls.select("id", "memory_id", "ts", *columns).distinct()
+
+
+def decayed(ts: Column, now: str, decay: float) -> Column:
+    """age_days ** -decay of a recall, null where its time is not readable. Ages count whole seconds,
+    one at least."""
+    age = F.greatest(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(instant(ts)), F.lit(1)) / F.lit(86400.0)
+    return F.when(instant(ts).isNotNull(), F.pow(age, F.lit(-decay)))
 
 
 def activation_scores(recalls: DataFrame, now: str, decay: float = 0.5) -> DataFrame:
     """``memory_id, activation``: ln of the sum of age_days ** -decay, to 6 digits.
 
-    Ages count whole seconds, one at least. Recalls without a readable time or memory are skipped;
-    a memory without any recall has no row (never join before aggregating: the age of nothing is
-    not one second).
+    Recalls without a readable time or memory are skipped; a memory without any recall has no row
+    (never join before aggregating: the age of nothing is not one second). Times are read before
+    recalls are compared, so only numbers are shuffled; the sums are partial before their shuffle,
+    whatever share of the recalls one memory has.
     """
-    age = F.greatest(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(instant(F.col("ts"))), F.lit(1)) / F.lit(86400.0)
-    seen = clean_recalls(recalls).where("memory_id is not null").withColumn("age", F.when(instant(F.col("ts")).isNotNull(), age)).where("age is not null")
-    return seen.groupBy("memory_id").agg(F.round(F.ln(F.sum(F.pow("age", F.lit(-decay)))), 6).alias("activation"))
+    each = recalls.where("memory_id is not null").select("id", "memory_id", decayed(F.col("ts"), now, decay).alias("part")).where("part is not null").distinct()
+    return each.groupBy("memory_id").agg(F.round(F.ln(F.sum("part")), 6).alias("activation"))
 
 
 def with_activation(memories: DataFrame, recalls: DataFrame, now: str, decay: float = 0.5) -> DataFrame:

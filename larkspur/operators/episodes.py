@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import slug, wiki_targets
 from larkspur.operators.activation import instant
+from larkspur.session import once
 
 EPISODE = ["id", "ts", "actor", "kind", "summary", "body", "scope", "source_path"]
 
@@ -22,13 +23,18 @@ def timeline(episodes: DataFrame, start: str | None = None, end: str | None = No
     The range is half open on the instant, so no fraction of the last second is lost; rows whose
     time is null or not readable are in no bounded range and come last in an open one. Ties go by id.
     """
-    rows = each_once(episodes.withColumn("at", instant(F.col("ts")) if at is None else at), *EPISODE, "at")
+    rows = episodes.select(*EPISODE, (instant(F.col("ts")) if at is None else at).alias("at"))
     if start is not None:
         rows = rows.where(F.col("at") >= F.lit(start).cast("timestamp"))
     if end is not None:
         rows = rows.where(F.col("at") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp"))
-    out = rows.orderBy(F.desc_nulls_last("at"), "id")
-    return (out.limit(limit) if limit is not None else out).drop("at")
+    order = [F.desc_nulls_last("at"), F.col("id")]
+    if limit is None:
+        return once(rows).orderBy(*order).drop("at")
+    # the ids first, then the texts of those only
+    best = rows.select("id", "at").distinct().orderBy(*order).limit(limit).select(F.col("id").alias("_best"))
+    few = rows.join(F.broadcast(best) if limit <= 10_000 else best, F.col("id").eqNullSafe(F.col("_best")), "left_semi").distinct()
+    return few.orderBy(*order).limit(limit).drop("at")
 
 
 def upcoming(future: DataFrame, today: str, days: int | None = None) -> DataFrame:
@@ -46,10 +52,14 @@ def related_to(links: DataFrame, memories: DataFrame, episodes: DataFrame) -> Da
     A target that does not exist, or is of another kind than memory and episode, gives empty texts.
     """
     edges = each_once(links, "from_kind", "from_id", "to_kind", "to_id", "kind").where("from_kind = 'memory'")
-    what = lambda rows, kind, title: rows.select(
-        F.lit(kind).alias("t_kind"), F.col("id").alias("t_id"), F.col(title).alias("title"), F.substring("body", 1, 240).alias("body"), "source_path"
-    )
-    targets = what(memories, "memory", "title").unionByName(what(each_once(episodes, "id", "summary", "body", "source_path"), "episode", "summary"))
+
+    def what(rows: DataFrame, kind: str, title: str) -> DataFrame:
+        """The targets of one kind, each once: only rows that a link names are compared."""
+        named = edges.where(F.col("to_kind") == kind).select(F.col("to_id").alias("_named")).distinct()
+        few = rows.join(named, F.col("id") == F.col("_named"), "left_semi").dropDuplicates(["id"])
+        return few.select(F.lit(kind).alias("t_kind"), F.col("id").alias("t_id"), F.col(title).alias("title"), F.substring("body", 1, 240).alias("body"), "source_path")
+
+    targets = what(memories, "memory", "title").unionByName(what(episodes, "episode", "summary"))
     j = edges.join(targets, (F.col("to_kind") == F.col("t_kind")) & (F.col("to_id") == F.col("t_id")), "left")
     none = F.lit("")
     return j.select("from_id", "to_kind", "to_id", F.col("kind").alias("link_kind"), *[F.coalesce(c, none).alias(c) for c in ("title", "body", "source_path")])

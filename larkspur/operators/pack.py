@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.config import EngineConfig
-from larkspur.functions.relevance import floor_relevance, haystack, is_core, lexical, matches_any, tail_strong
+from larkspur.functions.relevance import is_core, lexical, matches_any, passes_floor, prepared, tail_strong
 from larkspur.functions.text import agent_name, marks, search_terms, task_terms
 from larkspur.operators.activation import instant, is_hot, with_activation
-from larkspur.operators.episodes import each_once, timeline, upcoming
+from larkspur.operators.episodes import timeline, upcoming
 from larkspur.operators.search import Indexes, lock_hits, memory_hits, readable, relevance_scores
+from larkspur.session import once, written
 
 LINE = ["section", "title", "body", "source_path", "scope", "owner", "reason", "activation", "confidence"]
 SCORE_HITS = 128
@@ -31,67 +32,47 @@ def memory_rows(memories: DataFrame) -> DataFrame:
 
 def store_rows(locks: DataFrame) -> DataFrame:
     """Active locks of the store as pack candidates, ids negated."""
-    one = each_once(locks, "id", "slug", "title", "body", "scope", "status").where("status = 'active'")
+    one = once(locks.where("status = 'active'").select("id", "slug", "title", "body", "scope"))
     return one.select(
         (-F.col("id")).alias("id"), F.col("slug").alias("name"), "title", F.lit("shared").alias("owner"), "scope", F.lit(1).alias("is_lock"), F.lit("hot").alias("status"),
         F.substring(F.coalesce("body", F.lit("")), 1, 320).alias("body"), F.lit("locks").alias("source_path"),
     )
 
 
-def _scored(rows: DataFrame, scores: DataFrame | None, terms: list[str] | None) -> DataFrame:
-    """Adds relevance, core and score (needs activation)."""
-    text = haystack(F.col("name"), F.col("title"), F.col("body"))
-    share = lexical(text, terms) if terms is not None else F.lit(0.0)
-    if scores is not None:
-        rows = rows.join(scores.select(F.col("id").alias("_s_id"), "score"), F.col("id") == F.col("_s_id"), "left")
-        hit = F.coalesce("score", F.lit(0.0))
-        rows = rows.withColumn("relevance", F.when(hit > 0, hit * F.greatest(share, F.lit(0.1))).otherwise(share)).drop("_s_id", "score")
+def standing(tables: dict[str, DataFrame], reader: str, now: str, locks: int, hot: int, terms: list[str] | None = None, scores: DataFrame | None = None, floor: float | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """The best ``locks`` active locks (house rules always) and ``hot`` warm memories, those that fit
+    the task if there are ``terms``: one pass over both, ranked per section with its place.
+    """
+    live = memory_rows(tables["memories"]).where("status <> 'archived'").withColumn("own", F.lit(True))
+    enough = passes_floor(terms, floor) if floor is not None and terms is not None else "true"
+    strong = tail_strong(terms) if floor is not None and terms is not None else "true"
+
+    def fitting(rows: DataFrame) -> DataFrame:
+        rows = prepared(rows.where(visible(F.col("scope")))).withColumn("core", F.expr(f"is_lock = 1 AND {is_core()}"))
+        return rows.where(f"if(is_lock = 1, core OR {enough}, {enough} AND {strong})")
+
+    share = F.expr(lexical(terms) if terms is not None else "0D").alias("share")
+    kept = ["id", "title", "body", "source_path", "scope", "owner", "is_lock", "core", "own", share]
+    stored = fitting(store_rows(tables["locks"]).withColumn("own", F.lit(False)))
+    rows = readable(fitting(live).select(*kept).unionByName(stored.select(*kept)), tables["node_acl"], reader)
+    recalls = tables["recall_events"]
+    if terms is not None:  # few rows are left: they are written once, and only their recalls are added up
+        rows = written(rows)
+        recalls = recalls.join(rows.select(F.col("id").alias("_wanted")), F.col("memory_id") == F.col("_wanted"), "left_semi")
+    rows = with_activation(rows, recalls, now, config.decay).withColumn("activation", F.expr("if(own, activation, null)")).where(f"is_lock = 1 OR activation >= {config.hot_threshold}D")
+    if scores is None:
+        rows = rows.withColumn("relevance", F.col("share"))
     else:
-        rows = rows.withColumn("relevance", share)
-    core = is_core(F.col("name"), F.col("body")) & (F.col("is_lock") == 1)
-    rows = rows.withColumn("core", core)
-    warmth = F.greatest(F.least(F.coalesce("activation", F.lit(-10.0)), F.lit(0.0)), F.lit(-10.0))
-    return rows.withColumn("score", F.round(F.col("relevance") * 100.0 + warmth + F.when(F.col("core"), 0.1).otherwise(0.0), 6))
-
-
-def _lines(rows: DataFrame, section: str, order: list[Column], limit: int) -> DataFrame:
-    """The best ``limit`` candidates as pack lines with their place."""
-    reason = F.when(F.col("core"), "house-rule-core").when(F.col("relevance") > 0, "matched-task").otherwise("hot")
-    best = rows.orderBy(*order).limit(limit)
-    place = F.row_number().over(Window.orderBy(*order))  # at most ``limit`` rows
-    return best.select(
-        F.lit(section).alias("section"), "title", "body", "source_path", "scope", "owner", reason.alias("reason"), F.col("activation"), marks(F.concat_ws("\n", "title", "body")).alias("confidence"), place.alias("place")
-    )
-
-
-def _ranked() -> list[Column]:
-    return [F.desc("score"), F.col("title"), F.col("id") < 0, F.abs(F.col("id"))]
-
-
-def lock_lines(memories, locks, recalls, acl, reader, now, limit, terms=None, scores=None, floor=None, config=EngineConfig()) -> DataFrame:
-    """Active locks that fit the task, house rules always."""
-    own = with_activation(memory_rows(memories).where("is_lock = 1 and status <> 'archived'"), recalls, now, config.decay)
-    rows = own.unionByName(store_rows(locks).withColumn("activation", F.lit(None).cast("double"))).where(visible(F.col("scope")))
-    rows = _scored(readable(rows, acl, reader), scores, terms)
-    if terms is not None:
-        rows = rows.where((F.col("relevance") > 0) | F.col("core"))
-    if floor is not None:
-        enough = floor_relevance(F.col("name"), F.col("title"), F.col("body"), terms) if terms is not None else F.col("relevance")
-        rows = rows.where(F.col("core") | (enough >= floor))
-    return _lines(rows, "active-lock", _ranked(), limit)
-
-
-def hot_lines(memories, recalls, acl, reader, now, limit, terms=None, scores=None, floor=None, config=EngineConfig()) -> DataFrame:
-    """Warm memories that fit the task."""
-    rows = memory_rows(memories).where("is_lock = 0 and status <> 'archived'").where(visible(F.col("scope")))
-    name, title, body = F.col("name"), F.col("title"), F.col("body")
-    if floor is not None and terms is not None:
-        rows = rows.where((floor_relevance(name, title, body, terms) >= floor) & tail_strong(name, title, body, terms))
-    rows = with_activation(readable(rows, acl, reader), recalls, now, config.decay).where(is_hot(F.lit(False), F.col("activation"), config.hot_threshold))
-    rows = _scored(rows, scores, terms)
+        rows = rows.join(scores.select(F.col("id").alias("_s_id"), F.col("score").alias("_hit")), F.col("id") == F.col("_s_id"), "left")
+        rows = rows.withColumn("relevance", F.expr("if(coalesce(_hit, 0D) > 0, _hit * greatest(share, 0.1D), share)"))
     if terms is not None:
-        rows = rows.where("relevance > 0")
-    return _lines(rows, "hot-memory", _ranked(), limit)
+        rows = rows.where("relevance > 0 OR core")
+    rows = rows.withColumn("score", F.expr("round(relevance * 100D + greatest(least(coalesce(activation, -10D), 0D), -10D) + if(core, 0.1D, 0D), 6)"))
+    rows = rows.withColumn("section", F.expr("if(is_lock = 1, 'active-lock', 'hot-memory')"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), "title", F.col("id") < 0, F.abs(F.col("id"))))
+    best = rows.withColumn("place", place).where(F.col("place") <= max(locks, hot)).where(f"place <= if(is_lock = 1, {locks}, {hot})")
+    reason = F.expr("CASE WHEN core THEN 'house-rule-core' WHEN relevance > 0 THEN 'matched-task' ELSE 'hot' END")
+    return best.select("section", "title", "body", "source_path", "scope", "owner", reason.alias("reason"), "activation", marks(F.concat_ws("\n", "title", "body")).alias("confidence"), "place")
 
 
 def _plain(rows: DataFrame, section: str, order: list[Column], limit: int, **cols: Column) -> DataFrame:
@@ -104,8 +85,7 @@ def future_lines(future, today, days, limit, terms=None, floor=None) -> DataFram
     """Due items; with terms those that fit the task."""
     rows = upcoming(future, today, days)
     if terms is not None:
-        fixed = F.lit("future")
-        rows = rows.where((floor_relevance(fixed, F.col("due"), F.col("body"), terms) >= floor) & tail_strong(fixed, F.col("due"), F.col("body"), terms))
+        rows = prepared(rows, "'future'", "due", "body").where(f"{passes_floor(terms, floor)} AND {tail_strong(terms)}")
     return _plain(
         rows, "due-future", [F.col("due"), F.col("id")], limit, title=F.col("due"), body=F.col("body"), source_path=F.concat(F.lit("future_items:"), F.col("id").cast("string")), scope=F.lit("company"),
         owner=F.col("created_by"), reason=F.lit("due-future" if terms is None else "matched-task"), confidence=F.array().cast("array<string>"),
@@ -113,16 +93,19 @@ def future_lines(future, today, days, limit, terms=None, floor=None) -> DataFram
 
 
 def precedent_lines(episodes, terms, floor, limit) -> DataFrame:
-    """Among the newest 500 episodes that are no misses, those that fit the task."""
-    one = each_once(episodes, "id", "ts", "actor", "kind", "summary", "body", "scope", "source_path").where("kind <> 'miss'").withColumn("at", instant(F.col("ts")))
+    """Among the newest 500 episodes that are no misses, those that fit the task.
+
+    The newest are found on ids and times alone; texts are read for those only.
+    """
     order = [F.desc_nulls_last("at"), F.col("id")]
-    newest = one.orderBy(*order).limit(PRECEDENTS).withColumn("body", F.coalesce("body", F.lit("")))
-    fixed = F.lit("episode")
-    fits = matches_any(terms, F.col("summary"), F.col("body"))
+    newest = episodes.where("kind <> 'miss'").select("id", instant(F.col("ts")).alias("at")).distinct().orderBy(*order).limit(PRECEDENTS)
+    cols = episodes.where("kind <> 'miss'").select("id", "summary", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("source_path", F.lit("")).alias("source_path"), "scope", "actor")
+    rows = cols.join(F.broadcast(newest), "id").dropDuplicates(["id"])  # PRECEDENTS rows
+    rows = prepared(rows, "summary", "''", "body").where(matches_any(terms)).drop("_text", "_frame", "_head")
     if floor is not None:
-        fits = fits & (floor_relevance(fixed, F.col("summary"), F.col("body"), terms) >= floor) & tail_strong(fixed, F.col("summary"), F.col("body"), terms)
+        rows = prepared(rows, "'episode'", "summary", "body").where(f"{passes_floor(terms, floor)} AND {tail_strong(terms)}")
     return _plain(
-        newest.where(fits), "episodic-precedent", order, limit, title=F.col("summary"), body=F.substring("body", 1, 240), source_path=F.coalesce("source_path", F.lit("")), scope=F.col("scope"), owner=F.col("actor"),
+        rows, "episodic-precedent", order, limit, title=F.col("summary"), body=F.substring("body", 1, 240), source_path=F.col("source_path"), scope=F.col("scope"), owner=F.col("actor"),
         reason=F.lit("matched-task"), confidence=marks(F.col("body")),
     ).select(*LINE, "place")
 
@@ -148,7 +131,7 @@ def assemble(sections: list[tuple[int, DataFrame]], budget: int, conditional: bo
     is specific to the task, and section 4 (the marker) only if none is in the end. Every section
     holds at most ``budget`` rows, so the windows over all of them are small.
     """
-    lines = reduce(DataFrame.unionByName, [s.select(*LINE, "place").withColumn("sec", F.lit(k)) for k, s in sections])
+    lines = reduce(DataFrame.unionByName, [s.select(*LINE, "place").withColumn("sec", F.when(F.col("section") == "hot-memory", 1).otherwise(k)) for k, s in sections])
     everything = Window.partitionBy(F.lit(1))
     order = everything.orderBy("sec", "place")
     specific = (F.col("reason") != "house-rule-core") & (F.col("section") != "nothing-specific")
@@ -166,35 +149,35 @@ def context(tables: dict[str, DataFrame], agent: str, task: str, now: str, budge
 
     A task of stop words only has no floor and lists all due items instead. A budget of 0 is empty.
     """
-    m, e, l, r, acl, fut = (tables[k] for k in ("memories", "episodes", "locks", "recall_events", "node_acl", "future_items"))
     n = config.context_budget if budget is None else budget
     reader, terms = agent_name(agent), task_terms(task)
-    words = search_terms(task)
+    fut = tables["future_items"]
     if not terms:
-        parts = [(0, lock_lines(m, l, r, acl, reader, now, n, config=config)), (1, hot_lines(m, r, acl, reader, now, n, config=config)), (3, future_lines(fut, now[:10], None, n))]
-        return assemble(parts, n, False)
+        return assemble([(0, standing(tables, reader, now, n, n, config=config)), (3, future_lines(fut, now[:10], None, n))], n, False)
     floor = config.context_floor
-    m_scores = relevance_scores(memory_hits(m, acl, words, "company", reader, SCORE_HITS, config.match_floor, index=(indexes or {}).get('memory')))
-    l_scores = relevance_scores(lock_hits(l, words, "company", SCORE_HITS, config.match_floor, (indexes or {}).get('lock')))
     parts = [
-        (0, lock_lines(m, l, r, acl, reader, now, n, terms, m_scores.unionByName(l_scores), floor, config)),
-        (1, hot_lines(m, r, acl, reader, now, n, terms, m_scores, floor, config)),
-        (2, precedent_lines(e, terms, floor, n)),
+        (0, standing(tables, reader, now, n, n, terms, task_scores(tables, task, reader, config, indexes), floor, config)),
+        (2, precedent_lines(tables["episodes"], terms, floor, n)),
         (3, future_lines(fut, now[:10], None, n, terms, floor)),
-        (4, no_match_line(m)),
+        (4, no_match_line(tables["memories"])),
     ]
     return assemble(parts, n, True)
 
 
+def task_scores(tables: dict[str, DataFrame], task: str, reader: str, config: EngineConfig = EngineConfig(), indexes: Indexes | None = None) -> DataFrame:
+    """``id, score``: how well a search for the task finds memories, and locks by their negated id."""
+    words, known = search_terms(task), indexes or {}
+    memory = memory_hits(tables["memories"], tables["node_acl"], words, "company", reader, SCORE_HITS, config.match_floor, index=known.get("memory"))
+    lock = lock_hits(tables["locks"], words, "company", SCORE_HITS, config.match_floor, known.get("lock"))
+    return relevance_scores(memory).unionByName(relevance_scores(lock))
+
+
 def brief(tables: dict[str, DataFrame], agent: str, now: str, yesterday: str, config: EngineConfig = EngineConfig()) -> DataFrame:
     """The standing brief: 5 locks, 8 warm memories, 5 items due in 30 days, then yesterday, 20 lines in all."""
-    m, e, l, r, acl, fut = (tables[k] for k in ("memories", "episodes", "locks", "recall_events", "node_acl", "future_items"))
-    reader = agent_name(agent)
     parts = [
-        (0, lock_lines(m, l, r, acl, reader, now, 5, config=config)),
-        (1, hot_lines(m, r, acl, reader, now, 8, config=config)),
-        (2, future_lines(fut, now[:10], 30, 5)),
-        (3, yesterday_lines(e, yesterday, 20)),
+        (0, standing(tables, agent_name(agent), now, 5, 8, config=config)),
+        (2, future_lines(tables["future_items"], now[:10], 30, 5)),
+        (3, yesterday_lines(tables["episodes"], yesterday, 20)),
     ]
     return assemble(parts, 20, False)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.config import EngineConfig
-from larkspur.operators.activation import clean_recalls, is_hot, with_activation
+from larkspur.operators.activation import clean_recalls, decayed, is_hot
 from larkspur.operators.episodes import each_once
 
 
@@ -49,19 +49,24 @@ def recall_scopes(memories: DataFrame, recalls: DataFrame) -> DataFrame:
     (then the broader, then the later name), as company or os. Recalls are added up per memory and
     scope before they meet the memories.
     """
-    seen = clean_recalls(recalls).where("memory_id is not null and query_scope is not null")
+    seen = clean_recalls(recalls, "query_scope").where("memory_id is not null and query_scope is not null")
     each = seen.groupBy("memory_id", "query_scope").agg(F.count("*").alias("n"))
-    own = memories.select(F.col("id"), F.col("scope"))
-    j = each.join(own, F.col("memory_id") == F.col("id"))
+    higher, best = _broader()
+    counts = each.join(memories.select("id", "scope"), F.col("memory_id") == F.col("id")).groupBy("id").agg(
+        higher.alias("higher"), best.alias("best"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("query_scope", "n")))).alias("recalls_by_scope")
+    )
+    return counts.select("id", "higher", _suggested(F.col("best")).alias("suggested_scope"), "recalls_by_scope")
+
+
+def _broader() -> tuple[Column, Column]:
+    """Over rows (scope, query_scope, n): the recalls from broader scopes, and the scope with most."""
     broader = scope_level(F.col("query_scope")) > scope_level(F.col("scope"))
     best = F.max_by(F.when(broader, F.col("query_scope")), F.when(broader, F.struct("n", scope_level(F.col("query_scope")).alias("level"), "query_scope")))
-    counts = j.groupBy("id").agg(
-        F.sum(F.when(broader, F.col("n")).otherwise(0)).alias("higher"),
-        best.alias("best"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("query_scope", "n")))).alias("recalls_by_scope"),
-    )
-    suggested = F.when(F.col("best") == "os", "os").when(F.col("best").isNotNull(), "company")
-    return counts.select("id", "higher", suggested.alias("suggested_scope"), "recalls_by_scope")
+    return F.sum(F.when(broader, F.col("n")).otherwise(0)), best
+
+
+def _suggested(best: Column) -> Column:
+    return F.when(best == "os", "os").when(best.isNotNull(), "company")
 
 
 def last_recalls(recalls: DataFrame) -> DataFrame:
@@ -83,10 +88,16 @@ def tier_allows(scope: Column, to: Column, by: Column) -> Column:
 def consolidation(memories: DataFrame, recalls: DataFrame, now: str, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Up to two rows per memory: recalled from broader scopes often enough to be promoted (whatever
     its status), and kept as a lock or cooling (unless archived)."""
-    base = with_activation(memories.select("id", "name", "title", "owner", "scope", "is_lock", "status", "source_path"), recalls, now, config.decay)
-    said = recall_scopes(memories, recalls).withColumnRenamed("id", "_id")
-    last = last_recalls(recalls)
-    j = base.join(said, F.col("id") == F.col("_id"), "left").join(last, F.col("id") == F.col("memory_id"), "left").withColumn("higher", F.coalesce("higher", F.lit(0)).cast("bigint"))
+    base = memories.select("id", "name", "title", "owner", "scope", "is_lock", "status", "source_path")
+    # one pass over the recalls: sums per memory and scope first, whatever share of them one memory has
+    seen = clean_recalls(recalls, "query_scope").where("memory_id is not null").withColumn("part", decayed(F.col("ts"), now, config.decay))
+    each = seen.groupBy("memory_id", "query_scope").agg(F.count("*").alias("n"), F.sum("part").alias("part"), F.max("ts").alias("last"))
+    higher, best = _broader()
+    scopes = memories.select(F.col("id").alias("_id"), F.col("scope"))
+    said = each.where("query_scope is not null or part is not null or last is not null").join(scopes, F.col("memory_id") == F.col("_id")).groupBy("_id").agg(
+        higher.alias("higher"), best.alias("best"), F.round(F.ln(F.sum("part")), 6).alias("activation"), F.max("last").alias("last_recall")
+    )
+    j = base.join(said, F.col("id") == F.col("_id"), "left").withColumns({"higher": F.coalesce("higher", F.lit(0)).cast("bigint"), "suggested_scope": _suggested(F.col("best"))})
     lock = F.col("is_lock") == 1
     none = F.lit(None).cast("string")
 
@@ -102,3 +113,9 @@ def consolidation(memories: DataFrame, recalls: DataFrame, now: str, config: Eng
         F.col("c.kind").alias("kind"), "id", "title", "name", "owner", F.col("scope").alias("current_scope"), F.col("c.suggested").alias("suggested_scope"), F.col("c.tier").alias("required_tier"),
         "higher", "activation", "last_recall", F.coalesce("source_path", F.lit("")).alias("source_path"),
     )
+
+
+def report_order() -> list[Column]:
+    """Promotions, then what cools, then locks; most recalls first."""
+    kind = F.expr("CASE kind WHEN 'promotion-candidate' THEN 0 WHEN 'cooling-candidate' THEN 1 ELSE 2 END")
+    return [kind, F.desc("higher"), F.col("title"), F.col("id")]

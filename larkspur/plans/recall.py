@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.relevance import floor_relevance, lexical, tail_strong
+from larkspur.functions.relevance import floor_relevance, lexical, prepared, tail_strong
 from larkspur.functions.text import content_hash, index_tokens, search_terms, slugify, task_terms
 from larkspur.functions.text import wiki_targets as targets_of
 from larkspur.functions.timestamps import with_utc
@@ -154,7 +154,9 @@ def related_by_name(spark, d):
 
 
 def wiki_links_resolved(spark, d):
-    return ep.wiki_links(table(spark, d, "memories"))
+    """Links by name; the test texts name no note, so each body gets a link to its own note and one to the note named like its title."""
+    own = F.concat(F.lit(" [["), F.replace("name", F.lit("-"), F.lit(" ")), F.lit("|see]] [["), F.upper("title"), F.lit("]]"))
+    return ep.wiki_links(table(spark, d, "memories").withColumn("body", F.concat(F.coalesce("body", F.lit("")), own)))
 
 
 def wiki_targets(spark, d):
@@ -178,7 +180,7 @@ def locks_restatus(spark, d):
 
 
 def prune_report(spark, d):
-    return pack.prune_report(table(spark, d, "memories"), table(spark, d, "recall_events"), NOW).drop("confidence")
+    return pack.prune_report(table(spark, d, "memories"), table(spark, d, "recall_events"), NOW).transform(_said)
 
 
 def consolidation_candidates(spark, d):
@@ -193,6 +195,23 @@ def suggested_scope(spark, d):
     return report.recall_scopes(table(spark, d, "memories"), table(spark, d, "recall_events")).select("id", "suggested_scope")
 
 
+def recalls_per_scope(spark, d):
+    said = report.recall_scopes(table(spark, d, "memories"), table(spark, d, "recall_events"))
+    return said.select("id", F.explode("recalls_by_scope").alias("query_scope", "n"))
+
+
+def consolidation_first(spark, d):
+    """The report's first 40 lines with their place."""
+    rows = report.consolidation(table(spark, d, "memories"), table(spark, d, "recall_events"), NOW).orderBy(*report.report_order()).limit(40)
+    return rows.select("kind", "id", F.row_number().over(Window.orderBy(*report.report_order())).cast("bigint").alias("place"))
+
+
+def prune_first(spark, d):
+    """The pruning report's first 40 lines with their place."""
+    rows = pack.prune_report(table(spark, d, "memories"), table(spark, d, "recall_events"), NOW).orderBy("title", "id").limit(40)
+    return rows.select("section", "id", F.row_number().over(Window.orderBy("title", "id")).cast("bigint").alias("place"))
+
+
 def last_recall(spark, d):
     return report.last_recalls(table(spark, d, "recall_events"))
 
@@ -206,70 +225,70 @@ def promotion_tiers(spark, d):
     return pairs.select("from_scope", "to_scope", "who", report.tier_allows(f, t, b).alias("allowed"), report.required_tier(f, t, F.lit(False)).alias("tier"))
 
 
-def _locks_section(task):
-    def run(spark, d):
-        t, terms = _t(spark, d), task_terms(task)
-        scores = _memory_scores(spark, d, task).unionByName(se.relevance_scores(se.lock_hits(t["locks"], search_terms(task), "company", pack.SCORE_HITS, 0.5, _index(spark, d, "lock"))))
-        return pack.lock_lines(t["memories"], t["locks"], t["recall_events"], t["node_acl"], READER, NOW, 15, terms, scores, 0.66).drop("confidence", "place", "body")
-
-    return run
+def _said(df: DataFrame) -> DataFrame:
+    """The marks of confidence as one text, so that results can be compared."""
+    return df.withColumn("confidence", F.array_join("confidence", " "))
 
 
-def _hot_section(task):
+def _section(task: str, section: str) -> Query:
     def run(spark, d):
-        t, terms = _t(spark, d), task_terms(task)
-        scores = _memory_scores(spark, d, task)
-        return pack.hot_lines(t["memories"], t["recall_events"], t["node_acl"], READER, NOW, 15, terms, scores, 0.66).drop("confidence", "place", "body")
+        t = _t(spark, d)
+        rows = pack.standing(t, READER, NOW, 15, 15, task_terms(task), pack.task_scores(t, task, READER, indexes=_indexes(spark, d)), 0.66)
+        return _said(rows.where(F.col("section") == section).drop("place"))
 
     return run
 
 
 def context_precedent(spark, d):
-    return pack.precedent_lines(table(spark, d, "episodes"), task_terms(TASK), 0.66, 15).drop("confidence", "place", "activation")
+    return pack.precedent_lines(table(spark, d, "episodes"), task_terms(TASK), 0.66, 15).drop("place", "activation").transform(_said)
 
 
 def _context(task: str, budget: int | None = None) -> Query:
-    return lambda spark, d: pack.context(_t(spark, d), "builder", task, NOW, budget, indexes=_indexes(spark, d)).drop("confidence")
+    return lambda spark, d: pack.context(_t(spark, d), "builder", task, NOW, budget, indexes=_indexes(spark, d)).transform(_said)
 
 
 def brief_pack(spark, d):
-    return pack.brief(_t(spark, d), "@builder", NOW, DAY).drop("confidence")
+    return pack.brief(_t(spark, d), "@builder", NOW, DAY).transform(_said)
 
 
 def lexical_relevance(spark, d):
-    m = pack.memory_rows(table(spark, d, "memories"))
-    text = pack.haystack(F.col("name"), F.col("title"), F.col("body"))
-    return m.select("id", F.round(lexical(text, task_terms(SIGNAL_TASK)), 6).alias("lexical"))
+    m = prepared(pack.memory_rows(table(spark, d, "memories")))
+    return m.selectExpr("id", f"round({lexical(task_terms(SIGNAL_TASK))}, 6) AS lexical")
 
 
 def floor_and_tail(spark, d):
-    m = pack.memory_rows(table(spark, d, "memories"))
-    a = F.col("name"), F.col("title"), F.col("body")
-    return m.select("id", F.round(floor_relevance(*a, task_terms(SIGNAL_TASK)), 6).alias("signal_floor"), F.round(floor_relevance(*a, task_terms(TASK)), 6).alias("plain_floor"), tail_strong(*a, task_terms(SIGNAL_TASK)).alias("strong"))
-
-
-def _halves(spark, d):
-    """Memories as an older snapshot and the parsed documents of a new read of some of its files."""
-    m = table(spark, d, "memories").withColumn("content_hash", content_hash(F.col("title"), F.col("body"), F.col("source_path")))
-    old = m.where("length(name) % 3 <> 0")
-    new = m.where("length(title) % 2 = 0").withColumn("title", F.when(F.length("body") % 5 == 0, F.concat("title", F.lit(" (new)"))).otherwise(F.col("title")))
-    docs = new.select("name", "title", "body", "owner", "scope", "source_path", content_hash(F.col("title"), F.col("body"), F.col("source_path")).alias("content_hash"), "is_lock", F.lit(0).alias("ordinal"))
+    m = prepared(pack.memory_rows(table(spark, d, "memories")))
+    signal, plain = task_terms(SIGNAL_TASK), task_terms(TASK)
+    return m.selectExpr("id", f"round({floor_relevance(signal)}, 6) AS signal_floor", f"round({floor_relevance(plain)}, 6) AS plain_floor", f"{tail_strong(signal)} AS strong")
+
+
+def _snapshots(spark, d):
+    """Memories as the older snapshot, and the documents of a new read of all files: some titles are
+    new, and some notes have another name."""
+    hashed = content_hash(F.col("title"), F.col("body"), F.col("source_path"))
+    old = table(spark, d, "memories").withColumn("content_hash", hashed)
+    new = old.withColumns({
+        "title": F.when(F.length("body") % 5 == 0, F.concat("title", F.lit(" (new)"))).otherwise(F.col("title")),
+        "name": F.when(F.length("body") % 7 == 0, F.concat("name", F.lit("-moved"))).otherwise(F.col("name")),
+    })
+    docs = new.select("name", "title", "body", "owner", "scope", "source_path", hashed.alias("content_hash"), "is_lock", F.lit(0).alias("ordinal"))
     return old, docs
 
 
 def upsert_snapshot(spark, d):
-    old, docs = _halves(spark, d)
+    old, docs = _snapshots(spark, d)
     return mutate.upsert_memories(old, docs, "2026-06-10T00:00:00+00:00").select("id", "name", "title", "status", "created_at", "updated_at")
 
 
 def archive_absent(spark, d):
-    old, docs = _halves(spark, d)
+    old, docs = _snapshots(spark, d)
     return mutate.archive_absent(old, docs.where("source_path is not null"), docs.select("source_path")).select("id", "status")
 
 
 def episodes_dedup(spark, d):
     e = table(spark, d, "episodes")
-    return mutate.insert_new_episodes(e.where("length(summary) % 2 = 0"), e).select("id", "ts", "actor", "kind")
+    again = e.withColumn("summary", F.when(F.length("summary") % 2 == 0, F.concat("summary", F.lit(" (again)"))).otherwise(F.col("summary")))
+    return mutate.insert_new_episodes(e, again).select("id", "ts", "actor", "kind", "summary")
 
 
 def seed_recalls(spark, d):
@@ -278,7 +297,12 @@ def seed_recalls(spark, d):
 
 def promote_snapshot(spark, d):
     m, _ = mutate.promote(table(spark, d, "memories"), table(spark, d, "episodes"), 8, "os", "operator", "2026-06-10T00:00:00+00:00")
-    return m.select("id", "scope")
+    return m.select("id", "scope", "updated_at")
+
+
+def promote_audit(spark, d):
+    _, audit = mutate.promote(table(spark, d, "memories"), table(spark, d, "episodes"), 8, "os", "operator", "2026-06-10T00:00:00+00:00")
+    return audit
 
 
 def slugify_titles(spark, d):
@@ -306,12 +330,12 @@ def frontmatter_notes(spark, d):
 
 def episode_lines(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
-    return parse.first_lines(docs).groupBy("key").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    return parse.first_lines(docs).select("key", F.col("ordinal").cast("bigint").alias("ordinal"), "line")
 
 
 def team_log_lines(spark, d):
     docs = table(spark, d, "documents").where("source = 'team-log'").select(F.col("doc_id").alias("key"), "text")
-    return parse.log_lines(docs).groupBy("actor").agg(F.count("*").alias("n_lines"), F.count("ts").alias("n_dated"))
+    return parse.log_lines(docs).select("key", F.col("ordinal").cast("bigint").alias("ordinal"), "actor", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "line")
 
 
 def dated_notes(spark, d):
@@ -337,8 +361,8 @@ QUERIES: dict[str, Query] = {
     "search_product_scope": _search("cooling release", "product:notebook"),
     "search_os_scope": _search("cooling release", "os"),
     "search_company_scope": _search("cooling release", "company", limit=40),
-    "context_locks": _locks_section(TASK),
-    "context_hot": _hot_section(TASK),
+    "context_locks": _section(TASK, "active-lock"),
+    "context_hot": _section(TASK, "hot-memory"),
     "context_pack": _context(TASK),
     "context_signal_pack": _context(SIGNAL_TASK, 40),
     "context_no_match": _context(NO_TASK),
@@ -356,6 +380,6 @@ QUERIES: dict[str, Query] = {
         search_episodes_ranked, search_locks_ranked, ask_agent, search_recall_log, memory_relevance, bm25_raw, postings_size, match_floor, acl_visible_memories, activation_scores, hot_cold_counts, stats_scalars,
         timeline_all_forms, upcoming_all, upcoming_30_days, related_walk, related_by_name, wiki_targets, wiki_links_resolved, locks_active, locks_all_with_supersedes, locks_render_order, locks_restatus, prune_report,
         consolidation_candidates, higher_scope_counts, suggested_scope, last_recall, promotion_tiers, context_precedent, brief_pack, lexical_relevance, floor_and_tail, upsert_snapshot, archive_absent, episodes_dedup,
-        seed_recalls, promote_snapshot, slugify_titles, title_tokens, content_hashes, markdown_sections, frontmatter_notes, episode_lines, team_log_lines, dated_notes, scope_classification, owner_of_path,
+        seed_recalls, promote_snapshot, promote_audit, recalls_per_scope, consolidation_first, prune_first, slugify_titles, title_tokens, content_hashes, markdown_sections, frontmatter_notes, episode_lines, team_log_lines, dated_notes, scope_classification, owner_of_path,
     )
 }

@@ -5,7 +5,7 @@ The texts are put together from a few named parts; each is one statement of its
 
 from __future__ import annotations
 
-from larkspur.functions.text import ACCENTED, CORE_RULES, PLAIN, SIGNALS, SYNONYMS, TESTING, search_terms, task_terms
+from larkspur.functions.text import ACCENTED, CORE_RULES, MARKS, PLAIN, SIGNALS, SYNONYMS, TESTING, search_terms, task_terms
 
 NOW, TODAY, DAY, READER = "2026-06-10 00:00:00", "2026-03-01", "2025-03-12", "agent:builder"
 AND_QUERY, OR_QUERY, ONE_TERM = "heartbeat lease", "rotation heartbeat zzzz", "supersession"
@@ -170,7 +170,12 @@ VISIBLE = "(scope IN ('company', 'os') OR starts_with(scope, 'product:'))"
 ROWS = """mrows AS (SELECT id, name, title, owner, scope, is_lock, status, substr(coalesce(body, ''), 1, 320) AS body, coalesce(source_path, '') AS source_path FROM memories),
 srows AS (SELECT DISTINCT -id AS id, slug AS name, title, 'shared' AS owner, scope, 1 AS is_lock, 'hot' AS status, substr(coalesce(body, ''), 1, 320) AS body, 'locks' AS source_path FROM locks WHERE status = 'active')"""
 NMB = ("name", "title", "body")
-LINE = "section, title, body, source_path, scope, owner, reason, activation"
+LINE = "section, title, body, source_path, scope, owner, reason, activation, confidence"
+
+
+def marked(*cols: str) -> str:
+    text = "concat_ws(chr(10), " + ", ".join(cols) + ")"
+    return "concat_ws(' ', " + ", ".join(f"CASE WHEN contains({text}, '{m}') THEN '{m}' END" for m in MARKS) + ") AS confidence"
 
 
 def scored(name: str, source: str, terms: list[str] | None, scores: str | None, locks: bool) -> str:
@@ -183,7 +188,7 @@ def scored(name: str, source: str, terms: list[str] | None, scores: str | None,
 
 def section(name: str, label: str, where: str, limit: int) -> str:
     reason = "CASE WHEN core THEN 'house-rule-core' WHEN relevance > 0 THEN 'matched-task' ELSE 'hot' END"
-    return f"""{name} AS (SELECT '{label}' AS section, title, body, source_path, scope, owner, {reason} AS reason, activation,
+    return f"""{name} AS (SELECT '{label}' AS section, title, body, source_path, scope, owner, {reason} AS reason, activation, {marked('title', 'body')},
   row_number() OVER (ORDER BY score DESC, title, id < 0, abs(id)) AS place FROM {name}_b WHERE {where} ORDER BY place LIMIT {limit})"""
 
 
@@ -204,7 +209,7 @@ def future_section(limit: int, days: int | None, today: str, terms: list[str] |
     if terms:
         cols = ("'future'", "due", "body")
         where += f" AND {floor_relevance(cols, terms)} >= 0.66 AND {tail_strong(cols, terms)}"
-    return f"""sf AS (SELECT 'due-future' AS section, due AS title, body, 'future_items:' || id AS source_path, 'company' AS scope, created_by AS owner, '{"matched-task" if terms else "due-future"}' AS reason, CAST(NULL AS DOUBLE) AS activation,
+    return f"""sf AS (SELECT 'due-future' AS section, due AS title, body, 'future_items:' || id AS source_path, 'company' AS scope, created_by AS owner, '{"matched-task" if terms else "due-future"}' AS reason, CAST(NULL AS DOUBLE) AS activation, '' AS confidence,
   row_number() OVER (ORDER BY due, id) AS place FROM future_items WHERE {where} ORDER BY place LIMIT {limit})"""
 
 
@@ -217,7 +222,7 @@ def precedent_section(limit: int, terms: list[str]) -> str:
     fits = " OR ".join(f"contains({text}, '{t}')" for t in terms)
     return f"""{EP_ONE},
 newest AS (SELECT * REPLACE (coalesce(body, '') AS body) FROM ep WHERE kind <> 'miss' ORDER BY u DESC NULLS LAST, id LIMIT 500),
-sp AS (SELECT 'episodic-precedent' AS section, summary AS title, substr(body, 1, 240) AS body, coalesce(source_path, '') AS source_path, scope, actor AS owner, 'matched-task' AS reason, CAST(NULL AS DOUBLE) AS activation,
+sp AS (SELECT 'episodic-precedent' AS section, summary AS title, substr(body, 1, 240) AS body, coalesce(source_path, '') AS source_path, scope, actor AS owner, 'matched-task' AS reason, CAST(NULL AS DOUBLE) AS activation, {marked('body')},
   row_number() OVER (ORDER BY u DESC NULLS LAST, id) AS place FROM newest WHERE ({fits}) AND {floor_relevance(cols, terms)} >= 0.66 AND {tail_strong(cols, terms)} ORDER BY place LIMIT {limit})"""
 
 
@@ -248,7 +253,7 @@ n AS (SELECT *, row_number() OVER (ORDER BY sec, place) AS line FROM u) SELECT l
 b AS (SELECT *, row_number() OVER (ORDER BY sec, place) AS rn FROM (SELECT 0 AS sec, * FROM sl UNION ALL SELECT 1, * FROM sh)),
 u AS (SELECT * EXCLUDE (rn) FROM b UNION ALL SELECT 2, * FROM sp WHERE NOT EXISTS (SELECT 1 FROM b WHERE rn <= {budget} AND {spec}) UNION ALL SELECT 3, * FROM sf),
 c AS (SELECT *, row_number() OVER (ORDER BY sec, place) AS rn FROM u),
-z AS (SELECT * EXCLUDE (rn) FROM c UNION ALL SELECT 4, 'nothing-specific', 'No task match', 'No task match above the relevance floor -- standing rules only.', '', 'company', 'shared', 'no-task-match', NULL, 1
+z AS (SELECT * EXCLUDE (rn) FROM c UNION ALL SELECT 4, 'nothing-specific', 'No task match', 'No task match above the relevance floor -- standing rules only.', '', 'company', 'shared', 'no-task-match', NULL, '', 1
       WHERE NOT EXISTS (SELECT 1 FROM c WHERE rn <= {budget} AND {spec})),
 n AS (SELECT *, row_number() OVER (ORDER BY sec, place) AS line FROM z) SELECT line, {LINE} FROM n WHERE line <= {budget}"""
 
@@ -270,8 +275,8 @@ said AS (SELECT j.id, CAST(sum(CASE WHEN broader THEN n ELSE 0 END) AS BIGINT) A
 last_ AS (SELECT memory_id, max(ts) AS last_recall FROM recall_events WHERE memory_id IS NOT NULL AND ts IS NOT NULL GROUP BY memory_id)"""
 TIER = "CASE WHEN {2} OR {0} = 'os' OR coalesce({1} = 'os', false) THEN 'operator' WHEN starts_with({0}, 'product:') OR {0} = 'company' THEN 'curator' ELSE 'operator' END"
 HASH = "sha256(concat_ws(chr(10), coalesce(title, ''), coalesce(body, ''), coalesce(source_path, '')))"
-OLD_NEW = f"""old AS (SELECT * REPLACE ({HASH} AS content_hash) FROM memories WHERE length(name) % 3 <> 0),
-new AS (SELECT * REPLACE ({HASH} AS content_hash) FROM (SELECT * REPLACE (CASE WHEN length(body) % 5 = 0 THEN title || ' (new)' ELSE title END AS title) FROM memories WHERE length(title) % 2 = 0))"""
+OLD_NEW = f"""old AS (SELECT * REPLACE ({HASH} AS content_hash) FROM memories),
+new AS (SELECT * REPLACE ({HASH} AS content_hash) FROM (SELECT * REPLACE (CASE WHEN length(body) % 5 = 0 THEN title || ' (new)' ELSE title END AS title, CASE WHEN length(body) % 7 = 0 THEN name || '-moved' ELSE name END AS name) FROM memories))"""
 UNIX = "replace(text, chr(13) || chr(10), chr(10))"
 LINES = f"list_filter(list_transform(string_split({UNIX}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
 MARKED = " OR ".join(f"contains({c}, '{w}')" for w in ("LOCKED", "non-negotiable", "NON-NEGOTIABLE") for c in ("title", "body")) + " OR contains(title, 'locked')"
@@ -328,13 +333,13 @@ FROM l LEFT JOIN memories m ON to_kind = 'memory' AND m.id = to_id LEFT JOIN e O
     "related_by_name": f"SELECT * EXCLUDE (from_id) FROM ({walk}) WHERE from_id = (SELECT id FROM memories WHERE name = 'stistbrurk-calendar-supersession-8')",
     "wiki_targets": f"""SELECT DISTINCT id, {slug('x')} AS target FROM (SELECT id, unnest(regexp_extract_all(body, '\\[\\[([^\\]|]+)[^\\]]*\\]\\]', 1)) AS x FROM memories)""",
     "wiki_links_resolved": f"""SELECT DISTINCT 'memory' AS from_kind, t.id AS from_id, 'memory' AS to_kind, m.id AS to_id, 'wiki' AS kind
-FROM (SELECT id, {slug('x')} AS target FROM (SELECT id, unnest(regexp_extract_all(body, '\\[\\[([^\\]|]+)[^\\]]*\\]\\]', 1)) AS x FROM memories)) t JOIN memories m ON m.name = t.target""",
+FROM (SELECT id, {slug('x')} AS target FROM (SELECT id, unnest(regexp_extract_all(coalesce(body, '') || ' [[' || replace(name, '-', ' ') || '|see]] [[' || upper(title) || ']]', '\\[\\[([^\\]|]+)[^\\]]*\\]\\]', 1)) AS x FROM memories)) t JOIN memories m ON m.name = t.target""",
     "locks_active": f"WITH {LOCK_ONE} SELECT * FROM lj WHERE status = 'active'",
     "locks_all_with_supersedes": f"WITH {LOCK_ONE} SELECT * FROM lj",
     "locks_render_order": f"WITH {LOCK_ONE} SELECT CASE WHEN scope = 'os' THEN 0 WHEN scope = 'company' THEN 1 WHEN scope LIKE 'product:%' THEN 2 ELSE 3 END AS scope_group, scope, locked_on, slug, supersedes_slug FROM lj WHERE status = 'active'",
     "locks_restatus": f"WITH {LOCK_ONE} SELECT DISTINCT id, slug, CASE WHEN id IN (SELECT supersedes FROM l WHERE supersedes IS NOT NULL) THEN 'superseded' ELSE 'active' END AS status FROM l",
     "prune_report": f"""WITH {ACT},
-{ROWS} SELECT CASE WHEN is_lock = 1 THEN 'lock-exempt' ELSE 'cooling-candidate' END AS section, id, title, scope, owner, source_path, activation FROM mrows LEFT JOIN act ON memory_id = id WHERE status <> 'archived' AND (is_lock = 1 OR NOT {HOT})""",
+{ROWS} SELECT CASE WHEN is_lock = 1 THEN 'lock-exempt' ELSE 'cooling-candidate' END AS section, id, title, scope, owner, source_path, activation, {marked('title', 'body')} FROM mrows LEFT JOIN act ON memory_id = id WHERE status <> 'archived' AND (is_lock = 1 OR NOT {HOT})""",
     "consolidation_candidates": f"""WITH {PROMO},
 {ACT.removeprefix(RECALLS + ',')},
 b AS (SELECT m.*, coalesce(higher, 0) AS higher, suggested_scope AS ss, activation, last_recall FROM memories m LEFT JOIN said USING (id) LEFT JOIN act ON act.memory_id = m.id LEFT JOIN last_ ON last_.memory_id = m.id),
@@ -347,8 +352,8 @@ SELECT kind, id, title, name, owner, scope AS current_scope, suggested_scope, re
     "last_recall": f"WITH {PROMO} SELECT * FROM last_",
     "promotion_tiers": f"""SELECT from_scope, to_scope, who, who = 'operator' OR (who = 'curator' AND ((from_scope = 'company' AND starts_with(to_scope, 'product:')) OR (starts_with(from_scope, 'product:') AND to_scope = 'company'))) AS allowed,
 {TIER.format('from_scope', 'to_scope', 'false')} AS tier FROM (SELECT DISTINCT scope AS from_scope FROM memories), (SELECT DISTINCT scope AS to_scope FROM locks), (VALUES ('operator'), ('curator'), ('builder')) AS w(who)""",
-    "context_locks": f"WITH {ACT},\n{ROWS},\n{scores(TASK)},\n{locks_section(15, task_terms(TASK), 'allsc')} SELECT {LINE.replace('body, ', '')} FROM sl",
-    "context_hot": f"WITH {ACT},\n{ROWS},\n{scores(TASK)},\n{hot_section(15, task_terms(TASK), 'rm_v')} SELECT {LINE.replace('body, ', '')} FROM sh",
+    "context_locks": f"WITH {ACT},\n{ROWS},\n{scores(TASK)},\n{locks_section(15, task_terms(TASK), 'allsc')} SELECT {LINE} FROM sl",
+    "context_hot": f"WITH {ACT},\n{ROWS},\n{scores(TASK)},\n{hot_section(15, task_terms(TASK), 'rm_v')} SELECT {LINE} FROM sh",
     "context_precedent": f"WITH {precedent_section(15, task_terms(TASK))} SELECT {LINE.replace(', activation', '')} FROM sp",
     "context_pack": context(TASK, 15),
     "context_signal_pack": context(SIGNAL_TASK, 40),
@@ -360,7 +365,7 @@ SELECT kind, id, title, name, owner, scope AS current_scope, suggested_scope, re
 {hot_section(8)},
 {future_section(5, 30, NOW[:10])},
 {EP_ONE},
-sy AS (SELECT 'yesterday' AS section, summary AS title, coalesce(body, '') AS body, coalesce(source_path, '') AS source_path, scope, actor AS owner, 'yesterday' AS reason, CAST(NULL AS DOUBLE) AS activation,
+sy AS (SELECT 'yesterday' AS section, summary AS title, coalesce(body, '') AS body, coalesce(source_path, '') AS source_path, scope, actor AS owner, 'yesterday' AS reason, CAST(NULL AS DOUBLE) AS activation, {marked('coalesce(body, chr(32))')},
   row_number() OVER (ORDER BY u DESC, id) AS place FROM ep WHERE u >= {us(DAY)} AND u < {us(DAY, 1)}),
 n AS (SELECT *, row_number() OVER (ORDER BY sec, place) AS line FROM (SELECT 0 AS sec, * FROM sl UNION ALL SELECT 1, * FROM sh UNION ALL SELECT 2, * FROM sf UNION ALL SELECT 3, * FROM sy)) SELECT line, {LINE} FROM n WHERE line <= 20""",
     "lexical_relevance": f"WITH {ROWS} SELECT id, round({lexical(task_terms(SIGNAL_TASK))}, 6) AS lexical FROM mrows",
@@ -372,11 +377,16 @@ SELECT id, name, CASE WHEN ch THEN nt ELSE title END AS title, CASE WHEN ch THEN
 UNION ALL SELECT id, name, title, 'hot', '2026-06-10T00:00:00+00:00', '2026-06-10T00:00:00+00:00' FROM a""",
     "archive_absent": f"""WITH {OLD_NEW} SELECT id, CASE WHEN source_path IN (SELECT source_path FROM new WHERE source_path IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM new n WHERE n.source_path = old.source_path AND n.name = old.name)
 THEN 'archived' ELSE status END AS status FROM old""",
-    "episodes_dedup": f"""WITH n AS (SELECT DISTINCT * FROM episodes), o AS (SELECT * FROM n WHERE length(summary) % 2 = 0),
+    "episodes_dedup": f"""WITH o AS (SELECT DISTINCT * FROM episodes), n AS (SELECT * REPLACE (CASE WHEN length(summary) % 2 = 0 THEN summary || ' (again)' ELSE summary END AS summary) FROM o),
 f AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(EP_KEYS)} ORDER BY id) AS rn, {' OR '.join(f'{k} IS NULL' for k in EP_KEYS)} AS loose FROM n)
-SELECT id, ts, actor, kind FROM f WHERE loose OR (rn = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE {' AND '.join(f'o.{k} = f.{k}' for k in EP_KEYS)}))""",
+SELECT id, ts, actor, kind, summary FROM f WHERE loose OR (rn = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE {' AND '.join(f'o.{k} = f.{k}' for k in EP_KEYS)}))""",
     "seed_recalls": "SELECT id AS memory_id, 'system:ingest' AS queried_by, scope AS query_scope, updated_at AS ts FROM memories WHERE id NOT IN (SELECT memory_id FROM recall_events WHERE memory_id IS NOT NULL)",
-    "promote_snapshot": "SELECT id, CASE WHEN id = 8 THEN 'os' ELSE scope END AS scope FROM memories",
+    "promote_snapshot": "SELECT id, CASE WHEN id = 8 THEN 'os' ELSE scope END AS scope, CASE WHEN id = 8 THEN '2026-06-10T00:00:00+00:00' ELSE updated_at END AS updated_at FROM memories",
+    "promote_audit": """SELECT '2026-06-10T00:00:00+00:00' AS ts, 'operator' AS actor, 'promotion' AS kind, scope || ' -> os: ' || name AS summary,
+'memory_id=' || id || ' owner=' || coalesce(owner, 'None') || ' title=' || title || ' from_scope=' || scope || ' to_scope=os' AS body, 'os' AS scope, source_path FROM memories WHERE id = 8""",
+    "recalls_per_scope": f"WITH {PROMO} SELECT id, query_scope, n FROM j",
+    "consolidation_first": "SELECT kind, id, row_number() OVER (ORDER BY CASE kind WHEN 'promotion-candidate' THEN 0 WHEN 'cooling-candidate' THEN 1 ELSE 2 END, higher DESC, title, id) AS place FROM (@consolidation) QUALIFY place <= 40",
+    "prune_first": "SELECT section, id, row_number() OVER (ORDER BY title, id) AS place FROM (@prune) QUALIFY place <= 40",
     "slugify_titles": f"SELECT id, {slug('title')} AS slug FROM memories",
     "title_tokens": f"SELECT token, count(DISTINCT id) AS n_memories FROM (SELECT id, unnest({index_tokens('title')}) AS token FROM memories) GROUP BY token",
     "content_hashes": f"SELECT id, {HASH} AS hash FROM memories",
@@ -387,14 +397,16 @@ SELECT key, ordinal, title, length(body) AS n_body, CAST({MARKED} AS INTEGER) AS
     "frontmatter_notes": f"""WITH t AS (SELECT doc_id AS key, {UNIX} AS x FROM documents), g AS (SELECT key, regexp_extract(x, '(?s)\\A---\\n(.*?)\\n---\\n*(.*)\\z', 1) AS head, regexp_extract(x, '(?s)\\A---\\n(.*?)\\n---\\n*(.*)\\z', 2) AS body FROM t WHERE regexp_matches(x, '(?s)\\A---\\n(.*?)\\n---\\n*(.*)\\z')),
 f AS (SELECT key, nullif(trim(regexp_extract(head, '(?m)^name:[ \\t]*(.*)$', 1), ' '), '') AS name, coalesce(nullif(trim(regexp_extract(head, '(?m)^title:[ \\t]*(.*)$', 1), ' '), ''), nullif(trim(regexp_extract(head, '(?m)^description:[ \\t]*(.*)$', 1), ' '), ''), 'untitled') AS title, body FROM g)
 SELECT key, coalesce(name, {slug('title')}) AS name, title, length(body) AS n_body FROM f""",
-    "episode_lines": f"SELECT key, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (SELECT doc_id AS key, unnest(list_slice({LINES}, 1, 50)) AS line FROM documents WHERE text IS NOT NULL) GROUP BY key",
-    "team_log_lines": rf"""WITH l AS (SELECT unnest({LINES}) AS line FROM documents WHERE source = 'team-log' AND text IS NOT NULL),
-m AS (SELECT regexp_extract(line, '^\[([^\]]*)\]', 1) AS who, trim(split_part(trim(regexp_replace(line, '^\[[^\]]*\]', ''), ' '), '|', 1), ' ') AS stamp FROM l)
-SELECT CASE WHEN who = '' THEN 'system' ELSE 'agent:' || replace({low('who')}, '-', '_') END AS actor, count(*) AS n_lines,
-count(CASE WHEN regexp_full_match(stamp, '\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}( [AP]M)?') THEN coalesce(try_strptime(stamp, '%Y-%m-%d %I:%M %p'), try_strptime(stamp, '%Y-%m-%d %H:%M')) END) AS n_dated FROM m GROUP BY actor""",
+    "episode_lines": f"SELECT key, k - 1 AS ordinal, l[k] AS line FROM (SELECT key, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id AS key, list_slice({LINES}, 1, 50) AS l FROM documents WHERE text IS NOT NULL))",
+    "team_log_lines": rf"""WITH l AS (SELECT key, k - 1 AS ordinal, l[k] AS line FROM (SELECT key, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id AS key, {LINES} AS l FROM documents WHERE source = 'team-log' AND text IS NOT NULL))),
+m AS (SELECT *, regexp_extract(line, '^\[([^\]]*)\]', 1) AS who, trim(split_part(trim(regexp_replace(line, '^\[[^\]]*\]', ''), ' '), '|', 1), ' ') AS stamp FROM l)
+SELECT key, ordinal, CASE WHEN who = '' THEN 'system' ELSE 'agent:' || replace({low('who')}, '-', '_') END AS actor,
+strftime(CASE WHEN regexp_full_match(stamp, '\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}( [AP]M)?') THEN coalesce(try_strptime(stamp, '%Y-%m-%d %I:%M %p'), try_strptime(stamp, '%Y-%m-%d %H:%M')) END, '%Y-%m-%d %H:%M') AS at, substr(line, 1, 240) AS line FROM m""",
     "dated_notes": f"SELECT * FROM (SELECT doc_id AS key, {header('DATE:|- Date:')} AS day, {header('FROM:|- Tool:')} AS sender FROM documents WHERE text IS NOT NULL) WHERE day IS NOT NULL OR sender IS NOT NULL",
     "scope_classification": f"""SELECT id, CASE WHEN starts_with({slug('lower(name)')}, 'feedback-') THEN 'company' {' '.join(f"WHEN {product(p)} THEN 'product:{p}'" for p in ('notebook', 'console', 'voice'))}
 WHEN {' OR '.join(f"contains({low('body')}, '{w}')" for w in ('company', 'organization', 'team'))} THEN 'company' ELSE 'os' END AS guess FROM memories""",
     "owner_of_path": r"""SELECT id, CASE WHEN regexp_extract(lower(coalesce(source_path, '')), '(?:^|/)memory/([^/.]+)/', 1) <> '' THEN 'agent:' || replace(regexp_extract(lower(source_path), '(?:^|/)memory/([^/.]+)/', 1), '-', '_')
 """ + " ".join(f"WHEN list_contains({ascii_tokens('source_path')}, '{h}') THEN 'agent:{h}'" for h in ("planner", "engineer", "archivist")) + " ELSE 'shared' END AS guess FROM memories",
 }
+ORACLES["consolidation_first"] = ORACLES["consolidation_first"].replace("@consolidation", ORACLES["consolidation_candidates"])
+ORACLES["prune_first"] = ORACLES["prune_first"].replace("@prune", ORACLES["prune_report"])

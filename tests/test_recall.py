@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.config import EngineConfig
+from larkspur.functions.relevance import floor_relevance, passes_floor, prepared
 from larkspur.functions.text import agent_name, search_terms, slug, task_terms
 from larkspur.operators import mutate, pack, report
 from larkspur.operators import search as se
@@ -125,6 +126,16 @@ def test_packs(spark, tmp_path):
     assert {r.section for r in pack.prune_report(t["memories"], t["recall_events"], now).collect()} == {"lock-exempt"}
 
 
+def test_the_floor_test_equals_the_floor_value(spark):
+    bodies = ["", "test", "Tests for review", "log-in add", "review the launch", "pytest coverage", "public opening", "ADD review ship", "xtest addx"]
+    rows = spark.createDataFrame([(f"n{i}-{a}", a, b) for i, a in enumerate(["", "Testing", "review", None]) for b in bodies], "name string, title string, body string")
+    for task in ("test review", "add review launch ship", "log-in folder", "test", "launch alpha", "alpha beta gamma", "add"):
+        terms = task_terms(task)
+        for floor in (0.3, 0.5, 0.66, 0.9):
+            got = prepared(rows).selectExpr(f"{floor_relevance(terms)} >= {floor}D AS a", f"{passes_floor(terms, floor)} AS b").collect()
+            assert all(r.a == r.b for r in got), (task, floor)
+
+
 def test_consolidation(spark):
     m = spark.createDataFrame([mem(1, "p", "", scope="product:n"), mem(2, "l", "", lock=1), mem(3, "z", "", status="archived")], MEMORY)
     rows = [(i, 1, "a", s, "2026-01-09T00:00:00Z") for i, s in enumerate(["os", "company", "company", "product:n"])] + [(9, 3, "a", "os", None), (10, 3, "a", "os", "x")]
