@@ -1,7 +1,9 @@
 """Command line: one verb per engine operation, text or ``--json``.
 
 Settings come from options, else from LARKSPUR_ROOT, LARKSPUR_STORE, LARKSPUR_PROTECTED_ROOT,
-LARKSPUR_AGENTS, LARKSPUR_SOURCES, LARKSPUR_EXTRA_DIR and LARKSPUR_CURATOR_DIR.
+LARKSPUR_EXTRA_DIR, LARKSPUR_CURATOR_DIR or LARKSPUR_CURATOR_HOME, and those that
+``EngineConfig.from_environment`` reads (sources, agents, products, company words, tunables). A store
+remembers the tunables of its last ingest.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pathlib import Path
 import yaml
 
 from larkspur.config import EngineConfig
+from larkspur.functions.text import single_line, slug
 from larkspur.sources.guard import Guard
 
 
@@ -38,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     day = {"help": "YYYY-MM-DD"}
     verb("ingest", ("--source", {}), ("--reset", {"action": "store_true"}), ("--force", {"action": "store_true"}))
     verb("search", ("query", {}), ("--scope", {"default": "os"}), ("--as", {"dest": "reader", "default": "agent:builder"}), ("--limit", {"type": int, "default": 10}), ("--include-archived", {"action": "store_true"}))
-    verb("ask", ("agent", {}), ("query", {}), ("--as", {"dest": "reader", "default": "agent:curator"}), ("--scope", {"default": "company"}), ("--limit", {"type": int, "default": 10}))
+    verb("ask", ("agent", {}), ("query", {}), ("--as", {"dest": "reader", "default": "agent:curator"}), ("--scope", {"default": "company"}), ("--limit", {"type": int, "default": 10}), ("--include-archived", {"action": "store_true"}))
     verb("timeline", ("--from", {"dest": "start", **day}), ("--to", {"dest": "end", **day}))
     verb("today")
     verb("yesterday")
@@ -56,7 +59,7 @@ def parser() -> argparse.ArgumentParser:
     verb("guard-check", ("path", {}))
     lock = verbs.add_parser("lock").add_subparsers(dest="lock_verb", required=True)
     verb("add", ("slug", {}), ("--title", {"required": True}), ("--scope", {"required": True}), ("--body", {"required": True}), ("--locked-on", {"default": None}), ("--supersedes", {}), of=lock)
-    verb("import", ("file", {}), of=lock)
+    verb("import", ("file", {}), ("--dry-run", {"action": "store_true"}), of=lock)
     verb("list", ("--scope", {}), ("--all", {"action": "store_true"}), of=lock)
     verb("show", ("slug", {}), of=lock)
     verb("render", ("--into", {}), ("--check", {"action": "store_true"}), of=lock)
@@ -69,7 +72,7 @@ def shown(value, as_json: bool) -> str:
     if as_json:
         return json.dumps(value, ensure_ascii=False, indent=2, default=str)
     rows = value if isinstance(value, list) else [value]
-    return "\n".join("\t".join(f"{k}={str(v)[:260]}" for k, v in r.items()) if isinstance(r, dict) else str(r) for r in rows)
+    return "\n".join("\t".join(f"{k}={single_line(str(v))}" for k, v in r.items()) if isinstance(r, dict) else str(r) for r in rows)
 
 
 def run(args: argparse.Namespace, spark=None) -> tuple[int, object]:
@@ -84,24 +87,33 @@ def run(args: argparse.Namespace, spark=None) -> tuple[int, object]:
     from larkspur.session import build_session
 
     now = args.now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S+00:00")
-    names = lambda key: tuple(x.strip().removeprefix("agent:").lower().replace("-", "_") for x in os.environ.get(key, "").split(",") if x.strip())
-    config = EngineConfig(agent_hints=tuple(sorted(set(names("LARKSPUR_AGENTS")))), sources=tuple(x.strip() for x in os.environ.get("LARKSPUR_SOURCES", "").split(",") if x.strip()))
+    config = EngineConfig.from_environment(os.environ)
     default_store = Path(args.root, "system", "larkspur")
     store = args.store or default_store
-    e = Engine(spark or build_session("larkspur", os.environ.get("LARKSPUR_MASTER", "local[*]")), args.root, store, guard, now, config, os.environ.get("LARKSPUR_EXTRA_DIR"), os.environ.get("LARKSPUR_CURATOR_DIR"))
+    curator = os.environ.get("LARKSPUR_CURATOR_DIR") or curator_folder(args.root, os.environ.get("LARKSPUR_CURATOR_HOME"))
+    reads = args.verb in ("timeline", "today", "yesterday", "upcoming", "related", "brief", "context", "consolidate", "prune-report", "stats") or (args.verb == "lock" and args.lock_verb in ("list", "show", "render"))
+    e = Engine(spark or build_session("larkspur", os.environ.get("LARKSPUR_MASTER", "local[*]")), args.root, store, guard, now, config, os.environ.get("LARKSPUR_EXTRA_DIR"), curator, reads)
+    if args.verb != "ingest":
+        set_here = {n for n in config.STORED if os.environ.get(f"LARKSPUR_{n.upper()}")}
+        e.config = config.with_settings({k: v for k, v in e.store.manifest.get("settings", {}).items() if k not in set_here})
     today = now[:10]
     before = str(date.fromisoformat(today) - timedelta(days=1))
     v = args.verb
     if v == "ingest":
         if args.reset and Path(store) == default_store and not args.force:
             raise SystemExit("resetting the default store needs --force")
-        return 0, e.ingest(args.source, args.reset)
+        done = e.ingest(args.source, args.reset)
+        for path in done["skipped"]:
+            print(f"skipped {path}: it can't be read", file=sys.stderr)
+        if done.get("reset", {}).get("promotion_audits_dropped"):
+            print(f"the reset dropped {done['reset']['promotion_audits_dropped']} audits of promotions", file=sys.stderr)
+        return 0, done
     if v == "search":
         return 0, e.search(args.query, args.scope, args.reader, args.limit, args.include_archived)
     if v == "lock":
         return _lock(args, e, today)
     simple = {
-        "ask": lambda: e.ask(args.agent, args.query, args.reader, args.scope, args.limit),
+        "ask": lambda: e.ask(args.agent, args.query, args.reader, args.scope, args.limit, args.include_archived),
         "timeline": lambda: e.timeline(args.start, args.end),
         "today": lambda: e.timeline(today, today),
         "yesterday": lambda: e.timeline(before, before),
@@ -120,12 +132,24 @@ def run(args: argparse.Namespace, spark=None) -> tuple[int, object]:
     return 0, simple[v]()
 
 
+def curator_folder(root: str, home: str | None) -> str | None:
+    """The curator's notes on a workspace: a folder below ``home`` named after the workspace's path."""
+    return None if not home else str(Path(home, "-" + slug("-".join(x for x in Path(root).parts if x != "/")), "memory"))
+
+
+def _put(at: Path, text: str) -> None:
+    """Writes a file through a temporary one that then takes its place."""
+    tmp = at.with_suffix(at.suffix + ".new")
+    tmp.write_text(text)
+    tmp.replace(at)
+
+
 def _report(rows: list, path: str | None, now: str) -> list:
     if path:
         cell = lambda x: "-" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
         heads = ["kind", "id", "title", "current_scope", "suggested_scope", "owner", "required_tier", "higher", "activation", "last_recall"]
         lines = ["# Consolidation report", "", f"DATE: {now}", "", "| " + " | ".join(heads) + " |", "|" + "---|" * len(heads)]
-        Path(path).write_text("\n".join(lines + ["| " + " | ".join(cell(r[h]) for h in heads) + " |" for r in rows]) + "\n")
+        _put(Path(path), "\n".join(lines + ["| " + " | ".join(cell(r[h]) for h in heads) + " |" for r in rows]) + "\n")
     return rows
 
 
@@ -137,8 +161,9 @@ def _lock(args, e, today: str) -> tuple[int, object]:
             new = [{"slug": args.slug, "title": args.title, "scope": args.scope, "body": args.body, "locked_on": args.locked_on or today, "supersedes": args.supersedes or ""}]
         else:
             new = yaml.safe_load(e.guard.check(args.file).read_text()) or []
-        said = [{"slug": s, "verdict": v, "reason": r} for s, v, r in e.add_locks(new)]
-        return int(any(x["verdict"] == "rejected" for x in said)), said
+        said = e.add_locks(new, getattr(args, "dry_run", False))
+        counts = lk.verdict_counts(said)
+        return int(counts["rejected"] > 0), counts | {"verdicts": [{"slug": s, "verdict": v, "reason": r} for s, v, r in said]}
     if args.lock_verb == "list":
         return 0, e.locks(args.scope, args.all)
     if args.lock_verb == "show":
@@ -151,10 +176,8 @@ def _lock(args, e, today: str) -> tuple[int, object]:
     old = at.read_text()
     new = lk.into_section(old, text)
     if args.check:
-        return int(old != new), {"sha256": digest, "changed": old != new}
-    tmp = at.with_suffix(at.suffix + ".new")
-    tmp.write_text(new)
-    tmp.replace(at)
+        return int(old != new), {"sha256": digest, "changed": old != new, "diff": lk.section_diff(str(at), old, new)}
+    _put(at, new)
     return 0, {"sha256": digest, "changed": old != new}
 
 

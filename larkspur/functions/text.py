@@ -74,8 +74,8 @@ def wiki_targets(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(inner, slugify)))
 
 
-def single_line(c: Column, most: int = 260) -> Column:
-    return F.substring(F.regexp_replace(F.trim(c), r"\s+", " "), 1, most)
+def single_line(text: str, most: int = 260) -> str:
+    return " ".join(text.split())[:most]
 
 
 def marks(c: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 import hashlib
 import re
+from collections import Counter
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -120,3 +122,13 @@ def into_section(document: str, content: str) -> str:
         raise ValueError("the document needs one begin mark and, after it, one end mark")
     head, _, rest = document.partition(BEGIN)
     return f"{head}{BEGIN}\n{content.strip()}\n{END}{rest.partition(END)[2]}"
+
+
+def section_diff(path: str, old: str, new: str) -> str:
+    """A unified diff of two versions of a document, empty if they are the same."""
+    return "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"{path} (as it is)", f"{path} (as rendered)"))
+
+
+def verdict_counts(verdicts: list[tuple[str, str, str]]) -> dict[str, int]:
+    said = Counter(v for _, v, _ in verdicts)
+    return {k: said[k] for k in ("accepted", "skipped", "rejected")}

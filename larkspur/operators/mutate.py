@@ -144,3 +144,14 @@ def kept_on_reset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """What survives a reset, ids included: due items, misses and the access list; the rest is empty."""
     keep = {"future_items": None, "node_acl": None, "episodes": "kind = 'miss'"}
     return {n: (df if keep[n] is None else df.where(keep[n])) if n in keep else df.limit(0) for n, df in tables.items()}
+
+
+def reset_report(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """What a reset keeps, and how many audits of promotions it drops: these are nowhere else."""
+    e = tables["episodes"]
+    return {
+        "future_items_kept": tables["future_items"].count(),
+        "access_rows_kept": tables["node_acl"].count(),
+        "misses_kept": e.where("kind = 'miss'").count(),
+        "promotion_audits_dropped": e.where("kind = 'promotion'").select("id").distinct().count(),
+    }

@@ -5,6 +5,8 @@ Inputs have ``key`` and ``text``. Null texts give no rows. Windows line ends cou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +38,27 @@ def sections(docs: DataFrame) -> DataFrame:
     return out.withColumn("is_lock", lock.cast("int"))
 
 
-def frontmatter(docs: DataFrame) -> DataFrame:
-    """``key, name, title, body`` of texts that begin with a ``---`` block."""
-    text = _unix(F.col("text"))
-    block = r"(?s)\A---\n(.*?)\n---\n*(.*)\z"
-    got = docs.where(text.rlike(block)).select("key", F.regexp_extract(text, block, 1).alias("head"), F.regexp_extract(text, block, 2).alias("body"))
+BLOCK = r"(?s)\A---\n(.*?)\n---\n*(.*)\z"
+
+
+def front(text: Column) -> tuple[Column, Column, Callable[[str], Column]]:
+    """Whether a text begins with a ``---`` block, the text without it, and a field of the block by its
+    name (without quotes; null where it is missing or empty)."""
+    text = _unix(text)
+    has = text.rlike(BLOCK)
+    head = F.regexp_extract(text, BLOCK, 1)
 
     def field(name: str) -> Column:
-        v = F.trim(F.regexp_extract("head", rf"(?m)^{name}:[ \t]*(.*)$", 1))
-        return F.when(v != "", v)
+        return F.nullif(F.trim(F.regexp_replace(F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1)), "^[\"']|[\"']$", "")), F.lit(""))
 
+    return has, F.when(has, F.regexp_extract(text, BLOCK, 2)).otherwise(text), field
+
+
+def frontmatter(docs: DataFrame) -> DataFrame:
+    """``key, name, title, body`` of texts that begin with a ``---`` block."""
+    has, body, field = front(F.col("text"))
     title = F.coalesce(field("title"), field("description"), F.lit("untitled"))
-    return got.select("key", F.coalesce(field("name"), slugify(title)).alias("name"), title.alias("title"), "body")
+    return docs.where(has).select("key", F.coalesce(field("name"), slugify(title)).alias("name"), title.alias("title"), body.alias("body"))
 
 
 def first_lines(docs: DataFrame, most: int = 50) -> DataFrame:

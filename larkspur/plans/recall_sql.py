@@ -395,7 +395,7 @@ q AS (SELECT key, k - 1 AS ordinal, ps[k] AS part FROM (SELECT *, unnest(range(2
 s AS (SELECT key, ordinal, trim(split_part(part, chr(10), 1), ' ') AS title, regexp_replace(substr(part, length(split_part(part, chr(10), 1)) + 2), '^\\s+|\\s+$', '', 'g') AS body FROM q)
 SELECT key, ordinal, title, length(body) AS n_body, CAST({MARKED} AS INTEGER) AS is_lock FROM s WHERE body <> ''""",
     "frontmatter_notes": f"""WITH t AS (SELECT doc_id AS key, {UNIX} AS x FROM documents), g AS (SELECT key, regexp_extract(x, '(?s)\\A---\\n(.*?)\\n---\\n*(.*)\\z', 1) AS head, regexp_extract(x, '(?s)\\A---\\n(.*?)\\n---\\n*(.*)\\z', 2) AS body FROM t WHERE regexp_matches(x, '(?s)\\A---\\n(.*?)\\n---\\n*(.*)\\z')),
-f AS (SELECT key, nullif(trim(regexp_extract(head, '(?m)^name:[ \\t]*(.*)$', 1), ' '), '') AS name, coalesce(nullif(trim(regexp_extract(head, '(?m)^title:[ \\t]*(.*)$', 1), ' '), ''), nullif(trim(regexp_extract(head, '(?m)^description:[ \\t]*(.*)$', 1), ' '), ''), 'untitled') AS title, body FROM g)
+f AS (SELECT key, nullif(trim(regexp_replace(trim(regexp_extract(head, '(?m)^name:[ \\t]*(.*)$', 1), ' '), '^[\"'']|[\"'']$', '', 'g'), ' '), '') AS name, coalesce(nullif(trim(regexp_replace(trim(regexp_extract(head, '(?m)^title:[ \\t]*(.*)$', 1), ' '), '^[\"'']|[\"'']$', '', 'g'), ' '), ''), nullif(trim(regexp_replace(trim(regexp_extract(head, '(?m)^description:[ \\t]*(.*)$', 1), ' '), '^[\"'']|[\"'']$', '', 'g'), ' '), ''), 'untitled') AS title, body FROM g)
 SELECT key, coalesce(name, {slug('title')}) AS name, title, length(body) AS n_body FROM f""",
     "episode_lines": f"SELECT key, k - 1 AS ordinal, l[k] AS line FROM (SELECT key, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id AS key, list_slice({LINES}, 1, 50) AS l FROM documents WHERE text IS NOT NULL))",
     "team_log_lines": rf"""WITH l AS (SELECT key, k - 1 AS ordinal, l[k] AS line FROM (SELECT key, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id AS key, {LINES} AS l FROM documents WHERE source = 'team-log' AND text IS NOT NULL))),

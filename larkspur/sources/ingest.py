@@ -66,11 +66,7 @@ def section_docs(files: DataFrame, config: EngineConfig) -> DataFrame:
 
 def note_docs(files: DataFrame, config: EngineConfig, agent: bool) -> DataFrame:
     """A memory per file; its head may give name and title, else its file name does."""
-    text = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
-    block = r"(?s)\A---\n(.*?)\n---\n*(.*)\z"
-    head = F.regexp_extract(text, block, 1)
-    field = lambda n: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{n}:[ \t]*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
-    body = F.when(text.rlike(block), F.regexp_extract(text, block, 2)).otherwise(text)
+    _, body, field = parse.front(F.col("text"))
     rows = files.select("key", "at", F.trim(body).alias("body"), field("name").alias("n"), field("title").alias("t"), field("description").alias("ds"), stem(F.col("key")).alias("stem"))
     rows = rows.select("key", "at", "body", "stem", F.coalesce("n", slugify(F.col("stem"))).alias("name"), F.coalesce("t", "ds", F.replace("stem", F.lit("_"), F.lit(" "))).alias("title"), F.lit(0).alias("is_lock"), F.lit(0).alias("ordinal"))
     scope = parse.scope_of(F.col("stem"), F.col("body"), F.col("title"), config)
@@ -150,3 +146,25 @@ def lock_table(spark: SparkSession, entries: list[dict]) -> DataFrame:
     gone = {e.get("supersedes") for e in entries}
     rows = [(ids[e["slug"]], e["slug"], e["title"], e["body"], e["scope"], e["locked_on"], "superseded" if e["slug"] in gone else "active", ids.get(e.get("supersedes") or "")) for e in entries]
     return spark.createDataFrame(rows, "id bigint, slug string, title string, body string, scope string, locked_on string, status string, supersedes bigint")
+
+
+def drifted(stored: DataFrame, read: DataFrame) -> DataFrame:
+    """``slug``: stored locks that the file now words otherwise, though a lock is written once."""
+    parts = ("title", "body", "scope", "locked_on")
+    now = read.select(F.col("slug").alias("_slug"), *[F.col(c).alias(f"_{c}") for c in parts])
+    other = reduce(lambda a, b: a | b, [~F.coalesce(F.trim(c), F.lit("")).eqNullSafe(F.coalesce(F.trim(f"_{c}"), F.lit(""))) for c in parts])
+    return stored.join(now, F.col("slug") == F.col("_slug")).where(other).select("slug").distinct()
+
+
+def readable_files(files: list[tuple[Source, Path]]) -> tuple[list[tuple[Source, Path]], list[str]]:
+    """The files that can be opened, and the paths of those that can't; the lock store must be readable."""
+    good, skipped = [], []
+    for s, p in files:
+        try:
+            with open(p, "rb"):
+                good.append((s, p))
+        except OSError:
+            if s.kind == "locks":
+                raise
+            skipped.append(str(p))
+    return good, skipped
