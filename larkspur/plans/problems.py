@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.timestamps import normalised_tables, restamp_tables
+from larkspur.functions.timestamps import ABBREVIATIONS, normalised_tables, restamp_tables
 from larkspur.functions.zones import database_version
 from larkspur.operators.hierarchy import descendant_rows, hierarchy
 from larkspur.operators.orphans import orphan_counts, orphan_references
@@ -92,6 +92,12 @@ UNION SELECT 'links', concat_ws(':', from_kind, from_id, to_kind, to_id, kind),
 WHERE to_id IS NOT NULL AND ((to_kind = 'memory' AND to_id NOT IN (SELECT id FROM memories)) OR (to_kind = 'episode' AND to_id NOT IN (SELECT id FROM episodes))
                              OR (to_kind = 'lock' AND to_id NOT IN (SELECT id FROM locks)))"""
 
+_LOCAL = ["%Y-%m-%d", "%Y%m%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d %I:%M %p", "%Y%m%dT%H%M%SZ", "%Y/%m/%d", "%Y/%m/%d %H:%M:%S", "%B %d, %Y", "%B %d, %Y %H:%M:%S", "%d %b %Y", "%d %b %Y %H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S UTC"]
+_OFFSET = ["%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%d %H:%M:%S%z", "%Y-%m-%dT%H:%M:%S,%g %z", "%Y-%m-%dT%H:%M:%S.%g%z", "%Y-%m-%d %H:%M %z", "%Y-%m-%d %H:%M:%S %z", "%Y-%m-%dT%H:%M:%S %z"]
+_STAMP = "upper(trim(locked_on))"
+for _name, _minutes in ABBREVIATIONS.items():
+    _STAMP = f"regexp_replace({_STAMP}, ' {_name.upper()}$', ' {'-' if _minutes < 0 else '+'}{abs(_minutes) // 60:02}{abs(_minutes) % 60:02}')"
+
 ORACLES: dict[str, str] = {
     "p2_found": _TREE + _ANC + _RING + """
 SELECT id, 'tree' AS shape, root_id, depth, slug_path, (SELECT count(*) FROM anc WHERE anc.a = t.id) AS n_desc FROM t
@@ -103,4 +109,9 @@ UNION ALL SELECT anc.id, 'tail', min(r.m), -1, '', -1 FROM anc JOIN ringmin r ON
     "p4_durations": _SESSIONS + """ SELECT queried_by, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events,
 CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms, max(end_ms - start_ms) AS longest_ms FROM s GROUP BY queried_by""",
     "p5_found": _ORPHANS,
+    # lock stamps of the written forms, all in UTC unless they name an offset
+    "p5_counts": f"""WITH o AS ({_ORPHANS}),
+t AS (SELECT 'recall_events' AS tbl, CAST(id AS VARCHAR) AS ref_key, CASE WHEN regexp_full_match(ts, '\\d{{4}}-\\d{{2}}-\\d{{2}}T.*') THEN TRY_CAST(ts AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END AS stamp FROM recall_events
+      UNION SELECT 'locks', CAST(id AS VARCHAR), coalesce(try_strptime({_STAMP}, {_LOCAL}), try_strptime({_STAMP}, {_OFFSET}) AT TIME ZONE 'UTC') FROM locks)
+SELECT tbl, strftime(stamp, '%Y-%m') AS period, count(*) AS n_orphans FROM o LEFT JOIN t USING (tbl, ref_key) GROUP BY ALL""",
 }
