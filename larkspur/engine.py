@@ -96,7 +96,7 @@ class Engine:
         change.replace("links", t["links"].where("kind <> 'wiki'").unionByName(ep.wiki_links(memories)))
         out = {"files": len(files), "skipped": skipped, "memories": docs.count(), "episodes": new.count(), "locks": len(entries)}
         if reset:
-            out["reset"] = mutate.reset_report(before)
+            out["reset"] = mutate.reset_counts(before).first().asDict()
         out["version"] = change.commit(self.now, self.config.settings())
         docs.unpersist()
         self.store.compact()

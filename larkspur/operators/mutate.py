@@ -146,12 +146,12 @@ def kept_on_reset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {n: (df if keep[n] is None else df.where(keep[n])) if n in keep else df.limit(0) for n, df in tables.items()}
 
 
-def reset_report(tables: dict[str, DataFrame]) -> dict[str, int]:
-    """What a reset keeps, and how many audits of promotions it drops: these are nowhere else."""
-    e = tables["episodes"]
-    return {
-        "future_items_kept": tables["future_items"].count(),
-        "access_rows_kept": tables["node_acl"].count(),
-        "misses_kept": e.where("kind = 'miss'").count(),
-        "promotion_audits_dropped": e.where("kind = 'promotion'").select("id").distinct().count(),
-    }
+def reset_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: what a reset keeps, and how many audits of promotions it drops: these are nowhere else."""
+    kinds = tables["episodes"].select("id", "kind").distinct()
+    parts = [
+        tables["future_items"].agg(F.count("*").alias("future_items_kept")),
+        tables["node_acl"].agg(F.count("*").alias("access_rows_kept")),
+        kinds.agg(F.count_if(F.col("kind") == "miss").alias("misses_kept"), F.count_if(F.col("kind") == "promotion").alias("promotion_audits_dropped")),
+    ]
+    return parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))  # one row each

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.config import EngineConfig
 from larkspur.functions.relevance import floor_relevance, lexical, prepared, tail_strong
 from larkspur.functions.text import content_hash, index_tokens, search_terms, slugify, task_terms
 from larkspur.functions.text import wiki_targets as targets_of
@@ -17,6 +19,7 @@ from larkspur.operators import locks as lk
 from larkspur.operators import search as se
 from larkspur.operators.bm25 import TextIndex, bm25, postings
 from larkspur.plans.recall_sql import ORACLES  # noqa: F401
+from larkspur.sources import ingest
 from larkspur.session import fingerprint, once, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,6 +355,68 @@ def owner_of_path(spark, d):
     return table(spark, d, "memories").select("id", parse.owner_of(F.col("source_path"), ["planner", "engineer", "archivist"]).alias("guess"))
 
 
+STAMP = "2026-06-10T00:00:00+00:00"
+
+
+def _files(spark, d, place):
+    """The documents as files that were just read: a path (SQL) and a time for each."""
+    return table(spark, d, "documents").where("text is not null").selectExpr(f"{place} AS key", "timestamp_seconds(1767225600 + doc_id) AS at", "text")
+
+
+def handoff_lines(spark, d):
+    """Episodes of dated files; a third each has its time in the name, its day in the name, and neither."""
+    files = _files(spark, d, "concat('/w/handoffs/', CASE doc_id % 3 WHEN 0 THEN '20250614T0910Z-' WHEN 1 THEN '20250615-' ELSE '' END, 'note-', doc_id, '.md')")
+    return ingest.episode_rows(files, "handoff", EngineConfig()).select("source_path", "ts", "actor", "kind", "summary", "scope")
+
+
+def agent_notes(spark, d):
+    """Memory documents of agents' folders."""
+    files = _files(spark, d, "concat('/w/memory/', coalesce(lang, 'none'), '/note_', doc_id, '.md')")
+    return ingest.note_docs(files, EngineConfig(), True).select("source_path", "name", "title", "owner", "scope", "content_hash", "seen_at")
+
+
+def latest_documents(spark, d):
+    """The last note of each owner and scope, in order of path and place."""
+    m = table(spark, d, "memories").select("id", F.concat_ws("/", "owner", "scope").alias("name"), "source_path", F.col("id").alias("ordinal"))
+    return mutate.latest_docs(m).select("name", "id")
+
+
+def remember_row(spark, d):
+    return mutate.remember(table(spark, d, "future_items"), "renew the key", "2026-07-01", READER, STAMP)
+
+
+def finished_items(spark, d):
+    return mutate.finish(table(spark, d, "future_items"), 1).select("id", "status")
+
+
+def missed_row(spark, d):
+    return mutate.missed(table(spark, d, "episodes"), "where is the almanac", READER, STAMP)
+
+
+def reset_counts(spark, d):
+    return mutate.reset_counts(_t(spark, d))
+
+
+def reset_kept(spark, d):
+    """What survives a reset, by table."""
+    kept = mutate.kept_on_reset(_t(spark, d))
+    rows = [kept[n].select(F.lit(n).alias("tbl"), F.to_json(F.struct("*")).alias("_row")).distinct() for n in sorted(kept)]
+    return reduce(DataFrame.unionByName, rows).groupBy("tbl").agg(F.count("*").alias("n"))
+
+
+def scopes_map(spark, d):
+    """The counts per scope in their one-row form, entry by entry."""
+    return report.counts_map(table(spark, d, "memories"), "scope").select(F.explode("by_scope").alias("scope", "n"))
+
+
+def bm25_appended(spark, d):
+    """Scores from an index whose archived memories were appended to the others."""
+    m = table(spark, d, "memories").select("id", *se.MEMORY, "status")
+    parts = [TextIndex.over(m.where(w), se.MEMORY, written) for w in ("status <> 'archived'", "status = 'archived'")]
+    both = TextIndex(parts[0].terms.unionByName(parts[1].terms), parts[0].sizes.unionByName(parts[1].sizes), se.MEMORY)
+    return both.hits(search_terms(OR_QUERY))
+
+
 QUERIES: dict[str, Query] = {
     "search_ranked_and": _search(AND_QUERY),
     "search_ranked_or": _search(OR_QUERY),
@@ -380,6 +445,7 @@ QUERIES: dict[str, Query] = {
         search_episodes_ranked, search_locks_ranked, ask_agent, search_recall_log, memory_relevance, bm25_raw, postings_size, match_floor, acl_visible_memories, activation_scores, hot_cold_counts, stats_scalars,
         timeline_all_forms, upcoming_all, upcoming_30_days, related_walk, related_by_name, wiki_targets, wiki_links_resolved, locks_active, locks_all_with_supersedes, locks_render_order, locks_restatus, prune_report,
         consolidation_candidates, higher_scope_counts, suggested_scope, last_recall, promotion_tiers, context_precedent, brief_pack, lexical_relevance, floor_and_tail, upsert_snapshot, archive_absent, episodes_dedup,
-        seed_recalls, promote_snapshot, promote_audit, recalls_per_scope, consolidation_first, prune_first, slugify_titles, title_tokens, content_hashes, markdown_sections, frontmatter_notes, episode_lines, team_log_lines, dated_notes, scope_classification, owner_of_path,
+        seed_recalls, promote_snapshot, promote_audit, recalls_per_scope, consolidation_first, prune_first,
+        handoff_lines, agent_notes, latest_documents, remember_row, finished_items, missed_row, reset_counts, reset_kept, scopes_map, bm25_appended, slugify_titles, title_tokens, content_hashes, markdown_sections, frontmatter_notes, episode_lines, team_log_lines, dated_notes, scope_classification, owner_of_path,
     )
 }

@@ -287,11 +287,20 @@ def header(pattern: str) -> str:
     return f"trim(regexp_replace({hit}, '^({pattern})', ''), ' ')"
 
 
-def product(p: str) -> str:
-    s = slug("lower(name)")
-    return f"contains({low('body')}, 'product:{p}') OR ({s}) = '{p}' OR starts_with({s}, '{p}-') OR starts_with({s}, 'project-{p}') OR starts_with({s}, 'product-{p}') OR ends_with({s}, '-{p}')"
+def product(p: str, names: tuple = ("lower(name)",)) -> str:
+    named = " OR ".join(f"({s}) = '{p}' OR starts_with({s}, '{p}-') OR starts_with({s}, 'project-{p}') OR starts_with({s}, 'product-{p}') OR ends_with({s}, '-{p}')" for s in map(slug, names))
+    return f"contains({low('body')}, 'product:{p}') OR {named}"
 
 
+def scope_guess(names: tuple = ("lower(name)",)) -> str:
+    """Over columns name and body (and whatever else the names say)."""
+    company = " OR ".join(f"contains({low('body')}, '{w}')" for w in ("company", "organization", "team"))
+    prefixed = " OR ".join(f"starts_with({slug(n)}, 'feedback-')" for n in names)
+    return f"CASE WHEN {prefixed} THEN 'company' {' '.join(f"WHEN {product(p, names)} THEN 'product:{p}'" for p in ('notebook', 'console', 'voice'))} WHEN {company} THEN 'company' ELSE 'os' END"
+
+
+FIELD = lambda n: f"nullif(trim(regexp_replace(trim(regexp_extract(head, '(?m)^{n}:[ \\t]*(.*)$', 1), ' '), '^[\"'']|[\"'']$', '', 'g'), ' '), '')"
+HEAD = "'(?s)\\A---\\n(.*?)\\n---\\n*(.*)\\z'"
 EP_KEYS = ("ts", "actor", "kind", "summary", "source_path")
 
 ORACLES: dict[str, str] = {
@@ -403,8 +412,28 @@ m AS (SELECT *, regexp_extract(line, '^\[([^\]]*)\]', 1) AS who, trim(split_part
 SELECT key, ordinal, CASE WHEN who = '' THEN 'system' ELSE 'agent:' || replace({low('who')}, '-', '_') END AS actor,
 strftime(CASE WHEN regexp_full_match(stamp, '\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}( [AP]M)?') THEN coalesce(try_strptime(stamp, '%Y-%m-%d %I:%M %p'), try_strptime(stamp, '%Y-%m-%d %H:%M')) END, '%Y-%m-%d %H:%M') AS at, substr(line, 1, 240) AS line FROM m""",
     "dated_notes": f"SELECT * FROM (SELECT doc_id AS key, {header('DATE:|- Date:')} AS day, {header('FROM:|- Tool:')} AS sender FROM documents WHERE text IS NOT NULL) WHERE day IS NOT NULL OR sender IS NOT NULL",
-    "scope_classification": f"""SELECT id, CASE WHEN starts_with({slug('lower(name)')}, 'feedback-') THEN 'company' {' '.join(f"WHEN {product(p)} THEN 'product:{p}'" for p in ('notebook', 'console', 'voice'))}
-WHEN {' OR '.join(f"contains({low('body')}, '{w}')" for w in ('company', 'organization', 'team'))} THEN 'company' ELSE 'os' END AS guess FROM memories""",
+    "scope_classification": f"SELECT id, {scope_guess()} AS guess FROM memories",
+    "handoff_lines": f"""WITH d AS (SELECT 'note-' || doc_id AS tail, CASE doc_id % 3 WHEN 0 THEN '20250614T0910Z-' WHEN 1 THEN '20250615-' ELSE '' END AS head, doc_id, text, text AS body, list_slice({LINES}, 1, 50) AS l, {header('DATE:|- Date:')} AS day, {header('FROM:|- Tool:')} AS sender FROM documents WHERE text IS NOT NULL),
+e AS (SELECT *, head || tail AS name, unnest(range(1, greatest(len(l), 1) + 1)) AS k FROM d)
+SELECT '/w/handoffs/' || name || '.md' AS source_path,
+strftime(CASE doc_id % 3 WHEN 0 THEN TIMESTAMP '2025-06-14 09:10:00' WHEN 1 THEN TIMESTAMP '2025-06-15' ELSE coalesce(TRY_CAST(substr(day, 1, 10) AS TIMESTAMP), make_timestamp((1767225600 + doc_id) * 1000000)) END + to_seconds(k - 1), '%Y-%m-%dT%H:%M:%S+00:00') AS ts,
+CASE WHEN sender IS NULL THEN 'system' WHEN starts_with(lower(sender), 'agent:') THEN replace(lower(sender), '-', '_') ELSE 'agent:' || replace(lower(sender), '-', '_') END AS actor,
+'handoff' AS kind, substr(coalesce(l[k], name), 1, 240) AS summary, {scope_guess()} AS scope FROM e""",
+    "agent_notes": f"""WITH t AS (SELECT doc_id, '/w/memory/' || coalesce(lang, 'none') || '/note_' || doc_id || '.md' AS source_path, coalesce(lang, 'none') AS agent, 'note_' || doc_id AS name, {UNIX} AS x FROM documents WHERE text IS NOT NULL),
+g AS (SELECT *, regexp_extract(x, {HEAD}, 1) AS head, trim(CASE WHEN regexp_matches(x, {HEAD}) THEN regexp_extract(x, {HEAD}, 2) ELSE x END, ' ') AS body FROM t),
+h AS (SELECT *, coalesce({FIELD('title')}, {FIELD('description')}, replace(name, '_', ' ')) AS title FROM g)
+SELECT source_path, coalesce({FIELD('name')}, {slug('name')}) AS name, title, 'agent:' || agent AS owner,
+CASE WHEN lower(title) = 'active files' THEN 'os' WHEN NOT contains(lower(body), 'product:') THEN 'company' ELSE {scope_guess(('name', 'title'))} END AS scope,
+sha256(concat_ws(chr(10), title, body, source_path)) AS content_hash, strftime(make_timestamp((1767225600 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS seen_at FROM h""",
+    "latest_documents": """SELECT name, id FROM (SELECT concat_ws('/', owner, scope) AS name, id, row_number() OVER (PARTITION BY concat_ws('/', owner, scope) ORDER BY source_path DESC NULLS LAST, id DESC) AS rn FROM memories) WHERE rn = 1""",
+    "remember_row": f"SELECT max(id) + 1 AS id, 'renew the key' AS body, '2026-07-01' AS due, '{READER}' AS created_by, 'open' AS status, '2026-06-10T00:00:00+00:00' AS created_at FROM future_items",
+    "finished_items": "SELECT id, CASE WHEN id = 1 AND status = 'open' THEN 'done' ELSE status END AS status FROM future_items",
+    "missed_row": f"SELECT max(id) + 1 AS id, '2026-06-10T00:00:00+00:00' AS ts, '{READER}' AS actor, 'miss' AS kind, 'where is the almanac' AS summary, 'where is the almanac' AS body, 'company' AS scope, '' AS source_path FROM episodes",
+    "reset_counts": """SELECT (SELECT count(*) FROM future_items) AS future_items_kept, (SELECT count(*) FROM node_acl) AS access_rows_kept, (SELECT count(DISTINCT id) FROM episodes WHERE kind = 'miss') AS misses_kept,
+(SELECT count(DISTINCT id) FROM episodes WHERE kind = 'promotion') AS promotion_audits_dropped""",
+    "reset_kept": "SELECT 'future_items' AS tbl, count(*) AS n FROM (SELECT DISTINCT * FROM future_items) UNION ALL SELECT 'node_acl', count(*) FROM (SELECT DISTINCT * FROM node_acl) UNION ALL SELECT 'episodes', count(*) FROM (SELECT DISTINCT * FROM episodes WHERE kind = 'miss')",
+    "scopes_map": "SELECT scope, count(*) AS n FROM memories WHERE scope IS NOT NULL GROUP BY scope",
+    "bm25_appended": f"WITH {bm25('b', MEM, search_terms(OR_QUERY))} SELECT id, bm25, all_terms FROM b",
     "owner_of_path": r"""SELECT id, CASE WHEN regexp_extract(lower(coalesce(source_path, '')), '(?:^|/)memory/([^/.]+)/', 1) <> '' THEN 'agent:' || replace(regexp_extract(lower(source_path), '(?:^|/)memory/([^/.]+)/', 1), '-', '_')
 """ + " ".join(f"WHEN list_contains({ascii_tokens('source_path')}, '{h}') THEN 'agent:{h}'" for h in ("planner", "engineer", "archivist")) + " ELSE 'shared' END AS guess FROM memories",
 }
