@@ -43,6 +43,8 @@ BANDS, ROWS = 25, 5
 SIGNATURE, BATCH = 128, 32
 #: Most classes of a bucket that are compared in one task.
 HOT = 16_384
+#: Rows a task gathers before it compares their buckets.
+HELD = 65_536
 #: Bits of the bitmap of records whose texts are needed (2 MiB at any size of input).
 BITMAP = 24
 #: Most words or classes a worker remembers before it starts over.
@@ -369,7 +371,7 @@ def bucket_pairs(test, hot: int):
                 spilling = None
             held.append(m)
             count += len(m)
-            if count < 65_536:
+            if count < HELD:
                 continue
             m = np.concatenate(held)
             edge = int(np.searchsorted(m[:, 0], m[-1, 0], "left"))  # the last bucket may go on

@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import near_duplicates as nd
@@ -165,3 +166,33 @@ def test_blocks_give_every_pair_once(spark):
     df = spark.createDataFrame([(g, i, 30) for g in "ab" for i in range(30)], "g string, id bigint, n bigint")
     got = [tuple(r) for r in pairs_within(df, ["g"], "id", "n", 7).collect()]
     assert sorted(got) == [(g, i, j) for g in "ab" for i in range(30) for j in range(i + 1, 30)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_buckets_across_batches(monkeypatch, size):
+    """Whatever the batches, each bucket up to ``hot`` is compared whole and a larger one comes out in blocks, row for row."""
+    monkeypatch.setattr(nd, "HELD", 40)
+    rnd = random.Random(size)
+    rows, c = [], 0
+    for key in range(60):
+        for _ in range(rnd.choice([1, 2, 3, 9, 10, 11, 45, 120]) if key % 7 else 1):
+            rows.append((key, c, 1, 2, 5, None))
+            c += 1
+        rows += [(key, 10_000 + key, 3, key, 0, "m")] * rnd.choice([0, 1, 2])  # a record, perhaps delivered twice
+    rows.sort(key=lambda r: r[:2])
+    schema = pa.schema([(n, pa.string() if n == "tbl" else pa.int64()) for n in ("key", "c", "s0", "s1", "n", "tbl")])
+    whole = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    out = [r for b in nd.bucket_pairs(lambda i, j, sig, size: (i, j), 10)(whole.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+    buckets = {}
+    for r in rows:
+        if r[4]:
+            buckets.setdefault(r[0], []).append(r[1])
+    small = {(a, b) for m in buckets.values() if len(m) <= 10 for a in m for b in m if a < b}
+    pairs = [(r["a"], r["b"]) for r in out if r["n"] is None]
+    assert set(pairs) == small and len(pairs) == len(small)
+    spilled = {}
+    for r in out:
+        if r["n"]:
+            spilled.setdefault(r["key"], []).append((r["a"], r["b"]))
+    assert spilled == {k: [(x, i // 10) for i, x in enumerate(m)] for k, m in buckets.items() if len(m) > 10}
+    assert [(r["a"], r["b"], r["tbl"]) for r in out if r["n"] == 0] == sorted({(r[1], r[3], "m") for r in rows if not r[4]})
