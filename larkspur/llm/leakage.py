@@ -4,7 +4,8 @@ The index holds the postings of every term of the corpus, whatever the test mate
 stored once and read by every query. A map task turns a slice of documents into one block of
 postings per term (documents and positions side by side), so a term that stands in every document
 is many blocks and never one group. Blocks are stored by term: a directory per range of term ids,
-sorted inside; a bucket that outgrows a task's share is split on the way.
+sorted inside; a bucket that outgrows a task's share is split on the way. New documents are added
+beside the postings that are there.
 
 A query is a window of ``n`` words of an item. Its terms are ordered by their number of postings.
 The list of the rarest, set back by the term's place in the item, gives candidate alignments of the
@@ -75,10 +76,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Index:
     """A stored positional index: ``postings`` (bucket, tid, n, docs, at) and ``weights`` (tid, df:
-    number of postings)."""
+    rows that add up to a term's number of postings)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.path = path
+        self.spark, self.path = spark, path
         form = spark.read.parquet(f"{path}/form").schema  # a table without rows may have no file
         self.postings = spark.read.schema(form).parquet(f"{path}/postings")
         self.weights = spark.read.parquet(f"{path}/weights")
@@ -91,6 +92,19 @@ class Index:
         return blocks.select("tid", F.explode(F.arrays_zip("docs", "at")).alias("p")).select("tid", F.col("p.docs").alias("doc"), F.col("p.at").alias("pos"))
 
 
+def _add(docs: DataFrame, doc: str, text: str, path: str) -> None:
+    """Writes the postings and weights of ``docs`` to those under ``path``."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc).alias("doc"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("h")).where("doc is not null and size(h) > 0")
+    kind = dict(rows.dtypes)["doc"]
+    blocks = rows.mapInArrow(_blocks, f"tid bigint, n int, docs array<{kind}>, at array<int>").withColumn("bucket", bucket_of(F.col("tid")))
+    form = blocks.select("tid", "n", "docs", "at", "bucket").schema
+    spark.createDataFrame([], form).write.mode("overwrite").parquet(f"{path}/form")
+    new = f"{path}/postings/part={uuid.uuid4().hex}"
+    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "tid").write.partitionBy("bucket").parquet(new)
+    spark.read.schema(form).parquet(new).groupBy("tid").agg(F.sum("n").alias("df")).write.mode("append").parquet(f"{path}/weights")
+
+
 def build_index(docs: DataFrame, doc: str, text: str, path: str | None = None) -> Index:
     """Stores the index of all terms of ``docs`` under ``path``, or in the shared checkpoint folder,
     where it goes when the session ends.
@@ -103,16 +117,17 @@ def build_index(docs: DataFrame, doc: str, text: str, path: str | None = None) -
         path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    rows = docs.select(F.col(doc).alias("doc"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("h")).where("doc is not null and size(h) > 0")
-    kind = dict(rows.dtypes)["doc"]
-    blocks = rows.mapInArrow(_blocks, f"tid bigint, n int, docs array<{kind}>, at array<int>").withColumn("bucket", bucket_of(F.col("tid")))
-    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "tid").write.partitionBy("bucket").parquet(f"{path}/postings")
-    form = blocks.select("tid", "n", "docs", "at", "bucket").schema
-    spark.createDataFrame([], form).write.parquet(f"{path}/form")
-    spark.read.schema(form).parquet(f"{path}/postings").groupBy("tid").agg(F.sum("n").alias("df")).write.parquet(f"{path}/weights")
+    _add(docs, doc, text, path)
     return Index(spark, path)
 
 
+def extend_index(index: Index, docs: DataFrame, doc: str, text: str) -> Index:
+    """The index with new documents: their postings are written beside those it has, which stay as they
+    are. One writer at a time."""
+    _add(docs, doc, text, index.path)
+    return Index(index.spark, index.path)
+
+
 def item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
     """``it, item, pos, term, tid`` of the test material; ``it`` names an item's text, repeated rows
     are one."""
@@ -121,7 +136,8 @@ def item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
 
 
 def _weights(index: Index, terms: DataFrame) -> DataFrame:
-    return small(cut(index.weights.join(small(terms.select("tid").distinct()), "tid", "left_semi")))
+    own = index.weights.join(small(terms.select("tid").distinct()), "tid", "left_semi")
+    return small(cut(own.groupBy("tid").agg(F.sum("df").alias("df"))))
 
 
 def window_plan(index: Index, terms: DataFrame, n: int) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from larkspur.llm.leakage import Index, build_index, leaked_items, leaked_spans, phrase_matches, proximity_matches
+from larkspur.llm.leakage import Index, build_index, extend_index, leaked_items, leaked_spans, phrase_matches, proximity_matches
 
 
 def words(t):
@@ -96,7 +96,21 @@ def test_another_test_set_reads_the_same_index(spark, tmp_path):
     assert before == {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
 
 
+def test_an_extended_index_equals_one_of_all_documents(spark, tmp_path):
+    items, docs = data()
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    parts = [spark.createDataFrame(x, "doc_id bigint, text string") for x in (docs[:120], [], docs[120:])]
+    index = build_index(parts[0], "doc_id", "text", f"file://{tmp_path}/index")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "index/postings").rglob("*.parquet")}
+    for part in parts[1:]:
+        index = extend_index(index, part, "doc_id", "text")
+    assert {tuple(r) for r in phrase_matches(index, i, "item_id", "text").collect()} == brute(items, docs, 12)
+    assert before.items() <= {p: p.stat().st_mtime_ns for p in (tmp_path / "index/postings").rglob("*.parquet")}.items()
+    got = {tuple(r) for r in proximity_matches(index, i, 5, 40).collect()}
+    assert got == near_brute(sorted(set(items), key=str), docs, 5, 40)
+
+
 def test_a_term_of_every_document_is_many_blocks(spark):
     d = spark.createDataFrame([(k, "common word" if k % 2 else "common") for k in range(9000)], "doc_id bigint, text string").repartition(3)
     index = build_index(d, "doc_id", "text")
-    assert index.postings.agg({"n": "max"}).first()[0] <= 2000 and index.weights.agg({"df": "max"}).first()[0] == 9000
+    assert index.postings.agg({"n": "max"}).first()[0] <= 2000 and index.weights.groupBy("tid").sum("df").agg({"sum(df)": "max"}).first()[0] == 9000
