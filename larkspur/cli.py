@@ -66,13 +66,44 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def shown(value, as_json: bool) -> str:
+def _pack_line(r: dict) -> str:
+    notes = [f"source {r['source_path'] or '-'}", f"owner {r['owner']}", f"scope {r['scope']}"]
+    if r["activation"] is not None:
+        notes.append(f"activation {r['activation']:.3f}")
+    if r.get("stale"):
+        notes.append("stale")
+    if r["confidence"]:
+        notes.append("marks " + "".join(r["confidence"]))
+    return f"{r['line']} [{r['section']}] {r['title']} | {r['body']} ({', '.join(notes)})"
+
+
+#: A line of text per row, by verb; other results are written field by field.
+LINES = {
+    **dict.fromkeys(("search", "ask"), lambda r: f"{r['kind']} {r['id']} [{r['scope']}] {r['title']} (rank {r['rank']:.3f}, owner {r['owner']}, source {r['source_path'] or '-'})"),
+    **dict.fromkeys(("timeline", "today", "yesterday"), lambda r: f"{r['ts']} {r['kind']} {r['actor']} [{r['scope']}] {r['summary']}"),
+    **dict.fromkeys(("context", "brief"), _pack_line),
+    "upcoming": lambda r: f"{r['due']} item {r['id']} by {r['created_by']}: {r['body']}",
+    "related": lambda r: f"{r['link_kind']} -> {r['to_kind']} {r['to_id']}: {r['title']} | {r['body']}",
+    "consolidate": lambda r: f"{r['kind']} {r['id']} {r['title']} [{r['current_scope']} -> {r['suggested_scope'] or '-'}] (recalls from broader scopes {r['higher']}, decided by {r['required_tier']})",
+    "prune-report": lambda r: f"{r['section']} {r['id']} {r['title']} [{r['scope']}] (owner {r['owner']}, activation {'-' if r['activation'] is None else format(r['activation'], '.3f')})",
+    "list": lambda r: f"{r['locked_on']} {r['slug']} [{r['scope']}, {r['status']}] {r['title']}" + (f" (supersedes {r['supersedes_slug']})" if r["supersedes_slug"] else ""),
+}
+
+
+def shown(value, as_json: bool, verb: str | None = None) -> str:
     plain = lambda r: r.asDict(True) if hasattr(r, "asDict") else r
     value = [plain(r) for r in value] if isinstance(value, list) else plain(value)
     if as_json:
         return json.dumps(value, ensure_ascii=False, indent=2, default=str)
-    rows = value if isinstance(value, list) else [value]
-    return "\n".join("\t".join(f"{k}={single_line(str(v))}" for k, v in r.items()) if isinstance(r, dict) else str(r) for r in rows)
+    if value == []:
+        return "nothing found"
+    if verb == "render" and "text" in value:
+        return value["text"]
+    if isinstance(value, dict):  # one field a line; lists of rows below their name
+        field = lambda k, v: "\n".join([f"{k}:", *("  " + ", ".join(f"{a} {b}" for a, b in x.items()) for x in v)]) if v and isinstance(v, list) and isinstance(v[0], dict) else f"{k}: {v}"
+        return "\n".join(field(k, v) for k, v in value.items())
+    line = LINES.get(verb, lambda r: "\t".join(f"{k}={v}" for k, v in r.items()))
+    return "\n".join(single_line(line(r), 600) for r in value)
 
 
 def run(args: argparse.Namespace, spark=None) -> tuple[int, object]:
@@ -185,7 +216,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     code, value = run(args)
     try:
-        print(shown(value, args.json))
+        print(shown(value, args.json, args.lock_verb if args.verb == "lock" else args.verb))
     except BrokenPipeError:
         sys.stderr.close()
     return code

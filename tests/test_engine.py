@@ -258,6 +258,17 @@ def test_command_line(spark, workspace, capsys, monkeypatch):
     code, said = call("lock", "render", "--into", str(note), "--check")
     assert code == 1 and "-old" in said["diff"] and call("lock", "render", "--into", str(note))[1]["changed"]
     assert call("lock", "render", "--into", str(note), "--check") == (0, {"sha256": said["sha256"], "changed": False, "diff": ""})
+
+    def text(*args):
+        assert cli.main([x for x in base if x != "--json"] + list(args)) == 0
+        return capsys.readouterr().out.splitlines()
+
+    assert text("search", "payment", "--scope", "company")[0].startswith("memory ") and "rank -1.000" in text("ask", "shared", "payment")[0]
+    assert any(x.endswith("(supersedes second-rule)") for x in text("lock", "list", "--all")) and text("related", "parser_note") == ["nothing found"]
+    assert "memories: 4" in text("stats") and text("lock", "render")[0] == "# Active decisions"
+    assert all(x.split()[1].startswith("[") and "scope" in x for x in text("context", "planner", "payment retries")) and "[active-lock]" in text("brief", "planner")[0]
+    for line in ("timeline --from 2026-06-18", "upcoming", "consolidate", "prune-report", "lock show third-rule"):
+        assert text(*line.split())
     reset = call("ingest", "--reset")[1]["reset"]
     assert reset["promotion_audits_dropped"] == 1 and reset["misses_kept"] == 2
     for line in ("today", "yesterday", "upcoming", "brief planner", "consolidate", "prune-report", "timeline --from 2026-06-18", "ask planner parser"):
